@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, line_rules, packing, sharding, transducer
+from . import byte_bpe, fingerprints, line_rules, packing, rule_ensemble, sharding, transducer
 from .shared import table
 
 
@@ -16,6 +16,13 @@ def op2_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op3_sparse_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = rule_ensemble.scored(docs, rule_ensemble.fit(docs, labels))
+    held_out = F.coalesce(F.crc32(F.col("own.doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return found.select(F.col("own.doc_id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
@@ -42,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_line_first_cleaning,
+        op3_sparse_rule_ensemble,
         op5_best_fit_packing,
         op6_consistent_hash_ring,
         op7_byte_bpe_codec,
