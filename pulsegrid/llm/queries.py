@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, line_rules, packing, rule_ensemble, sharding, transducer
+from . import byte_bpe, debruijn, fingerprints, line_rules, packing, rule_ensemble, sharding, transducer
 from .shared import table
 
 
@@ -23,6 +23,10 @@ def op3_sparse_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("own.doc_id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_de_bruijn_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.removed(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op2_line_first_cleaning,
         op3_sparse_rule_ensemble,
+        op4_de_bruijn_compaction,
         op5_best_fit_packing,
         op6_consistent_hash_ring,
         op7_byte_bpe_codec,
@@ -58,4 +63,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_first_cleaning": line_rules.sql()}
+ORACLE_SQL: dict[str, str] = {"op2_line_first_cleaning": line_rules.sql(), "op4_de_bruijn_compaction": debruijn.sql()}
