@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, debruijn, fingerprints, line_rules, packing, rule_ensemble, sharding, transducer
+from . import byte_bpe, debruijn, fingerprints, line_rules, near_duplicates, packing, rule_ensemble, sharding, transducer
 from .shared import table
 
 
@@ -40,6 +40,10 @@ def op7_byte_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_multi_index_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.groups(table(spark, sf_dir, "documents"), near_duplicates.Scheme(words=4, similarity=80))
+
+
 def op9_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_best_fit_packing,
         op6_consistent_hash_ring,
         op7_byte_bpe_codec,
+        op8_multi_index_hamming,
         op9_canonical_digest,
         op10_transducer_token_counts,
     )
