@@ -19,7 +19,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as bl
@@ -214,3 +214,18 @@ c AS (SELECT DISTINCT doc_id, i + j AS i FROM f, range({k}) t(j) WHERE r > 1),
 u AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d),
 s AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM u ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
 SELECT d.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)"""
+
+
+def strip(docs: DataFrame, k: int = 20, part: int = 10) -> DataFrame:
+    """``docs`` with its columns and rows; texts that lost words are their kept words joined by one space."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    order = Window.partitionBy("key").orderBy("own_text")
+    own = (
+        docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), text.alias("own_text"))
+        .withColumn("copy", F.row_number().over(order) - 1)
+        .drop("own_text")
+    )
+    gone = removed(docs, k, part).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), "copy", "kept_text")
+    joined = own.join(gone, ["key", "copy"], "left")
+    fresh = {"text": F.coalesce("kept_text", "own.text"), "n_chars": F.when(F.col("kept_text").isNull(), F.col("own.n_chars")).otherwise(F.char_length("kept_text")).cast("long") if "n_chars" in docs.columns else None}
+    return joined.select(*(fresh.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns))

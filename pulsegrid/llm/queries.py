@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, debruijn, fingerprints, line_rules, near_duplicates, packing, rule_ensemble, sharding, transducer
+from . import byte_bpe, debruijn, fingerprints, katz, line_rules, near_duplicates, packing, rule_ensemble, sharding, transducer
 from .shared import table
 
 
+def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op2_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.verdicts(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_katz_backoff,
         op2_line_first_cleaning,
         op3_sparse_rule_ensemble,
         op4_de_bruijn_compaction,
