@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import once
+
 BLANK = " \t\n\x0b\f\r"
 SPLIT = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -69,14 +71,15 @@ def measured(docs: DataFrame) -> DataFrame:
     worded = F.filter("lines", lambda x: F.translate(x, BLANK, "") != "")
     good = F.filter("lines", lambda x: ~bad_line(x))
     rows = rows.select("own", "text", F.size("words").alias("n_words"), grams.alias("grams"), worded.alias("worded"), F.array_join(good, "\n").alias("cleaned"))
-    rows = rows.select(
-        "own", "cleaned",
+    rows = once(
+        rows, ["own", "cleaned"],
         F.col("n_words").cast("long").alias("n_words"),
         F.char_length(F.translate("text", BLANK, "")).cast("long").alias("word_chars"),
         count_of(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long").alias("n_dup_lines"),
         repeat_words("grams").cast("long").alias("n_repeat_words"),
-    ).withColumn("lost_chars", F.col("word_chars") - F.char_length(F.translate("cleaned", BLANK, "")))
+        F.char_length(F.translate("cleaned", BLANK, "")).cast("long").alias("left_chars"),
+    ).withColumn("lost_chars", F.col("word_chars") - F.col("left_chars"))
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
     return rows.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST * F.col("word_chars")))
 

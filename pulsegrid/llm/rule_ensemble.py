@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .line_rules import BLANK, SPLIT, SYMBOLS, count_of
-from .shared import cut
+from .shared import cut, once
 
 #: Labelled documents that are learnt from at most; those with the smallest hashes of their ids.
 SAMPLE = 20_000
@@ -36,8 +36,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     words, chars, lines = F.size("words"), F.char_length("dense"), F.size("lines")
     share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return rows.select(
-        "own",
+    return once(
+        rows, ["own"],
         words.cast("double").alias("n_words"),
         share(chars, words).alias("word_length"),
         share(words, lines).alias("line_words"),
@@ -50,7 +50,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         share(count_of(F.col("dense"), letters), chars).alias("capitals"),
         share(count_of(F.col("dense"), "0123456789"), chars).alias("digits"),
         share(count_of(F.col("dense"), "()[]{}=_/\\@"), chars).alias("code_marks"),
-    )
+    )
 
 
 FEATURES = ["n_words", "word_length", "line_words", "distinct_words", "distinct_lines", "symbols", "bars", "shouts", "stops", "capitals", "digits", "code_marks"]

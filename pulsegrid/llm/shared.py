@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -38,3 +39,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session has them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def once(df: DataFrame, keep: list[str], *columns: Column) -> DataFrame:
+    """``keep`` and the named ``columns``, these as a generated row. A filter on them stays above the generator; below
+    a projection the optimiser would spell their definitions out in it, inside lambdas for every element."""
+    return df.select(*keep, F.inline(F.array(F.struct(*columns))))
