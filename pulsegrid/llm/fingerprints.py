@@ -13,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import width
+from .shared import cut, width
 
 COARSE = 64
+#: Digests that are broadcast at most (32 bytes each); above, the join shuffles.
+BROADCAST_DIGESTS = 250_000
 
 
 def canonical(text: Column) -> Column:
@@ -28,16 +30,13 @@ def digest(canon: Column) -> Column:
 
 
 def collided(docs: DataFrame) -> DataFrame:
-    """Digests under which different canonical bytes stand. Least and greatest are taken before the
-    shuffle, so a group of copies sends one row per task."""
-    return (
-        docs.select(canonical(F.col("text")).alias("canon"))
-        .select("canon", digest(F.col("canon")).alias("digest"))
-        .groupBy("digest")
-        .agg(F.min("canon").alias("least"), F.max("canon").alias("most"))
-        .where("least <> most")
-        .select("digest")
-    )
+    """Digests under which different canonical bytes stand. Only texts that share a digest are compared; least
+    and greatest are taken before the shuffle, so a group of copies sends one row per task."""
+    hashed = docs.select(canonical(F.col("text")).alias("canon")).select("canon", digest(F.col("canon")).alias("digest"))
+    shared = cut(hashed.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
+    if shared.count() <= BROADCAST_DIGESTS:
+        shared = F.broadcast(shared)
+    return hashed.join(shared, "digest", "left_semi").groupBy("digest").agg(F.min("canon").alias("least"), F.max("canon").alias("most")).where("least <> most").select("digest")
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
