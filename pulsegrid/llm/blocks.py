@@ -49,14 +49,32 @@ def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(own[order], np.arange(buckets + 1))
 
 
+def enc(x: np.ndarray) -> bytes:
+    """An array as bytes: its bytes by significance, compressed."""
+    x = x.astype(np.min_scalar_type(x.max(initial=0))) if x.dtype.kind == "u" else x
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return x.dtype.str.encode().ljust(4) + len(planes).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
+
+def dec(data: bytes) -> np.ndarray:
+    if len(data) == 12:
+        return np.zeros(0, data[:4].decode().strip())
+    kind, size = np.dtype(data[:4].decode().strip()), int.from_bytes(data[4:12], "little")
+    planes = np.frombuffer(pa.decompress(data[12:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
+
+
 def packed(rows: Iterable[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
     """Rows with numpy arrays in them as a table; arrays become binary values."""
-    rows = [tuple(x.tobytes() if isinstance(x, np.ndarray) else x for x in r) for r in rows]
+    rows = [tuple(enc(x) if isinstance(x, np.ndarray) else x for x in r) for r in rows]
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def unpacked(column: pa.ChunkedArray, kind: str) -> np.ndarray:
-    """All arrays of a binary column, one after another."""
-    values = column.to_pylist()
-    return np.frombuffer(b"".join(values), kind) if values else np.zeros(0, kind)
+def unpacked(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The arrays of a binary column."""
+    return [dec(x) for x in column.to_pylist()]
+
+
+def joined(arrays: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate(arrays).astype(kind, copy=False) if arrays else np.zeros(0, kind)

@@ -2,7 +2,7 @@
 
 A window of ``k`` words is an edge of the graph. Edges that can repeat are found first: of every
 window, the part of ``part`` words with the least hash is its anchor, equal windows have equal
-anchors, and only windows whose anchor occurs twice go on. Each such edge meets its copies in a
+anchors, and only windows whose anchor occurs at two places go on. Each such edge meets its copies in a
 bucket of the hash, where its source is decided: the occurrence with the smallest (doc_id, start).
 Neighbouring edges whose sources are neighbours, too, form a path that doesn't branch; it compacts
 into a span (document, start, words, source). A span's words are digested at both coordinates,
@@ -23,12 +23,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as bl
-from .shared import cut, width
+from .shared import width
 from .words import hashes, owners, windows, words
 
+CLAIM = ["source_doc", "source_copy", "source_start", "n_words", "digest"]
 SPANS = "block int, doc_id long, copy int, start int, n_words int, source_doc long, source_copy int, source_start int, digest binary"
 
 
+def sliding(best, values: np.ndarray, size: int) -> np.ndarray:
+    """The least or greatest of every ``size`` consecutive values."""
+    have = 1
+    while have < size:
+        step = min(have, size - have)
+        values = best(values[:-step], values[step:])
+        have += step
+    return values
+
+
 class Block:
     """The words of a block's documents, and its windows by place."""
 
@@ -48,15 +59,16 @@ class Block:
     def edges(self, at: np.ndarray) -> np.ndarray:
         return windows(self.word, self.k)[at] if len(at) else np.zeros(0, np.uint64)
 
-    def anchors(self) -> np.ndarray:
-        """For each window, the least hash among its parts."""
-        least = windows(self.word, self.part)
-        span, have = self.k - self.part + 1, 1
-        while have < span:
-            step = min(have, span - have)
-            least = np.minimum(least[:-step] if step else least, least[step:])
-            have += step
-        return least[self.at] if len(self.at) else np.zeros(0, np.uint64)
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each window, the least hash among its parts; and the hashes of all parts that are the least of some
+        window, one for each place."""
+        parts, span = windows(self.word, self.part), self.k - self.part + 1
+        if not len(self.at):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        least = sliding(np.minimum, parts, span)[self.at]
+        around = np.zeros(len(parts) + span - 1, np.uint64)
+        around[self.at + span - 1] = least
+        return least, parts[sliding(np.maximum, around, span) == parts]
 
     def digest(self, doc: int, start: int, n: int) -> bytes:
         """Of the words of a document from ``start`` on, joined by one space."""
@@ -70,12 +82,15 @@ class Block:
 
 def spans_of(block: Block, replies: pa.Table) -> list[tuple]:
     """The compacted paths of a block: runs of edges whose sources run along."""
-    edge = bl.unpacked(replies.column("edges"), "<u8")
-    if not len(edge):
+    place = bl.joined([np.cumsum(x.astype(np.int64)) for x in bl.unpacked(replies.column("places"))], np.int64)
+    if not len(place):
         return []
+    edge = block.edges(place)
     order = np.argsort(edge, kind="stable")
     edge = edge[order]
-    source = [bl.unpacked(replies.column(c), t)[order] for c, t in (("docs", "<i8"), ("copies", "<i4"), ("starts", "<i4"))]
+    source = [bl.joined(bl.unpacked(replies.column(c)), np.int64) for c in ("docs", "copies", "shifts")]
+    source[2] = source[2] + place - block.off[block.doc[place]]
+    source = [x[order] for x in source]
     own = block.edges(block.at)
     hit = np.minimum(np.searchsorted(edge, own), len(edge) - 1)
     yes = np.flatnonzero(edge[hit] == own)
@@ -96,92 +111,91 @@ def spans_of(block: Block, replies: pa.Table) -> list[tuple]:
     ]
 
 
-def spans(docs: DataFrame, k: int = 20, part: int = 10) -> DataFrame:
-    """The repeated spans, each with its source, before they are verified."""
-    blocks, buckets = bl.count(docs), width(docs.sparkSession)
-    dealt = bl.dealt(docs, blocks)
+def spans(dealt: DataFrame, buckets: int, k: int, part: int) -> DataFrame:
+    """The repeated spans of ``dealt`` blocks, each with its source, before they are verified."""
 
     def offer(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        values, n = np.unique(Block(rows, k, part).anchors(), return_counts=True)
+        values, n = np.unique(Block(rows, k, part).anchors()[1], return_counts=True)
         order, bounds = bl.by_bucket(values, buckets)
         values, n = values[order], np.minimum(n[order], 2).astype(np.uint8)
         return bl.packed(((b, key[0].as_py(), values[x:y], n[x:y]) for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if y > x), ["bucket", "block", "keys", "n"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
     def repeated(rows: pa.Table) -> pa.Table:
-        sizes = [len(x) // 8 for x in rows.column("keys").to_pylist()]
-        keys, n = bl.unpacked(rows.column("keys"), "<u8"), bl.unpacked(rows.column("n"), "u1")
-        values, inverse = np.unique(keys, return_inverse=True)
-        twice = (np.bincount(inverse, n, len(values)) >= 2)[inverse]
-        own = np.repeat(np.arange(len(sizes)), sizes)
-        return bl.packed(((b, keys[twice & (own == i)]) for i, b in enumerate(rows.column("block").to_pylist())), ["block", "keys"], [pa.int32(), pa.binary()])
+        keys = bl.unpacked(rows.column("keys"))
+        at = np.concatenate(([0], np.cumsum([len(x) for x in keys])))
+        values, inverse = np.unique(bl.joined(keys, np.uint64), return_inverse=True)
+        twice = (np.bincount(inverse, bl.joined(bl.unpacked(rows.column("n")), np.uint8), len(values)) >= 2)[inverse]
+        return bl.packed(((b, own[twice[x:y]]) for b, own, x, y in zip(rows.column("block").to_pylist(), keys, at[:-1], at[1:], strict=True)), ["block", "keys"], [pa.int32(), pa.binary()])
 
     def candidates(key: tuple[pa.Scalar, ...], rows: pa.Table, replies: pa.Table) -> pa.Table:
-        names, kinds = ["bucket", "block", "edges", "docs", "copies", "starts", "more"], [pa.int32(), pa.int32(), *[pa.binary()] * 5]
-        known = np.sort(bl.unpacked(replies.column("keys"), "<u8"))
+        names, kinds = ["bucket", "block", "edges", "docs", "copies", "bases", "places", "more"], [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+        known = np.sort(bl.joined(bl.unpacked(replies.column("keys")), np.uint64))
         if not len(known) or not rows.num_rows:
             return bl.packed((), names, kinds)
         block = Block(rows, k, part)
-        anchor = block.anchors()
+        anchor = block.anchors()[0]
         at = block.at[known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor]
-        edge = block.edges(at)
-        edge, first, n = np.unique(edge, return_index=True, return_counts=True)  # the first in a block by (doc_id, start)
+        edge, first, n = np.unique(block.edges(at), return_index=True, return_counts=True)  # the first in a block by (doc_id, start)
         by_place = np.argsort(first)
         edge, first, n = edge[by_place], at[first[by_place]], n[by_place]
         order, bounds = bl.by_bucket(edge, buckets)
         edge, first, more = edge[order], first[order], (n[order] > 1).astype(np.uint8)
         doc = block.doc[first]
-        values = edge, block.ids[doc], block.copy[doc], (first - block.off[doc]).astype(np.int32), more
-        return bl.packed(((b, key[0].as_py(), *(v[x:y] for v in values)) for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if y > x), names, kinds)
+        values = edge, block.ids[doc], block.copy[doc], block.off[doc], first, more
+        # places ascend within a bucket, and are sent as their steps
+        return bl.packed(((b, key[0].as_py(), *(np.diff(v[x:y], prepend=0).astype(np.uint64) if v is first else v[x:y] for v in values)) for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if y > x), names, kinds)
 
     def sources(rows: pa.Table) -> pa.Table:
-        sizes = [len(x) // 8 for x in rows.column("edges").to_pylist()]
-        edge, doc, copy, start, more = (bl.unpacked(rows.column(c), t) for c, t in (("edges", "<u8"), ("docs", "<i8"), ("copies", "<i4"), ("starts", "<i4"), ("more", "u1")))
+        edges = bl.unpacked(rows.column("edges"))
+        at = np.concatenate(([0], np.cumsum([len(x) for x in edges])))
+        edge = bl.joined(edges, np.uint64)
+        doc, copy, base = (bl.joined(bl.unpacked(rows.column(c)), np.int64) for c in ("docs", "copies", "bases"))
+        place = bl.joined([np.cumsum(x.astype(np.int64)) for x in bl.unpacked(rows.column("places"))], np.int64)
+        start = place - base
         order = np.lexsort((start, copy, doc, edge))
         head = np.append(True, edge[order][1:] != edge[order][:-1])
-        group = np.cumsum(head) - 1
-        size = np.bincount(group)
-        least = order[head]
-        back = np.empty(len(order), np.int64)
-        back[order] = group
-        tell = (size[back] > 1) | (more > 0)
-        own, least = np.repeat(np.arange(len(sizes)), sizes), least[back]
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(head) - 1
+        tell = (np.bincount(group)[group] > 1) | (bl.joined(bl.unpacked(rows.column("more")), np.uint8) > 0)
+        least = order[head][group]
         out = []
-        for i, b in enumerate(rows.column("block").to_pylist()):
-            mine = tell & (own == i)
-            out.append((b, edge[mine], doc[least[mine]], copy[least[mine]], start[least[mine]]))
-        return bl.packed(out, ["block", "edges", "docs", "copies", "starts"], [pa.int32(), *[pa.binary()] * 4])
+        for b, x, y in zip(rows.column("block").to_pylist(), at[:-1], at[1:], strict=True):
+            mine = np.flatnonzero(tell[x:y]) + x
+            to = least[mine]
+            out.append((b, np.diff(place[mine], prepend=0).astype(np.uint64), doc[to], copy[to], start[to] - start[mine]))
+        return bl.packed(out, ["block", "places", "docs", "copies", "shifts"], [pa.int32(), *[pa.binary()] * 4])
 
     def compacted(key: tuple[pa.Scalar, ...], rows: pa.Table, replies: pa.Table) -> pa.Table:
         found = spans_of(Block(rows, k, part), replies) if rows.num_rows and replies.num_rows else []
-        return bl.packed(((key[0].as_py(), *r) for r in found), ["block", "doc_id", "copy", "start", "n_words", "source_doc", "source_copy", "source_start", "digest"], [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()])
+        return bl.packed(((key[0].as_py(), *r) for r in found), ["block", "doc_id", "copy", "start", "n_words", *CLAIM[:3], "digest"], [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()])
 
     anchors = dealt.groupBy("block").applyInArrow(offer, "bucket int, block int, keys binary, n binary")
     known = anchors.groupBy("bucket").applyInArrow(repeated, "block int, keys binary")
-    edges = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(candidates, "bucket int, block int, edges binary, docs binary, copies binary, starts binary, more binary")
-    decided = edges.groupBy("bucket").applyInArrow(sources, "block int, edges binary, docs binary, copies binary, starts binary")
-    return dealt.groupBy("block").cogroup(decided.groupBy("block")).applyInArrow(compacted, SPANS), blocks
+    edges = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(candidates, "bucket int, block int, edges binary, docs binary, copies binary, bases binary, places binary, more binary")
+    decided = edges.groupBy("bucket").applyInArrow(sources, "block int, places binary, docs binary, copies binary, shifts binary")
+    return dealt.groupBy("block").cogroup(decided.groupBy("block")).applyInArrow(compacted, SPANS)
 
 
-def verified(docs: DataFrame, found: DataFrame, blocks: int, k: int = 20, part: int = 10) -> DataFrame:
+def verified(dealt: DataFrame, found: DataFrame, blocks: int, k: int, part: int) -> DataFrame:
     """The spans whose words are those at the source. Each distinct claim on a source is checked once."""
-    claim = ["source_doc", "source_copy", "source_start", "n_words", "digest"]
 
     def check(key: tuple[pa.Scalar, ...], rows: pa.Table, claims: pa.Table) -> pa.Table:
-        asked = claims.select(claim).to_pylist()
+        asked = claims.select(CLAIM).to_pylist()
         block = Block(rows, k, part) if asked and rows.num_rows else None
         good = [c for c in asked if block and (d := block.find(c["source_doc"], c["source_copy"])) >= 0 and block.digest(d, c["source_start"], c["n_words"]) == c["digest"]]
-        return pa.table({c: pa.array([g[c] for g in good], claims.schema.field(c).type) for c in claim})
+        return pa.table({c: pa.array([g[c] for g in good], claims.schema.field(c).type) for c in CLAIM})
 
-    asked = found.select(claim).distinct().withColumn("block", bl.block_of(F.nullif(F.col("source_doc"), F.lit(-(2**63))), blocks))
-    good = bl.dealt(docs, blocks).groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(check, "source_doc long, source_copy int, source_start int, n_words int, digest binary")
-    return found.join(good, claim, "left_semi")
+    asked = found.select(CLAIM).distinct().withColumn("block", bl.block_of(F.nullif(F.col("source_doc"), F.lit(-(2**63))), blocks))
+    good = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(check, "source_doc long, source_copy int, source_start int, n_words int, digest binary")
+    return found.join(good, CLAIM, "left_semi")
 
 
 def removed(docs: DataFrame, k: int = 20, part: int = 10) -> DataFrame:
     """doc_id, copy, n_words, n_removed, kept_text and kept_sha256 of every document."""
-    found, blocks = spans(docs, k, part)
-    found = cut(found)
-    checked = verified(docs, found, blocks, k, part).select("block", "doc_id", "copy", "start", "n_words")
+    blocks = bl.count(docs)
+    dealt = bl.dealt(docs, blocks)
+    found = spans(dealt, width(docs.sparkSession), k, part)
+    checked = verified(dealt, found, blocks, k, part).select("block", "doc_id", "copy", "start", "n_words")
 
     def strike(key: tuple[pa.Scalar, ...], rows: pa.Table, own: pa.Table) -> pa.Table:
         if not rows.num_rows:
@@ -201,7 +215,7 @@ def removed(docs: DataFrame, k: int = 20, part: int = 10) -> DataFrame:
             out.append((None if doc_id == -(2**63) else doc_id, int(block.copy[i]), b - a, b - a - len(live), text.decode(), hashlib.sha256(text).hexdigest()))
         return bl.packed(out, ["doc_id", "copy", "n_words", "n_removed", "kept_text", "kept_sha256"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()])
 
-    return bl.dealt(docs, blocks).groupBy("block").cogroup(checked.groupBy("block")).applyInArrow(strike, "doc_id long, copy int, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    return dealt.groupBy("block").cogroup(checked.groupBy("block")).applyInArrow(strike, "doc_id long, copy int, n_words long, n_removed long, kept_text string, kept_sha256 string")
 
 
 def sql(k: int = 20) -> str:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import by_bucket
+from .blocks import by_bucket, dec, enc
 from .shared import stored, width
 from .words import M1, hashes, owners, slices, words
 
@@ -40,21 +40,6 @@ NAMES = ["kind", "bucket", "block", *"abcdef"]
 NULL_ID = -(2**63)
 
 
-def enc(x: np.ndarray) -> bytes:
-    """An array as bytes: its bytes by significance, compressed."""
-    x = x.astype(np.min_scalar_type(x.max(initial=0))) if x.dtype.kind == "u" else x
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
-    return x.dtype.str.encode().ljust(4) + len(planes).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
-
-
-def dec(data: bytes) -> np.ndarray:
-    if len(data) == 12:
-        return np.zeros(0, data[:4].decode().strip())
-    kind, size = np.dtype(data[:4].decode().strip()), int.from_bytes(data[4:12], "little")
-    planes = np.frombuffer(pa.decompress(data[12:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
-
-
 def wide(data: bytes) -> np.ndarray:
     return dec(data).astype(np.uint64)
 

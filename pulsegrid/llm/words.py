@@ -104,12 +104,19 @@ def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
-    """The hash of every k consecutive entries (len(h) - k + 1 of them)."""
-    out = np.zeros(max(0, len(h) - k + 1), np.uint64)
-    if len(out):
-        for j in range(k):
-            out = (out ^ h[j : j + len(out)]) * M3
+    """The hash of every k consecutive entries (len(h) - k + 1 of them), from those of 1, 2, 4, ... entries."""
+    n = max(0, len(h) - k + 1)
+    out, done, power, size = np.full(n, M1 ^ np.uint64(k)), 0, h, 1
+    while n and done < k:
+        if k & size:
+            out = (out ^ power[done : done + n]) * M3
             out ^= out >> np.uint64(31)
+            done += size
+        if done < k:
+            power = (power[:-size] * M2) ^ (power[size:] >> np.uint64(27)) ^ power[size:]
+            power = power * M1
+            power ^= power >> np.uint64(32)
+            size *= 2
     return mix(out)
 
 
