@@ -122,6 +122,8 @@ class WordIds:
         buf, starts, ends, off = words(texts)
         kind = classes(buf)
         n = len(buf) - 8
+        if n == 0:  # only nulls and empty texts
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         odd = kind[:n] == OTHER_C
         for mark in self.special:  # only their first two characters are looked for
             odd[:-1] |= (buf[: n - 1] == mark[0]) & (buf[1:n] == mark[1])

@@ -204,6 +204,18 @@ def test_op5_packing(docs, texts, none):
     assert packing.pack(none, P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_op5_slices_without_text(spark):
+    import tokenizers
+
+    path = P.path("word_bpe_49k.json")
+    t = tokenizers.Tokenizer.from_file(path)
+    for texts in ([None, "", None], [" \n", "", None], ["ab cd " * 1_400_000, ""]):
+        rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        got = sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in packing.pack(rows, path).select("doc_id", "piece", "length", "ids_crc32").collect())
+        each = [np.array([*(t.encode(x[:6], add_special_tokens=False).ids * (len(x) // 6) if x and x.strip() else []), 1], "<u4") for x in texts]
+        assert got == [(d, i, len(ids[s : s + 4096]), zlib.crc32(ids[s : s + 4096].tobytes())) for d, ids in enumerate(each) for i, s in enumerate(range(0, len(ids), 4096))]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_op5_plan_is_best_fit(seed):
     rng = np.random.default_rng(seed)
