@@ -282,6 +282,7 @@ def token_counts(docs: DataFrame, path: str, chunk: int = 65_536) -> DataFrame:
         .select("doc_id", "row", "n_bytes", "k", (F.col("k") == 0).alias("first"), (F.col("k") == F.col("top")).alias("last"), F.when(F.col("top") == 0, F.col("whole")).otherwise(F.substring("whole", F.col("k") * chunk + 1, F.lit(chunk))).alias("chunk"))
     )
     found = chunks.mapInArrow(mapped, "doc_id long, row long, n_bytes long, k int, reset boolean, head string, n long, tail string")
-    open_ended = F.when((F.col("head") != "") | (F.col("tail") != ""), F.struct("k", "reset", "head", "tail"))
-    texts = found.groupBy("doc_id", "row").agg(F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n"), F.collect_list(open_ended).alias("maps"))
+    # a reset parts its neighbours even with nothing open around it; only a text's first chunk has none before it
+    needed = F.when((F.col("head") != "") | (F.col("tail") != "") | (F.col("reset") & (F.col("k") > 0)), F.struct("k", "reset", "head", "tail"))
+    texts = found.groupBy("doc_id", "row").agg(F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n"), F.collect_list(needed).alias("maps"))
     return texts.mapInArrow(joined, "doc_id long, n_bytes long, n_tokens long")

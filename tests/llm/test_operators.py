@@ -351,6 +351,16 @@ def test_op10_transducer(docs, texts, none):
     assert transducer.token_counts(none, P.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_op10_closed_chunks_part_their_neighbours(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    texts = ["abcwor\nline1\nds", "abcwor\tline1\tds", "abcwor\n\n\n\n\n\n\nds", "abcwor\nline1\n\nline2\nds and", "\nline1\n\nline1\nds"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in transducer.token_counts(rows, P.path("piece_bpe_32k.model"), 7).collect()}
+    assert got == {i: len(sp.encode(t)) for i, t in enumerate(texts)}
+
+
 def test_op10_maps_compose_in_any_grouping():
     read = len
     maps = [(True, "a", 2, "b"), (False, "cd", 0, ""), (True, "", 1, "e"), (False, "f", 0, ""), (True, "g", 0, "")]
