@@ -4,13 +4,14 @@ A document is its set of word shingles. Documents with equal sets form a class,
 it. A node's signature has ``bands`` * ``rows`` MinHash values of b = 8 bits each; two signatures
 differ in so many of them. Up to a distance of 2 * bands - 1, some band differs in one value at
 most (pigeonhole). So a node is put under every band with each one value left out, and any two nodes
-within that distance meet under a key. At a similarity of 0.8 a pair of independent values differs
-with probability 0.2; with 16 bands of 5, more than 31 of 80 differ with probability 8e-6.
+within that distance meet under a key; farther ones meet if any band allows. At a similarity of 0.8 a pair
+of independent values differs with probability 0.2; with 16 bands of 5, more than 31 of 80 differ with
+probability 3.2e-5, and a pair meets under no key with probability 5e-10.
 
 What meets is compared in two rounds, as a group of n copies needs n links, not n * n. First each
-node is checked against the key-mate it shares most keys with among the least nodes of its keys.
-Then, under every key that still holds different components, all pairs of nodes from different
-components are compared: by size, by signature, and at last by their full sets. Keys with many
+node is checked against the key-mate it shares most keys with among the least nodes of its keys; what
+this round passes over is left to the second. Then, under every key that still holds different components, all pairs of nodes from different
+components are compared: by size, by a finer signature, and at last by their full sets. Keys with many
 nodes are parted into tiles. Nothing is capped or sampled.
 
 Nulls and texts without words have empty sets and link with nothing. A text with fewer words than a
@@ -36,10 +37,10 @@ NULL_ID = -(2**63)
 #: Ids that are broadcast at most (8 bytes each); above, the join shuffles.
 BROADCAST_IDS = 1_000_000
 TILE = 2048
-#: One-bit values of the signature that sifts the second round's pairs before their full sets are compared. At a
-#: similarity of 0.8 a tenth of them differ; 4.5 standard deviations more are allowed (lost: 3e-6).
+#: One-bit values of the signature that sifts the second round's pairs before their full sets are compared.
 FINE = 1024
-FINE_DISTANCE = int(FINE * 0.1 + 4.5 * (FINE * 0.09) ** 0.5)
+#: Similar pairs that may meet under no key, at most, for a scheme to be taken.
+MISSED = 1e-5
 
 
 @dataclass(frozen=True)
@@ -57,6 +58,17 @@ class Scheme:
     def distance(self) -> int:
         return 2 * self.bands - 1
 
+    @property
+    def fine_distance(self) -> int:
+        """Fine values that may differ: (1 - similarity) / 2 of them, and six standard deviations more (lost at 0.8: 8e-9)."""
+        p = (100 - self.similarity) / 200
+        return int(FINE * p + 6 * (FINE * p * (1 - p)) ** 0.5)
+
+    def __post_init__(self):
+        s = self.similarity / 100
+        if (1 - s**self.rows - self.rows * (1 - s) * s ** (self.rows - 1)) ** self.bands > MISSED:
+            raise ValueError(f"{self.bands} bands of {self.rows} miss too many pairs at similarity {s}")
+
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts in a row, and each text's offsets."""
@@ -190,7 +202,7 @@ def first_pairs(nodes: DataFrame, scheme: Scheme) -> DataFrame:
 
 def sifted(rows: pa.Table, scheme: Scheme) -> pa.Table:
     """Of rows dealt to groups (key, i, j, m): the pairs of a left and a right row, or of any two where a tile meets
-    itself, that differ in component and that sizes and both signatures allow. A pair that meets
+    itself, that differ in component and that sizes and fine signatures allow. A pair that meets
     under several keys counts under the first of them only."""
     key, i, j, m, right, node, n, comp = (rows.column(c).to_numpy() for c in ("key", "i", "j", "m", "right", "node", "n", "component"))
     order = np.lexsort((right, m, j, i, key))
@@ -212,14 +224,14 @@ def sifted(rows: pa.Table, scheme: Scheme) -> pa.Table:
         y = np.arange(done[hi] - done[lo]) + np.repeat(first[lo:hi] - (done[lo:hi] - done[lo]), many[lo:hi])
         ok = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * scheme.similarity)
         x, y = x[ok], y[ok]
-        ok = np.bitwise_count(fine[x] ^ fine[y]).sum(axis=1) <= FINE_DISTANCE
+        ok = np.bitwise_count(fine[x] ^ fine[y]).sum(axis=1) <= scheme.fine_distance
         x, y = x[ok], y[ok]
         off = (sig[x] != sig[y]).reshape(-1, scheme.bands, scheme.rows)
         errors = off.sum(axis=2)
         band = np.argmax(errors <= 1, axis=1)
         each = np.arange(len(x))
         place = band * scheme.rows + np.argmax(off[each, band], axis=1)
-        ok = (errors.sum(axis=1) <= scheme.distance) & (key[x] >> (8 * (scheme.rows - 1)) == place)
+        ok = key[x] >> (8 * (scheme.rows - 1)) == place
         a.append(np.minimum(node[x[ok]], node[y[ok]]))
         b.append(np.maximum(node[x[ok]], node[y[ok]]))
         lo = hi
@@ -227,7 +239,7 @@ def sifted(rows: pa.Table, scheme: Scheme) -> pa.Table:
 
 
 def other_pairs(nodes: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """All pairs of nodes of different components under one key that sizes and signatures allow. ``nodes`` has
+    """All pairs of nodes of different components under one key that sizes and fine signatures allow. ``nodes`` has
     the component. Under a key, the nodes of its least component need no comparison among
     themselves: they form tiles of their own, and meet only the tiles of the others."""
     keys = keyed(nodes, scheme, ["n", "component"])

@@ -307,6 +307,20 @@ def test_op8_near_duplicates(docs, texts, none, k):
         assert near_duplicates.groups(none).count() == 0
 
 
+def test_op8_pairs_beyond_the_signature_distance():
+    sig, fine = np.zeros((2, 80), np.uint8), np.zeros((2, 128), np.uint8)
+    sig[1, 5:45] = 1  # 40 of 80 differ, the first band agrees
+    fine[1, :19] = 255  # 152 of 1024 differ
+    rows = pa.table({
+        "key": [0, 0], "i": [0, 0], "j": [0, 0], "m": [False, False], "right": [False, False], "node": [7, 9], "n": [100, 90], "component": [7, 9],
+        "signature": [x.tobytes() for x in sig], "fine": [x.tobytes() for x in fine],
+    })
+    assert near_duplicates.sifted(rows, near_duplicates.Scheme()).to_pylist() == [{"a": 7, "b": 9}]
+    assert near_duplicates.Scheme(similarity=70).fine_distance > 1024 * 0.15 + 5 * (1024 * 0.15 * 0.85) ** 0.5
+    with pytest.raises(ValueError):
+        near_duplicates.Scheme(similarity=50)
+
+
 def test_op8_components(spark):
     rng = np.random.default_rng(0)
     edges = {(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))} | {(i, i + 1) for i in range(1000, 1060)}
