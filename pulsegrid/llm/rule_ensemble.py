@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .line_rules import BLANK, SPLIT, SYMBOLS, count_of
 from .shared import cut, once
 
-#: Labelled documents that are learnt from at most; those with the smallest hashes of their ids.
+#: Rows of labels that are learnt from at most; those with the smallest hashes of their ids.
 SAMPLE = 20_000
 
 
@@ -114,9 +114,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees: int = 1
         .limit(sample)
         .select("doc_id", "label")
     )
-    # at most ``sample`` rows of two numbers
+    # at most ``sample`` rows of two numbers are broadcast; documents that repeat a labelled id add to the joined rows.
+    # These are few numbers each, and shuffled, so that the scan and the statistics keep all their tasks
     joined = docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id")
-    rows = cut(statistics(joined).select("own.label", *FEATURES, array_to_vector(F.array(*FEATURES)).alias("features")).coalesce(4))
+    rows = cut(statistics(joined).select("own.label", *FEATURES, array_to_vector(F.array(*FEATURES)).alias("features")).repartition(4))
     kinds = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(kinds) < 2:
         import math

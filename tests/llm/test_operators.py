@@ -148,6 +148,18 @@ def test_op3_rules(spark, docs, none):
     assert rule_ensemble.fit(d, labels.where("quality = 7")).weights == ()
 
 
+def test_op3_sample_is_read_in_all_tasks(spark, docs, monkeypatch):
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(rule_ensemble, "cut", seen)
+    rule_ensemble.fit(docs, spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int"))
+    assert len(plans) == 1 and "Coalesce" not in plans[0] and "RoundRobinPartitioning(4)" in plans[0]
+
+
 def brute_spans(texts, k):
     seen, out = set(), {}
     w = {d: split(t) for d, t in texts.items()}
