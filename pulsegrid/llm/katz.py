@@ -1,16 +1,20 @@
-"""A Katz backoff model of word bigrams with Good-Turing discounts, learnt and applied by Spark.
+"""A Katz backoff model of word n-grams with Good-Turing discounts, learnt and applied by Spark.
 
-    P(w | h) = d[c] * c(h, w) / c(h)   where the pair was seen,   a(h) * P(w)   else (P(w) if h is new)
-    P(w)     = d[c] * c(w) / N         where the word was seen,   what is left of 1   for any new word
+    P(w | h) = d[c] * c(h, w) / c(h)   where the n-gram was seen,   a(h) * P(w | h')   else
 
-Counts up to five are discounted by Good-Turing estimates. a(h) makes every history's probabilities sum to 1
-exactly, a new word among them. A history whose counts are all above five has nothing discounted; it
-counts one more occurrence, which goes to what follows it unseen. A text starts from a history of
-its own and ends with an end token.
+h' is h without its first word; where h itself was never seen, a(h) is 1. At the end of the recursion,
+P(w) = d[c] * c(w) / N, and any new word takes what is left of 1. Counts up to five are discounted by
+Good-Turing estimates, an order at a time. a(h) makes every history's probabilities sum to 1 exactly, a
+new word among them. A history whose counts are all above five has nothing discounted; it counts one more
+occurrence, which goes to what follows it unseen. A text starts from a history of start marks, and
+ends with an end token.
 
-Tokens are 64-bit hashes of words. Texts become blocks of codes, one Arrow slice each; what a block
-has to say to a bucket of words, or to a bucket of histories, is one packed message, in which each word
-or pair occurs once. Buckets hold the model: tables of words and of histories, partitioned by kind.
+Tokens are 64-bit hashes of words. Texts become blocks of codes, one Arrow slice each, in a table bucketed by
+block; what a block has to say to a bucket of n-grams is one packed message, in which each n-gram occurs once. Buckets
+count, order after order, and leave the model as tables, partitioned by order: ``grams(h1, ..., word, n)``,
+one row for each n-gram seen in training. The number of buckets grows with the texts. A
+history with more than HOT occurrences is parted among buckets by the words that follow it, and its totals are added
+up afterwards.
 
 Nulls count as empty texts, which are one end token. Rows that share a doc_id each get a row. Without
 training rows every token is new, and all probabilities are 1.
@@ -20,156 +24,231 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import by_bucket, dec, enc
-from .shared import stored, width
-from .words import M1, hashes, owners, slices, words
+from .shared import bucketed, discard, place, stored, text_bytes, width
+from .words import M1, M2, M3, hashes, mix, slices, words
 
 END = M1
 START = np.uint64(2**62)
 TOP = 5
-CODES, ASKED, WORDS, ANSWERED, PAIRS, HISTORIES = range(6)
-SCHEMA = "kind int, bucket int, block long, a binary, b binary, c binary, d binary, e binary, f binary"
-NAMES = ["kind", "bucket", "block", *"abcdef"]
+#: Occurrences in training of a history that one bucket takes whole.
+HOT = 500_000
+#: Bytes of text to a bucket of n-grams, and to a bucket of the table of blocks.
+BUCKET_BYTES, BLOCK_BYTES = 4 << 20, 8 << 20
+CODES, ASKED, ANSWERED, GRAMS, TOLD, STATS, PARTS = range(7)
 NULL_ID = -(2**63)
 
 
+def schema(order: int) -> str:
+    flat = "".join(f", h{i} long" for i in range(1, order))
+    return f"kind int, bucket int, block long{flat}, word long, n long, at int, stats array<long>, a binary, b binary, c binary, d binary, e binary, f binary"
+
+
 def wide(data: bytes) -> np.ndarray:
     return dec(data).astype(np.uint64)
 
 
-def rows_of(rows: list[tuple]) -> pa.RecordBatch | pa.Table:
-    kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
-    full = [(*r[:3], *(enc(x) for x in r[3:]), *[None] * (9 - len(r))) for r in rows]
-    columns = list(zip(*full, strict=True)) if full else [()] * 9
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=NAMES)
+def table_of(order: int, rows: list[tuple], flat: dict[str, np.ndarray] | None = None, bucket: int = -1, parts: list[tuple] = ()) -> pa.Table:
+    """Packed messages (kind, bucket, block, arrays ...), rows of n-grams as columns, and parted histories
+    (bucket, at, words, totals), as one table."""
+    heads = [f"h{i}" for i in range(1, order)]
+    names = ["kind", "bucket", "block", *heads, "word", "n", "at", "stats", *"abcdef"]
+    kinds = [pa.int32(), pa.int32(), *[pa.int64()] * (len(heads) + 3), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 6]
+    own = pa.schema(list(zip(names, kinds, strict=True)))
+    out = []
+    if rows:
+        columns: dict[str, list] = {n: [None] * len(rows) for n in names}
+        for i, r in enumerate(rows):
+            columns["kind"][i], columns["bucket"][i], columns["block"][i] = r[:3]
+            for c, x in zip("abcdef", r[3:], strict=False):
+                columns[c][i] = enc(x)
+        out.append(pa.table([pa.array(columns[n], k) for n, k in zip(names, kinds, strict=True)], schema=own))
+    if flat is not None and len(flat["n"]):
+        size = len(flat["n"])
+        fixed = {"kind": np.full(size, GRAMS, np.int32), "bucket": np.full(size, bucket, np.int32)} | {n: x.astype(np.int64) for n, x in flat.items()}
+        out.append(pa.table([pa.array(fixed[n], k) if n in fixed else pa.nulls(size, k) for n, k in zip(names, kinds, strict=True)], schema=own))
+    if parts:
+        fixed = {"kind": [PARTS] * len(parts), "bucket": [p[0] for p in parts], "at": [p[1] for p in parts], "stats": [p[3] for p in parts]} | {h: [p[2][i] if i < len(p[2]) else None for p in parts] for i, h in enumerate(heads)}
+        out.append(pa.table([pa.array(fixed[n], k) if n in fixed else pa.nulls(len(parts), k) for n, k in zip(names, kinds, strict=True)], schema=own))
+    return pa.concat_tables(out) if out else own.empty_table()
 
 
 def block_rows(ids: np.ndarray, held: np.ndarray, texts: pa.Array, block: int, buckets: int) -> list[tuple]:
     """A block's codes, and its messages to the buckets of words."""
     buf, starts, ends, off = words(texts, lower=True)
-    n = np.diff(off)
-    size = n + 1
+    size = np.diff(off) + 1
     to = np.concatenate(([0], np.cumsum(size)))
-    token = np.full(to[-1], END, np.uint64)
-    inner = np.ones(to[-1], bool)
+    token = np.full(to[-1] + 1, END, np.uint64)
+    inner = np.ones(to[-1] + 1, bool)
     inner[to[1:] - 1] = False
+    inner[-1] = False
     token[inner] = hashes(buf, starts, ends)
+    token[-1] = START  # not a token: its count is that of the texts
     distinct, code = np.unique(token, return_inverse=True)
     order, bounds = by_bucket(distinct, buckets)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    taught = np.bincount(code[~np.repeat(held, size)], minlength=len(distinct)).astype(np.uint64)[order]
-    distinct = distinct[order]
-    out = [(CODES, -1, block, ids, size.astype(np.uint64), place[code].astype(np.uint64), held.astype(np.uint8))]
+    at = np.empty(len(order), np.int64)
+    at[order] = np.arange(len(order))
+    taught = np.bincount(code[:-1][~np.repeat(held, size)], minlength=len(distinct)).astype(np.uint64)
+    taught[code[-1]] = np.count_nonzero(~held)
+    taught, distinct = taught[order], distinct[order]
+    out = [(CODES, -1, block, ids, size.astype(np.uint64), at[code].astype(np.uint64), held.astype(np.uint8))]
     return out + [(ASKED, b, block, distinct[x:y], taught[x:y]) for b, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if y > x]
 
 
-def count_words(rows: pa.Table, buckets: int) -> pa.Table:
-    """Counts and ids of a bucket's words, for its table and for each block that asked."""
+def count_words(rows: pa.Table, buckets: int) -> tuple[list[tuple], dict[str, np.ndarray], int]:
+    """Counts and numbers of a bucket's words: a row of the model for each, and an answer to each block that asked."""
     bucket = rows.column("bucket")[0].as_py()
     asked = [wide(x) for x in rows.column("a").to_pylist()]
     key, inverse = np.unique(np.concatenate(asked), return_inverse=True)
     n = np.bincount(inverse, np.concatenate([wide(x) for x in rows.column("b").to_pylist()]), len(key)).astype(np.uint64)
-    order = np.lexsort((key, ~n))  # frequent words first, so their ids are small
+    order = np.lexsort((key, ~n))  # frequent words first, so their numbers are small
     number = np.empty(len(key), np.uint64)
     number[order] = np.arange(len(key), dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket)
     at = np.concatenate(([0], np.cumsum([len(x) for x in asked])))
-    out = [(WORDS, bucket, -1, key[order], n[order])]
-    out += [(ANSWERED, bucket, b, number[inverse[x:y]], n[inverse[x:y]]) for b, x, y in zip(rows.column("block").to_pylist(), at[:-1], at[1:], strict=True)]
-    return pa.Table.from_batches([rows_of(out)])
+    own = order[(n[order] > 0) & (key[order] != START)]
+    out = [(ANSWERED, bucket, b, number[inverse[x:y]], n[inverse[x:y]]) for b, x, y in zip(rows.column("block").to_pylist(), at[:-1], at[1:], strict=True)]
+    return out, {"word": number[own], "n": n[own]}, bucket
 
 
 @dataclass
-class Tokens:
-    """A block with the answers about its words: for each token its document, word and pair."""
-
-    ids: np.ndarray
-    size: np.ndarray
-    held: np.ndarray
-    doc: np.ndarray
-    n: np.ndarray  # of each token's word in training
-    word: np.ndarray  # of each distinct pair, and so on
-    history: np.ndarray
-    word_n: np.ndarray
-    pair: np.ndarray  # of each token
-
-    @classmethod
-    def read(cls, codes: pa.Table, answers: pa.Table) -> Tokens:
-        row = codes.to_pylist()[0]
-        size, code = dec(row["b"]).astype(np.int64), dec(row["c"]).astype(np.int64)
-        told = sorted((r for r in answers.to_pylist() if r["kind"] == ANSWERED), key=lambda r: r["bucket"])
-        number, n = (np.concatenate([wide(r[c]) for r in told]) for c in "ab")
-        word = number[code]
-        history = np.empty_like(word)
-        history[1:] = word[:-1]
-        history[np.concatenate(([0], np.cumsum(size)[:-1]))] = START
-        order = np.lexsort((word, history))
-        h, w = history[order], word[order]
-        fresh = np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1]))
-        pair = np.empty(len(order), np.int64)
-        pair[order] = np.cumsum(fresh) - 1
-        return cls(dec(row["a"]).view(np.int64), size, dec(row["d"]).astype(bool), np.repeat(np.arange(len(size)), size), n[code], w[fresh], h[fresh], n[code][order][fresh], pair)
-
-    def histories(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct histories grouped by bucket: their order, bounds of buckets in it, first pair and pairs of each."""
-        first = np.flatnonzero(np.append(True, self.history[1:] != self.history[:-1]))
-        size = np.diff(np.append(first, len(self.history)))
-        own = (self.history[first] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(own, kind="stable")
-        return order, np.searchsorted(own[order], np.arange(buckets + 1)), first, size
-
-
-def pair_rows(tokens: Tokens, block: int, buckets: int) -> list[tuple]:
-    """A block's messages to the buckets of histories."""
-    taught = np.bincount(tokens.pair[~np.repeat(tokens.held, tokens.size)], minlength=len(tokens.word)).astype(np.uint64)
-    order, bounds, first, size = tokens.histories(buckets)
-    out = []
-    for b, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-        if y > x:
-            mine = order[x:y]
-            to = np.concatenate(([0], np.cumsum(size[mine])))
-            at = np.arange(to[-1]) + np.repeat(first[mine] - to[:-1], size[mine])
-            out.append((ASKED, b, block, tokens.history[first[mine]], size[mine].astype(np.uint64), tokens.word[at], taught[at], tokens.word_n[at]))
-    return out
+class Level:
+    """The distinct n-grams of one order in a block, ascending, and what is told of them and of their histories."""
+
+    words: np.ndarray  # local words of each, one line a place
+    history: np.ndarray  # of each, as an n-gram of the order below
+    low: np.ndarray  # each without its first word, likewise
+    real: np.ndarray  # not made of start marks only
+    of: np.ndarray  # of each place of the padded tokens
+    n: np.ndarray
+    whole: np.ndarray  # of each history, and so on
+    spare: np.ndarray
+    below: np.ndarray
+    bounds: np.ndarray | None = None  # the real ones' order by bucket, and its bounds
+    order: np.ndarray | None = None
+    salts: np.ndarray | None = None
+
 
+class Tokens:
+    """A block with the answers about its n-grams of the orders told, and its n-grams of ``order``."""
 
-def count_pairs(rows: pa.Table) -> pa.Table:
-    """Counts of a bucket's pairs, for its table and for each block that asked. Of each history: its count, its
-    followers by count (1 to TOP), the counts of its followers as words, and these by count."""
+    def __init__(self, codes: pa.Table, told: pa.Table, order: int, most: int, buckets: int):
+        row = codes.to_pylist()[0]
+        answers = sorted(told.to_pylist(), key=lambda r: (r["kind"], r["level"] or 0, r["bucket"]))
+        self.ids, self.size, self.held = dec(row["a"]).view(np.int64), dec(row["b"]).astype(np.int64), dec(row["d"]).astype(bool)
+        code, self.buckets = dec(row["c"]).astype(np.int64), buckets
+        number, n = (np.concatenate([wide(r[c]) for r in answers if r["kind"] == ANSWERED]) for c in "ab")
+        by = np.argsort(number)
+        place_of = np.empty(len(by), np.int64)
+        place_of[by] = np.arange(len(by))
+        self.number, n = number[by], n[by]
+        self.start = place_of[code[-1]]
+        pad = most - 1
+        self.at = np.arange(len(code) - 1) + pad * (np.repeat(np.arange(len(self.size)), self.size) + 1)  # places of real tokens
+        padded = np.full(len(code) - 1 + pad * len(self.size), self.start, np.int64)
+        padded[self.at] = place_of[code[:-1]]
+        within = np.arange(len(padded)) - np.repeat(np.cumsum(self.size + pad) - self.size - pad, self.size + pad)
+        self.doc = np.repeat(np.arange(len(self.size)), self.size)
+        none = np.zeros(0)
+        self.levels = [Level(np.arange(len(by))[None], none, none, np.ones(len(by), bool), padded, n, none, none, none)]
+        for k in range(2, order + 1):
+            self._add(within, k, [r for r in answers if r["kind"] == TOLD and r["level"] == k])
+
+    def _add(self, within: np.ndarray, k: int, told: list[dict]) -> None:
+        below, first = self.levels[-1], self.levels[0]
+        v = len(first.n)
+        at = np.flatnonzero(within >= k - 1)
+        key, index, of = np.unique(below.of[at - 1] * v + first.of[at], return_index=True, return_inverse=True)
+        history, last = key // v, key % v
+        full = np.zeros(len(within), np.int64)
+        full[at] = of
+        real = np.zeros(len(key), bool)
+        real[full[self.at]] = True
+        low = below.of[at[index]]
+        cols = np.concatenate((below.words[:, history], last[None]))
+        # the bucket of each real one
+        seen = below.n if k == 2 else np.where(below.real, below.n, first.n[self.start])
+        salts = 1 + (seen // HOT).astype(np.uint64)
+        name = np.full(len(below.n), M2 + np.uint64(k), np.uint64)
+        for line in below.words:
+            name = mix(name * M3 + self.number[line])
+        own = name[history]
+        parted = salts[history] > 1
+        own[parted] = mix(own[parted] + mix(self.number[last[parted]]) % salts[history[parted]])
+        mine = np.flatnonzero(real)
+        order, bounds = by_bucket(own[mine], self.buckets)
+        level = Level(cols, history, low, real, full, np.zeros(len(key)), *(np.zeros(len(below.n)) for _ in range(3)), bounds, mine[order], salts)
+        if told:
+            level.n[level.order] = np.concatenate([dec(r["a"]) for r in told])
+            if told[0]["b"] is not None:
+                for c, x in zip("bcd", (level.whole, level.spare, level.below), strict=True):
+                    for r in told:
+                        lo, hi = level.bounds[r["bucket"]], level.bounds[r["bucket"] + 1]
+                        got = dec(r[c])
+                        heads = level.history[level.order[lo:hi]]
+                        heads = heads[np.append(True, heads[1:] != heads[:-1])]
+                        x[heads] = np.maximum(x[heads], got)  # a parted history is told by several buckets, in full or not at all
+        self.levels.append(level)
+
+    def asks(self, block: int) -> list[tuple]:
+        """Messages about the n-grams of the highest order to the buckets."""
+        level, below = self.levels[-1], self.levels[-2]
+        taught = np.bincount(level.of[self.at][~self.held[self.doc]], minlength=len(level.n)).astype(np.uint64)
+        out = []
+        for b in np.flatnonzero(np.diff(level.bounds)):
+            g = level.order[level.bounds[b] : level.bounds[b + 1]]
+            history = level.history[g]
+            head = np.flatnonzero(np.append(True, history[1:] != history[:-1]))
+            own = history[head]
+            lines = self.number[below.words[:, own]]
+            lines[0] = np.diff(lines[0], prepend=np.uint64(0))  # ascending
+            size = np.diff(np.append(head, len(g))).astype(np.uint64)
+            out.append((ASKED, int(b), block, lines.reshape(-1), size, self.number[level.words[-1][g]], taught[g], below.n[level.low[g]].astype(np.uint64), level.salts[own] - np.uint64(1)))
+        return out
+
+
+def count_grams(rows: pa.Table, order: int) -> tuple[list[tuple], dict[str, np.ndarray], int, list[tuple]]:
+    """Counts of a bucket's n-grams: a row of the model for each, for each block the counts that it asked for, and of
+    each history: its count, its followers by count (1 to TOP), the counts of its followers without the history's first
+    word, and these by count."""
     bucket = rows.column("bucket")[0].as_py()
-    own = [wide(x) for x in rows.column("a").to_pylist()]
-    size = [dec(x).astype(np.int64) for x in rows.column("b").to_pylist()]
-    history = np.concatenate([np.repeat(h, s) for h, s in zip(own, size, strict=True)])
-    word, n, word_n = (np.concatenate([wide(x) for x in rows.column(c).to_pylist()]) for c in "cde")
-    order = np.lexsort((word, history))
-    h, w = history[order], word[order]
-    fresh = np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1]))
-    pair = np.empty(len(order), np.int64)
-    pair[order] = np.cumsum(fresh) - 1
-    total = np.bincount(pair, n).astype(np.uint64)
-    h, w, word_n = h[fresh], w[fresh], word_n[order][fresh]
-    head = np.append(True, h[1:] != h[:-1])
-    group = np.cumsum(head) - 1
-    names, seen = h[head], total > 0
-    tally = lambda v, yes: np.bincount(group[yes], v[yes], len(names)).astype(np.uint64)
+    names, sizes = [wide(x).reshape(order - 1, -1) for x in rows.column("a").to_pylist()], [dec(x).astype(np.int64) for x in rows.column("b").to_pylist()]
+    for x in names:
+        x[0] = np.cumsum(x[0])
+    history = np.concatenate([np.repeat(h, s, axis=1) for h, s in zip(names, sizes, strict=True)], axis=1)
+    word, n, low = (np.concatenate([wide(x) for x in rows.column(c).to_pylist()]) for c in "cde")
+    salts = np.concatenate([np.repeat(wide(x), s) for x, s in zip(rows.column("f").to_pylist(), sizes, strict=True)])
+    by = np.lexsort((word, *history[::-1]))
+    h, w = history[:, by], word[by]
+    turn = np.append(True, (h[:, 1:] != h[:, :-1]).any(axis=0))
+    fresh = turn | np.append(True, w[1:] != w[:-1])
+    gram, group = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
+    gram[by], group[by] = np.cumsum(fresh) - 1, np.cumsum(turn) - 1
+    total = np.bincount(gram, n).astype(np.uint64)
+    h, w, low, salts = h[:, fresh], w[fresh], low[by][fresh], salts[by][fresh]
+    of = (np.cumsum(turn) - 1)[fresh]
+    size, seen = int(turn.sum()), total > 0
+    tally = lambda v, yes: np.bincount(of[yes], v[yes], size).astype(np.uint64)
     one = np.ones(len(total), np.uint64)
-    stats = [tally(total, seen), *(tally(one, total == r) for r in range(1, TOP + 1)), tally(word_n, seen), *(tally(one, seen & (word_n == r)) for r in range(1, TOP + 1))]
-    kinds = np.bincount(np.minimum(total[seen], TOP + 2).astype(np.int64), minlength=TOP + 3)[1 : TOP + 2].astype(np.uint64)
-    followers = np.bincount(group[seen], minlength=len(names)).astype(np.uint64)
-    out = [(HISTORIES, bucket, -1, names, followers, w[seen], total[seen], np.concatenate(stats), kinds)]
+    stats = np.array([tally(total, seen), *(tally(one, total == r) for r in range(1, TOP + 1)), tally(low, seen), *(tally(one, seen & (low == r)) for r in range(1, TOP + 1))])
+    heads = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    parts = [(bucket, int(i), h[:, heads[i]].astype(np.int64).tolist(), stats[:, i].astype(np.int64).tolist()) for i in np.flatnonzero(salts[heads] > 0)]
+    out = [(STATS, bucket, -1, stats.reshape(-1))]
     at = 0
-    for b, mine, s in zip(rows.column("block").to_pylist(), own, size, strict=True):
+    for b, s in zip(rows.column("block").to_pylist(), sizes, strict=True):
         to = at + int(s.sum())
-        out.append((PAIRS, bucket, b, total[pair[at:to]], np.searchsorted(names, mine).astype(np.uint64)))
+        first = at + np.concatenate(([0], np.cumsum(s)[:-1]))
+        out.append((TOLD, bucket, b, total[gram[at:to]], np.diff(group[first], prepend=0).astype(np.uint64), s.astype(np.uint64)))
         at = to
-    return pa.Table.from_batches([rows_of(out)])
+    flat = {f"h{i + 1}": line[seen] for i, line in enumerate(h)} | {"word": w[seen], "n": total[seen]}
+    return out, flat, bucket, parts
 
 
 def discounts(kinds: list[int]) -> np.ndarray:
@@ -188,133 +267,196 @@ def discounts(kinds: list[int]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Totals:
-    """What all tasks need to know of the corpus: tokens, types, discounts and what they spare of the words' counts."""
+    """What all tasks need to know of the corpus: tokens, types, and the discounts of each order."""
 
     n: int
     types: int
-    d_word: np.ndarray
-    d_pair: np.ndarray
-    spared: float
+    d: tuple[np.ndarray, ...]
+    spared: float  # of the words' counts
 
     @property
     def whole(self) -> int:
         """The words' denominator; one more where nothing is spared."""
         return self.n + (self.spared == 0)
 
+    def discounted(self, n: np.ndarray, order: int) -> np.ndarray:
+        return np.where(n <= TOP, self.d[order - 1][np.minimum(n, TOP).astype(np.int64)], 1.0) * n
+
     def word(self, n: np.ndarray) -> np.ndarray:
         """P(w) of words by their counts."""
-        known = np.where(n <= TOP, self.d_word[np.minimum(n, TOP).astype(np.int64)], 1.0) * n / self.whole
-        return np.where(n > 0, known, (self.spared or 1.0) / self.whole)
+        return np.where(n > 0, self.discounted(n, 1), self.spared or 1.0) / self.whole
 
 
-def totals(word_kinds: list[int], n: int, types: int, pair_kinds: list[int]) -> Totals:
-    d, r = discounts(word_kinds), np.arange(1, TOP + 1)
-    return Totals(n, types, d, discounts(pair_kinds), float(((1 - d[1:]) * r * np.array(word_kinds[:TOP], float)).sum()))
+def totals(kinds: list[list[int]], n: int, types: int) -> Totals:
+    """``kinds``: of each order, the numbers of types that occur 1 .. TOP + 1 times."""
+    d = tuple(map(discounts, kinds))
+    return Totals(n, types, d, float(((1 - d[0][1:]) * np.arange(1, TOP + 1) * np.array(kinds[0][:TOP], float)).sum()))
 
 
-def backoff(stats: np.ndarray, t: Totals) -> tuple[np.ndarray, np.ndarray]:
-    """c(h), one more where nothing is spared, and a(h), of the histories with these statistics."""
-    s = stats.reshape(2 * TOP + 2, -1).astype(float)
-    count, words_n = s[0], s[TOP + 1]
+def spare(stats: np.ndarray, t: Totals, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of histories with these statistics: c(h), one more where nothing is spared; the probability that is spared; and
+    the discounted counts of their followers without the history's first word."""
+    s = stats.astype(float)
     r = np.arange(1, TOP + 1)[:, None]
-    spared = ((1 - t.d_pair[1:, None]) * r * s[1 : TOP + 1]).sum(axis=0)
-    below = (words_n - ((1 - t.d_word[1:, None]) * r * s[TOP + 2 :]).sum(axis=0)) / t.whole
-    whole = np.where((spared == 0) & (count > 0), count + 1, count)
-    spared = np.where(spared == 0, 1.0, spared)
-    with np.errstate(all="ignore"):
-        weight = np.where(count > 0, spared / whole / (1 - below), 1.0)
-    return whole, weight
+    spared = ((1 - t.d[order - 1][1:, None]) * r * s[1 : TOP + 1]).sum(axis=0)
+    below = s[TOP + 1] - ((1 - t.d[order - 2][1:, None]) * r * s[TOP + 2 :]).sum(axis=0)
+    whole = np.where((spared == 0) & (s[0] > 0), s[0] + 1, s[0])
+    return whole, np.where(spared == 0, 1.0, spared) / np.maximum(whole, 1), below
 
 
-def answer(rows: pa.Table, t: Totals) -> pa.Table:
-    """For each block: its pairs' counts, and its histories' counts and backoff weights."""
+def answer(rows: pa.Table, hot: pa.Table, t: Totals, order: int) -> list[tuple]:
+    """For each block: its n-grams' counts, and of its histories the count; what is spared and below only where some
+    n-gram of the block is new, as nothing else backs off."""
     found = rows.to_pylist()
-    table = next(r for r in found if r["kind"] == HISTORIES)
-    count, weight = backoff(dec(table["e"]), t)
+    stats = wide(next(r for r in found if r["kind"] == STATS)["a"]).reshape(2 * TOP + 2, -1)
+    for r in hot.to_pylist():
+        stats[:, r["at"]] = r["stats"]
+    facts = spare(stats, t, order)
     out = []
     for r in found:
-        if r["kind"] == PAIRS:
-            at = dec(r["b"]).astype(np.int64)
-            out.append((PAIRS, r["bucket"], r["block"], wide(r["a"]), count[at].astype(np.uint64), weight[at]))
-    return pa.Table.from_batches([rows_of(out)])
-
-
-def scores(codes: pa.Table, answers: pa.Table, t: Totals, buckets: int) -> pa.Table:
-    tokens = Tokens.read(codes, answers)
-    order, bounds, first, size = tokens.histories(buckets)
-    told = sorted((r for r in answers.to_pylist() if r["kind"] == PAIRS), key=lambda r: r["bucket"])
-    n, count, weight = (np.concatenate([dec(r[c]) for r in told]) for c in "abc")
-    to = np.concatenate(([0], np.cumsum(size[order])))
-    at = np.arange(to[-1]) + np.repeat(first[order] - to[:-1], size[order])
-    pairs, whole, back = np.empty(len(at)), np.empty(len(at)), np.empty(len(at))
-    pairs[at], whole[at], back[at] = n, np.repeat(count, size[order]), np.repeat(weight, size[order])
-    seen = np.where(pairs <= TOP, t.d_pair[np.minimum(pairs, TOP).astype(np.int64)], 1.0) * pairs / np.maximum(whole, 1)
-    logs = np.log10(np.where(pairs > 0, seen, back * t.word(tokens.word_n.astype(float))))
-    base = np.log10((tokens.n + 0.1) / (t.n + 0.1 * (t.types + 1)))
+        if r["kind"] == TOLD:
+            n, at, size = dec(r["a"]), np.cumsum(dec(r["b"]).astype(np.int64)), dec(r["c"]).astype(np.int64)
+            new = np.bincount(np.repeat(np.arange(len(at)), size)[n == 0], minlength=len(at)) > 0
+            out.append((TOLD, r["bucket"], r["block"], n, facts[0][at].astype(np.uint64), *(np.where(new, x[at], 0.0) for x in facts[1:])))
+    return out
+
+
+def probability(tokens: Tokens, t: Totals, order: int) -> np.ndarray:
+    """P of each distinct n-gram's last word after the others, backing off recursively."""
+    level = tokens.levels[order - 1]
+    if order == 1:
+        return t.word(level.n.astype(float))
+    lower = probability(tokens, t, order - 1)[level.low]
+    below = tokens.levels[order - 2]
+    shorter = t.whole if order == 2 else below.whole[below.low]
+    with np.errstate(all="ignore"):
+        weight = np.where(level.whole > 0, level.spare / (1 - level.below / shorter), 1.0)
+        seen = t.discounted(level.n.astype(float), order) / level.whole[level.history]
+    return np.where(level.n > 0, seen, weight[level.history] * lower)
+
+
+def scores(tokens: Tokens, t: Totals, order: int) -> pa.Table:
     docs = len(tokens.size)
     total = lambda x: np.bincount(tokens.doc, x, docs)
+    n = tokens.levels[0].n[tokens.levels[0].of[tokens.at]].astype(float)
+    base = np.log10((n + 0.1) / (t.n + 0.1 * (t.types + 1)))
+    logs = np.log10(np.maximum(probability(tokens, t, order)[tokens.levels[order - 1].of[tokens.at]], np.finfo(float).tiny))
     return pa.table({
         "doc_id": pa.array(tokens.ids, pa.int64()), "held_out": pa.array(tokens.held), "n_tokens": pa.array(tokens.size),
-        "n_known": pa.array(total(tokens.n > 0).astype(np.int64)), "train_tokens": pa.array(np.full(docs, t.n)), "base_score": pa.array(total(base)), "score": pa.array(total(logs[tokens.pair])),
+        "n_known": pa.array(total(n > 0).astype(np.int64)), "train_tokens": pa.array(np.full(docs, t.n)), "base_score": pa.array(total(base)), "score": pa.array(total(logs)),
     })
 
 
-OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+@dataclass(frozen=True)
+class Model:
+    """The stored tables of a corpus and its blocks. ``grams``: of each order the table (h1, ..., word, n) of its n-grams;
+    words are numbers, which ``vocabulary(word, n)``, the table of order 1, has too."""
+
+    totals: Totals
+    grams: list[DataFrame]
+    codes: DataFrame
+    answered: DataFrame
+    told: list[DataFrame]  # of the orders above 1: what buckets know, one table each
+    buckets: int
+
+    def discounted(self, order: int) -> DataFrame:
+        """The n-grams of an order with their discounted counts."""
+        d = F.array(*map(F.lit, self.totals.d[order - 1].tolist()))
+        return self.grams[order - 1].withColumn("discounted", F.when(F.col("n") <= TOP, F.get(d, F.col("n").cast("int"))).otherwise(F.lit(1.0)) * F.col("n"))
+
+    def weights(self, order: int) -> DataFrame:
+        """h1, ..., n, weight: the histories of an order (2 or more) with their counts and backoff weights."""
+        history, short = [f"h{i}" for i in range(1, order)], [f"h{i}" for i in range(2, order)]
+        low = self.discounted(order - 1).select(*(F.col(f"h{i}").alias(f"h{i + 1}") for i in range(1, order - 1)), "word", F.col("discounted").alias("low"))
+        whole = self.grams[order - 2].groupBy(*(F.col(f"h{i}").alias(f"h{i + 1}") for i in range(1, order - 1))).agg(F.sum("n").alias("_n"), F.min("n").alias("_least"))
+        denominator = F.lit(self.totals.whole) if order == 2 else F.first(F.col("_n") + (F.col("_least") > TOP).cast("int"))
+        rows = self.discounted(order).join(low, [*short, "word"])
+        rows = rows if order == 2 else rows.join(whole, short)
+        rows = rows.groupBy(*history).agg(F.sum("n").alias("n"), F.sum(F.col("n") - F.col("discounted")).alias("spared"), F.sum("low").alias("low"), F.min("n").alias("least"), denominator.alias("denominator"))
+        none = F.col("least") > TOP
+        return rows.select(*history, "n", (F.when(none, 1 / (F.col("n") + 1)).otherwise(F.col("spared") / F.col("n")) / (1 - F.col("low") / F.col("denominator"))).alias("weight"))
+
+
+def fit(docs: DataFrame, order: int = 3) -> Model:
+    """Counts the n-grams of the rows of ``docs(doc_id, text)`` that aren't held out, and stores the tables."""
+    spark = docs.sparkSession
+    size = text_bytes(docs)
+    buckets, path = 1 + size // BUCKET_BYTES, place(spark)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), held.alias("held"), F.col("text").cast("string").alias("text"))
 
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for k, batch in enumerate(slices(batches, "text", BLOCK_BYTES)):
+            ids, own = batch.column("doc_id").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False)
+            yield from table_of(1, block_rows(ids, own, batch.column("text"), part << 24 | k, buckets)).to_batches()
 
-def summed(table: DataFrame, kind: int, column: str, size: int) -> list[int]:
-    """Counts of counts of a table's types, summed over its buckets: 1 .. size - 2, then all tokens, then all types."""
+    def words_counted(asked: pa.Table) -> pa.Table:
+        return table_of(1, *count_words(asked, buckets))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column(column).to_pylist():
-                n = dec(x).astype(np.int64)
-                values = np.append(np.bincount(np.minimum(n, size), minlength=size + 1)[1 : size - 1], (n.sum(), (n > 0).sum()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(values)], names=["i", "n"])
+    blocks = bucketed(rows.mapInArrow(coded, schema(1)), max(width(spark), 1 + size // (2 * BLOCK_BYTES)), "block", f"{path}/blocks", "kind")
+    codes = blocks.where(F.col("kind") == CODES).select("block", "a", "b", "c", "d")
+    first = stored(blocks.where(F.col("kind") == ASKED).groupBy("bucket").applyInArrow(words_counted, schema(1)), "kind", path=f"{path}/order=1")
+    discard(spark, f"{path}/blocks/kind={ASKED}")
+    grams, told = [first.where(F.col("kind") == GRAMS).select("word", "n")], []
+    answered = message(first.where(F.col("kind") == ANSWERED), 0, "a", "b")
+    for k in range(2, order + 1):
+        found = stored(_pass(codes, [answered, *(message(x.where(F.col("kind") == TOLD), i + 2, "a") for i, x in enumerate(told))], k, order, buckets), "kind", path=f"{path}/order={k}")
+        grams.append(found.where(F.col("kind") == GRAMS).select(*(f"h{i}" for i in range(1, k)), "word", "n"))
+        told.append(found)
+    kinds = []
+    for table in grams:  # TOP + 1 rows each
+        tally = {r.n: r.m for r in table.where(F.col("n") <= TOP + 1).groupBy("n").agg(F.count("*").alias("m")).collect()}
+        kinds.append([tally.get(r, 0) for r in range(1, TOP + 2)])
+    n, types = grams[0].agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    return Model(totals(kinds, n, types), grams, codes, answered, told, buckets)
 
-    found = table.where(F.col("kind") == kind).select(column).mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()  # ``size`` rows
-    n = {r.i: r.n for r in found}
-    return [int(n.get(i, 0)) for i in range(size)]
 
+def message(rows: DataFrame, level: int, *given: str) -> DataFrame:
+    """Rows of one kind for the blocks, with the arrays ``given``."""
+    return rows.select("block", "kind", F.lit(level).alias("level"), "bucket", *(F.col(c) if c in given else F.lit(None).cast("binary").alias(c) for c in "abcd"))
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs(doc_id, text)``.
-    Rows whose crc32(doc_id as text) mod 10 is 0 are held out of training; a null doc_id teaches."""
-    buckets = width(docs.sparkSession)
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), held.alias("held"), F.col("text").cast("string").alias("text"))
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for k, batch in enumerate(slices(batches, "text", 8 << 20)):
-            ids, own = batch.column("doc_id").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False)
-            yield rows_of(block_rows(ids, own, batch.column("text"), part << 24 | k, buckets))
+def _pass(codes: DataFrame, known: list[DataFrame], k: int, most: int, buckets: int) -> DataFrame:
+    """The n-grams of order ``k`` asked by the blocks and counted by the buckets."""
+
+    def asks(codes: pa.Table, told: pa.Table) -> pa.Table:
+        return table_of(1, Tokens(codes, told, k, most, buckets).asks(codes.column("block")[0].as_py())) if codes.num_rows else table_of(1, [])
+
+    def counted(rows: pa.Table) -> pa.Table:
+        return table_of(k, *count_grams(rows, k))
+
+    asked = codes.groupBy("block").cogroup(reduce(DataFrame.unionByName, known).groupBy("block")).applyInArrow(asks, schema(1))
+    return asked.groupBy("bucket").applyInArrow(counted, schema(k))
+
 
-    def words_counted(rows: pa.Table) -> pa.Table:
-        return count_words(rows, buckets)
+def _answers(found: DataFrame, k: int, t: Totals) -> DataFrame:
+    """What blocks are told of order ``k``, with the totals of parted histories added up. These are few: HOT occurrences
+    to a part at least."""
+    history: list[str | Column] = [f"h{i}" for i in range(1, k)]
+    parts = found.where(F.col("kind") == PARTS)
+    added = parts.groupBy(*history).agg(F.array(*(F.sum(F.get("stats", i)) for i in range(2 * TOP + 2))).alias("stats"))
+    hot = parts.select("bucket", "at", *history).join(added, history).select(F.col("bucket").alias("to"), "at", added["stats"].alias("stats"))
 
-    def pairs_asked(codes: pa.Table, answers: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([rows_of(pair_rows(Tokens.read(codes, answers), codes.column("block")[0].as_py(), buckets))])
+    def answered(rows: pa.Table, hot: pa.Table) -> pa.Table:
+        return table_of(1, answer(rows, hot, t, k))
 
-    def pairs_counted(rows: pa.Table) -> pa.Table:
-        return count_pairs(rows)
+    mine = found.where(F.col("kind").isin(TOLD, STATS)).select("kind", "bucket", "block", "a", "b", "c")
+    return message(mine.groupBy("bucket").cogroup(hot.groupBy("to")).applyInArrow(answered, schema(1)), k, *"abcd")
 
-    blocks = stored(rows.mapInArrow(coded, SCHEMA), "kind")
-    codes = blocks.where(F.col("kind") == CODES)
-    vocabulary = stored(blocks.where(F.col("kind") == ASKED).groupBy("bucket").applyInArrow(words_counted, SCHEMA), "kind")
-    answered = vocabulary.where(F.col("kind") == ANSWERED)
-    asked = codes.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(pairs_asked, SCHEMA)
-    model = stored(asked.groupBy("bucket").applyInArrow(pairs_counted, SCHEMA), "kind")
-    *word_kinds, n, types = summed(vocabulary, WORDS, "b", TOP + 3)
-    *pair_kinds, _, _ = summed(model, HISTORIES, "d", TOP + 3)
-    t = totals(word_kinds, n, types, pair_kinds)
 
-    def answers_given(rows: pa.Table) -> pa.Table:
-        return answer(rows, t)
+OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def score(docs: DataFrame, order: int = 3) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs(doc_id, text)``.
+    Rows whose crc32(doc_id as text) mod 10 is 0 are held out of training; a null doc_id teaches."""
+    model = fit(docs, order)
+    t, buckets = model.totals, model.buckets
+    known = [model.answered, *(_answers(x, i + 2, t) for i, x in enumerate(model.told))]
 
-    def scored(codes: pa.Table, answers: pa.Table) -> pa.Table:
-        return scores(codes, answers, t, buckets)
+    def scored(codes: pa.Table, told: pa.Table) -> pa.Table:
+        return scores(Tokens(codes, told, order, order, buckets), t, order)
 
-    told = model.groupBy("bucket").applyInArrow(answers_given, SCHEMA).unionByName(answered)
-    out = codes.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scored, OUT)
+    out = model.codes.groupBy("block").cogroup(reduce(DataFrame.unionByName, known).groupBy("block")).applyInArrow(scored, OUT)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))

@@ -10,28 +10,49 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Where it is unset, a session whose executors all run on this machine takes
+    a folder here; on a cluster there is no such folder, and that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once, its lineage cut by checkpoint() in ``spark.checkpoint.dir``.
-
-    That folder is read from the session; one of our own is set only where none is (as in tests).
-    """
+    """``df`` computed once, its lineage cut by checkpoint() in ``spark.checkpoint.dir``."""
     folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, *by: str) -> DataFrame:
+def place(spark: SparkSession) -> str:
+    """A path of its own in the shared folder."""
+    return f"{folder(spark)}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, *by: str, path: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, partitioned by the columns ``by``."""
-    path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path)
+    path = path or place(df.sparkSession)
+    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, buckets: int, key: str, path: str, by: str) -> DataFrame:
+    """``df`` as a Parquet table in ``path``, partitioned by ``by`` and bucketed by ``key``, so that grouping by the key
+    needs no shuffle of it."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    df.write.partitionBy(by).bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that no later step reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,6 +62,11 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts, and 64 for each row."""
+    return docs.agg(F.sum(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 64)).first()[0] or 0
+
+
 def once(df: DataFrame, keep: list[str], *columns: Column) -> DataFrame:
     """``keep`` and the named ``columns``, these as a generated row. A filter on them stays above the generator; below
     a projection the optimiser would spell their definitions out in it, inside lambdas for every element."""

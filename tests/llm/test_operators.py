@@ -73,47 +73,78 @@ def test_windows_and_hashes():
         assert len(got) == 101 - k and all(len(v) == 1 for v in same.values()) and len({min(v) for v in same.values()}) == len(same)
 
 
-def test_op1_katz(docs, texts, none):
+def katz_by_hand(texts, order):
+    """The counts of all orders, and P(w | h) by the definition, summing over all words."""
     tokens = {k: [w.translate(LOW) for w in split(t)] + ["</s>"] for k, t in texts.items()}
     held = {k for k in tokens if zlib.crc32(str(k).encode()) % 10 == 0}
-    taught = [k for k in tokens if k not in held]
-    uni = collections.Counter(w for k in taught for w in tokens[k])
-    pairs = collections.Counter(p for k in taught for p in zip(["<s>", *tokens[k]], tokens[k]))
-    n, v = sum(uni.values()), len(uni)
-    kinds = lambda c: [sum(1 for x in c.values() if x == r) for r in range(1, 7)]
-    t = katz.totals(kinds(uni), n, v, kinds(pairs))
-    p = lambda w: float(t.word(np.array([float(uni.get(w, 0))]))[0])
+    counts = [collections.Counter() for _ in range(order + 1)]
+    for k, x in tokens.items():
+        padded = ["<s>"] * (order - 1) + x
+        if k not in held:
+            for i in range(order - 1, len(padded)):
+                for m in range(1, order + 1):
+                    counts[m][tuple(padded[i - m + 1 : i + 1])] += 1
+    d = [None, *(katz.discounts([sum(1 for x in counts[m].values() if x == r) for r in range(1, 7)]) for m in range(1, order + 1))]
     follow = collections.defaultdict(dict)
-    for (h, w), c in pairs.items():
-        follow[h][w] = c
-    d = lambda c: (t.d_pair[c] if c <= 5 else 1.0) * c
-
-    def model(h):
-        seen = {w: d(c) for w, c in follow[h].items()}
-        spare = sum(follow[h].values()) - sum(seen.values())
-        whole = sum(follow[h].values())
-        spare, whole = (1.0, whole + 1) if all(c > 5 for c in follow[h].values()) else (spare, whole)
-        return {w: x / whole for w, x in seen.items()}, spare / whole / (1 - sum(p(w) for w in seen))
-
-    assert sum(p(w) for w in uni) + p("never seen") == pytest.approx(1)
-    for h in list(follow)[:20]:
-        seen, weight = model(h)
-        assert sum(seen.values()) + weight * (1 - sum(p(w) for w in seen)) == pytest.approx(1)
-
-    def log_p(h, w):
-        if h not in follow:
-            return math.log10(p(w))
-        seen, weight = model(h)
-        return math.log10(seen[w] if w in seen else weight * p(w))
-
-    got = {r.doc_id: r for r in katz.score(docs).collect()}
+    for m in range(2, order + 1):
+        for g, c in counts[m].items():
+            follow[g[:-1]][g[-1]] = c
+    cut = lambda c, m: (d[m][c] if c <= 5 else 1.0) * c
+    n = sum(counts[1].values())
+    spared = n - sum(cut(c, 1) for c in counts[1].values())
+    cache = {}
+
+    def p(h, w):
+        if (h, w) not in cache:
+            m = len(h) + 1
+            if m == 1:
+                whole = n + (spared < 1e-12)
+                cache[h, w] = cut(counts[1][w,], 1) / whole if (w,) in counts[1] else (spared if spared > 1e-12 else 1.0) / whole
+            elif h not in follow:
+                cache[h, w] = p(h[1:], w)
+            else:
+                whole = sum(follow[h].values()) + all(c > 5 for c in follow[h].values())
+                cache[h, w] = cut(follow[h][w], m) / whole if w in follow[h] else weight(h) * p(h[1:], w)
+        return cache[h, w]
+
+    def weight(h):
+        if ("weight", h) not in cache:
+            cache["weight", h] = (1 - sum(p(h, w) for w in follow[h])) / (1 - sum(p(h[1:], w) for w in follow[h]))
+        return cache["weight", h]
+
+    return tokens, held, counts, follow, p, weight, n
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize("hot", [500_000, 20])
+def test_op1_katz(docs, texts, none, monkeypatch, order, hot):
+    if hot == 20 and order in (1, 4):
+        return
+    monkeypatch.setattr(katz, "HOT", hot)  # small: many histories are parted
+    monkeypatch.setattr(katz, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(katz, "BLOCK_BYTES", 30_000)
+    tokens, held, counts, follow, p, _, n = katz_by_hand(texts, order)
+    for h in [(), *list(follow)[:10], *list(follow)[-10:]]:  # probabilities sum to 1, a new word among them
+        assert sum(p(h, w) for (w,) in counts[1]) + p(h, "never seen") == pytest.approx(1)
+    got = {r.doc_id: r for r in katz.score(docs, order).collect()}
     assert len(got) == len(texts)
-    for k in [*list(tokens)[:8], *list(tokens)[-24:], *held]:
-        r, x = got[k], tokens[k]
-        assert r.held_out == (k in held) and r.train_tokens == n and r.n_tokens == len(x) and r.n_known == sum(w in uni for w in x)
-        assert r.base_score == pytest.approx(sum(math.log10((uni.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in x))
-        assert r.score == pytest.approx(sum(log_p(h, w) for h, w in zip(["<s>", *x], x)))
-    assert katz.score(none).count() == 0
+    for k, x in tokens.items():
+        r, padded = got[k], ["<s>"] * (order - 1) + x
+        assert r.held_out == (k in held) and r.train_tokens == n and r.n_tokens == len(x) and r.n_known == sum((w,) in counts[1] for w in x)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[1][w,] + 0.1) / (n + 0.1 * (len(counts[1]) + 1))) for w in x))
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(padded[i : i + order - 1]), w)) for i, w in enumerate(x)), rel=1e-9)
+    assert katz.score(none, order).count() == 0
+
+
+def test_op1_tables(docs, texts):
+    _, _, counts, follow, _, weight, _ = katz_by_hand(texts, 3)
+    model = katz.fit(docs)
+    for m in (1, 2, 3):
+        got = collections.Counter(r.n for r in model.grams[m - 1].select("n").collect())
+        assert got == collections.Counter(counts[m].values())
+    for m in (2, 3):
+        got = np.array(sorted((r.n, round(r.weight, 9)) for r in model.weights(m).collect()))
+        assert np.allclose(got, np.array(sorted((sum(f.values()), round(weight(h), 9)) for h, f in follow.items() if len(h) == m - 1)))
 
 
 def test_op2_lines(spark, docs, texts, none):
