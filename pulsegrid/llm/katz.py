@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import by_bucket, dec, enc
-from .shared import bucketed, discard, place, stored, text_bytes, width
+from .shared import bucketed, discard, place, release, stored, text_bytes, width
 from .words import M1, M2, M3, hashes, mix, slices, words
 
 END = M1
@@ -42,7 +42,7 @@ TOP = 5
 #: Occurrences in training of a history that one bucket takes whole.
 HOT = 500_000
 #: Bytes of text to a bucket of n-grams, and to a bucket of the table of blocks.
-BUCKET_BYTES, BLOCK_BYTES = 4 << 20, 8 << 20
+BUCKET_BYTES, BLOCK_BYTES = 4 << 20, 6 << 20
 CODES, ASKED, ANSWERED, GRAMS, TOLD, STATS, PARTS = range(7)
 NULL_ID = -(2**63)
 
@@ -78,7 +78,8 @@ def table_of(order: int, rows: list[tuple], flat: dict[str, np.ndarray] | None =
     if parts:
         fixed = {"kind": [PARTS] * len(parts), "bucket": [p[0] for p in parts], "at": [p[1] for p in parts], "stats": [p[3] for p in parts]} | {h: [p[2][i] if i < len(p[2]) else None for p in parts] for i, h in enumerate(heads)}
         out.append(pa.table([pa.array(fixed[n], k) if n in fixed else pa.nulls(len(parts), k) for n, k in zip(names, kinds, strict=True)], schema=own))
-    return pa.concat_tables(out) if out else own.empty_table()
+    # short batches, so that no task of Spark holds a bucket's rows at once
+    return pa.Table.from_batches([b for x in out for b in x.to_batches(max_chunksize=1 << 15)], own)
 
 
 def block_rows(ids: np.ndarray, held: np.ndarray, texts: pa.Array, block: int, buckets: int) -> list[tuple]:
@@ -118,6 +119,26 @@ def count_words(rows: pa.Table, buckets: int) -> tuple[list[tuple], dict[str, np
     return out, {"word": number[own], "n": n[own]}, bucket
 
 
+def steps(lines: np.ndarray) -> np.ndarray:
+    """Ascending columns as differences: of the first line, and of the second where the first stays."""
+    out = lines.copy()
+    out[0] = np.diff(lines[0], prepend=np.uint64(0))
+    if len(lines) > 1:
+        same = np.append(False, lines[0][1:] == lines[0][:-1])
+        out[1][same] -= lines[1][np.flatnonzero(same) - 1]
+    return out
+
+
+def unstepped(lines: np.ndarray) -> np.ndarray:
+    out = lines.copy()
+    out[0] = np.cumsum(lines[0])
+    if len(lines) > 1 and lines.shape[1]:
+        head = np.flatnonzero(np.append(True, out[0][1:] != out[0][:-1]))
+        run = np.cumsum(lines[1])
+        out[1] = run - np.repeat(run[head] - lines[1][head], np.diff(np.append(head, lines.shape[1])))
+    return out
+
+
 @dataclass
 class Level:
     """The distinct n-grams of one order in a block, ascending, and what is told of them and of their histories."""
@@ -173,16 +194,25 @@ class Tokens:
         real[full[self.at]] = True
         low = below.of[at[index]]
         cols = np.concatenate((below.words[:, history], last[None]))
-        # the bucket of each real one
+        # the bucket of each real one: by the history's last word, and where that is frequent by the others too
+        lines = [below.words[-1], *below.words[:-1]]
+        name = mix(self.number[lines[0]] * M3 + np.uint64(k))
+        if k > 2:
+            rest = np.full(len(below.n), M2, np.uint64)
+            for line in lines[1:]:
+                rest = mix(rest * M3 + self.number[line])
+            many = 1 + (first.n[lines[0]] // HOT).astype(np.uint64)
+            name = np.where(many > 1, mix(name + rest % many), name)
         seen = below.n if k == 2 else np.where(below.real, below.n, first.n[self.start])
         salts = 1 + (seen // HOT).astype(np.uint64)
-        name = np.full(len(below.n), M2 + np.uint64(k), np.uint64)
-        for line in below.words:
-            name = mix(name * M3 + self.number[line])
         own = name[history]
         parted = salts[history] > 1
         own[parted] = mix(own[parted] + mix(self.number[last[parted]]) % salts[history[parted]])
+        by = np.lexsort(lines[::-1])
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
         mine = np.flatnonzero(real)
+        mine = mine[np.argsort(rank[history[mine]], kind="stable")]
         order, bounds = by_bucket(own[mine], self.buckets)
         level = Level(cols, history, low, real, full, np.zeros(len(key)), *(np.zeros(len(below.n)) for _ in range(3)), bounds, mine[order], salts)
         if told:
@@ -207,8 +237,7 @@ class Tokens:
             history = level.history[g]
             head = np.flatnonzero(np.append(True, history[1:] != history[:-1]))
             own = history[head]
-            lines = self.number[below.words[:, own]]
-            lines[0] = np.diff(lines[0], prepend=np.uint64(0))  # ascending
+            lines = steps(self.number[np.roll(below.words[:, own], 1, axis=0)])
             size = np.diff(np.append(head, len(g))).astype(np.uint64)
             out.append((ASKED, int(b), block, lines.reshape(-1), size, self.number[level.words[-1][g]], taught[g], below.n[level.low[g]].astype(np.uint64), level.salts[own] - np.uint64(1)))
         return out
@@ -220,8 +249,7 @@ def count_grams(rows: pa.Table, order: int) -> tuple[list[tuple], dict[str, np.n
     word, and these by count."""
     bucket = rows.column("bucket")[0].as_py()
     names, sizes = [wide(x).reshape(order - 1, -1) for x in rows.column("a").to_pylist()], [dec(x).astype(np.int64) for x in rows.column("b").to_pylist()]
-    for x in names:
-        x[0] = np.cumsum(x[0])
+    names = list(map(unstepped, names))
     history = np.concatenate([np.repeat(h, s, axis=1) for h, s in zip(names, sizes, strict=True)], axis=1)
     word, n, low = (np.concatenate([wide(x) for x in rows.column(c).to_pylist()]) for c in "cde")
     salts = np.concatenate([np.repeat(wide(x), s) for x, s in zip(rows.column("f").to_pylist(), sizes, strict=True)])
@@ -239,7 +267,7 @@ def count_grams(rows: pa.Table, order: int) -> tuple[list[tuple], dict[str, np.n
     one = np.ones(len(total), np.uint64)
     stats = np.array([tally(total, seen), *(tally(one, total == r) for r in range(1, TOP + 1)), tally(low, seen), *(tally(one, seen & (low == r)) for r in range(1, TOP + 1))])
     heads = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-    parts = [(bucket, int(i), h[:, heads[i]].astype(np.int64).tolist(), stats[:, i].astype(np.int64).tolist()) for i in np.flatnonzero(salts[heads] > 0)]
+    parts = [(bucket, int(i), np.roll(h[:, heads[i]], -1).astype(np.int64).tolist(), stats[:, i].astype(np.int64).tolist()) for i in np.flatnonzero(salts[heads] > 0)]
     out = [(STATS, bucket, -1, stats.reshape(-1))]
     at = 0
     for b, s in zip(rows.column("block").to_pylist(), sizes, strict=True):
@@ -247,7 +275,7 @@ def count_grams(rows: pa.Table, order: int) -> tuple[list[tuple], dict[str, np.n
         first = at + np.concatenate(([0], np.cumsum(s)[:-1]))
         out.append((TOLD, bucket, b, total[gram[at:to]], np.diff(group[first], prepend=0).astype(np.uint64), s.astype(np.uint64)))
         at = to
-    flat = {f"h{i + 1}": line[seen] for i, line in enumerate(h)} | {"word": w[seen], "n": total[seen]}
+    flat = {f"h{i + 1}": line[seen] for i, line in enumerate(np.roll(h, -1, axis=0))} | {"word": w[seen], "n": total[seen]}
     return out, flat, bucket, parts
 
 
@@ -396,14 +424,16 @@ def fit(docs: DataFrame, order: int = 3) -> Model:
 
     blocks = bucketed(rows.mapInArrow(coded, schema(1)), max(width(spark), 1 + size // (2 * BLOCK_BYTES)), "block", f"{path}/blocks", "kind")
     codes = blocks.where(F.col("kind") == CODES).select("block", "a", "b", "c", "d")
-    first = stored(blocks.where(F.col("kind") == ASKED).groupBy("bucket").applyInArrow(words_counted, schema(1)), "kind", path=f"{path}/order=1")
+    first = stored(blocks.where(F.col("kind") == ASKED).groupBy("bucket").applyInArrow(words_counted, schema(1)), path=f"{path}/order=1")
     discard(spark, f"{path}/blocks/kind={ASKED}")
+    release(spark)
     grams, told = [first.where(F.col("kind") == GRAMS).select("word", "n")], []
     answered = message(first.where(F.col("kind") == ANSWERED), 0, "a", "b")
     for k in range(2, order + 1):
-        found = stored(_pass(codes, [answered, *(message(x.where(F.col("kind") == TOLD), i + 2, "a") for i, x in enumerate(told))], k, order, buckets), "kind", path=f"{path}/order={k}")
+        found = stored(_pass(codes, [answered, *(message(x.where(F.col("kind") == TOLD), i + 2, "a") for i, x in enumerate(told))], k, order, buckets), path=f"{path}/order={k}")
         grams.append(found.where(F.col("kind") == GRAMS).select(*(f"h{i}" for i in range(1, k)), "word", "n"))
         told.append(found)
+        release(spark)
     kinds = []
     for table in grams:  # TOP + 1 rows each
         tally = {r.n: r.m for r in table.where(F.col("n") <= TOP + 1).groupBy("n").agg(F.count("*").alias("m")).collect()}

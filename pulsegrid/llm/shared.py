@@ -35,8 +35,14 @@ def place(spark: SparkSession) -> str:
 def stored(df: DataFrame, *by: str, path: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, partitioned by the columns ``by``."""
     path = path or place(df.sparkSession)
+    spark, schema = df.sparkSession, df.schema
     df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner find the shuffles that nothing refers to any more; it looks when the driver's memory is swept."""
+    spark._jvm.System.gc()
 
 
 def bucketed(df: DataFrame, buckets: int, key: str, path: str, by: str) -> DataFrame:
