@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,13 +38,21 @@ def stored(df: DataFrame, *by: str, path: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, partitioned by the columns ``by``."""
     path = path or place(df.sparkSession)
     spark, schema = df.sparkSession, df.schema
-    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
+    with freeing(spark):
+        df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner find the shuffles that nothing refers to any more; it looks when the driver's memory is swept."""
-    spark._jvm.System.gc()
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """While a table is written, Spark deletes the write's own shuffle files at its end, as nothing reads them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def bucketed(df: DataFrame, buckets: int, key: str, path: str, by: str) -> DataFrame:
