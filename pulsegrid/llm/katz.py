@@ -43,13 +43,13 @@ TOP = 5
 HOT = 500_000
 #: Bytes of text to a bucket of n-grams, and to a bucket of the table of blocks.
 BUCKET_BYTES, BLOCK_BYTES = 4 << 20, 6 << 20
-CODES, ASKED, ANSWERED, GRAMS, TOLD, STATS, PARTS = range(7)
+CODES, ASKED, ANSWERED, GRAMS, TOLD, PARTS, ADDED = range(7)
 NULL_ID = -(2**63)
 
 
 def schema(order: int) -> str:
     flat = "".join(f", h{i} long" for i in range(1, order))
-    return f"kind int, bucket int, block long{flat}, word long, n long, at int, stats array<long>, a binary, b binary, c binary, d binary, e binary, f binary"
+    return f"kind int, bucket int, block long{flat}, word long, n long, stats array<long>, blocks array<long>, a binary, b binary, c binary, d binary, e binary, f binary"
 
 
 def wide(data: bytes) -> np.ndarray:
@@ -58,10 +58,10 @@ def wide(data: bytes) -> np.ndarray:
 
 def table_of(order: int, rows: list[tuple], flat: dict[str, np.ndarray] | None = None, bucket: int = -1, parts: list[tuple] = ()) -> pa.Table:
     """Packed messages (kind, bucket, block, arrays ...), rows of n-grams as columns, and parted histories
-    (bucket, at, words, totals), as one table."""
+    (bucket, words, totals, blocks), as one table."""
     heads = [f"h{i}" for i in range(1, order)]
-    names = ["kind", "bucket", "block", *heads, "word", "n", "at", "stats", *"abcdef"]
-    kinds = [pa.int32(), pa.int32(), *[pa.int64()] * (len(heads) + 3), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 6]
+    names = ["kind", "bucket", "block", *heads, "word", "n", "stats", "blocks", *"abcdef"]
+    kinds = [pa.int32(), pa.int32(), *[pa.int64()] * (len(heads) + 3), *[pa.list_(pa.int64())] * 2, *[pa.binary()] * 6]
     own = pa.schema(list(zip(names, kinds, strict=True)))
     out = []
     if rows:
@@ -76,7 +76,7 @@ def table_of(order: int, rows: list[tuple], flat: dict[str, np.ndarray] | None =
         fixed = {"kind": np.full(size, GRAMS, np.int32), "bucket": np.full(size, bucket, np.int32)} | {n: x.astype(np.int64) for n, x in flat.items()}
         out.append(pa.table([pa.array(fixed[n], k) if n in fixed else pa.nulls(size, k) for n, k in zip(names, kinds, strict=True)], schema=own))
     if parts:
-        fixed = {"kind": [PARTS] * len(parts), "bucket": [p[0] for p in parts], "at": [p[1] for p in parts], "stats": [p[3] for p in parts]} | {h: [p[2][i] if i < len(p[2]) else None for p in parts] for i, h in enumerate(heads)}
+        fixed = {"kind": [PARTS] * len(parts), "bucket": [p[0] for p in parts], "stats": [p[2] for p in parts], "blocks": [p[3] for p in parts]} | {h: [p[1][i] for p in parts] for i, h in enumerate(heads)}
         out.append(pa.table([pa.array(fixed[n], k) if n in fixed else pa.nulls(len(parts), k) for n, k in zip(names, kinds, strict=True)], schema=own))
     # short batches, so that no task of Spark holds a bucket's rows at once
     return pa.Table.from_batches([b for x in out for b in x.to_batches(max_chunksize=1 << 15)], own)
@@ -149,9 +149,10 @@ class Level:
     real: np.ndarray  # not made of start marks only
     of: np.ndarray  # of each place of the padded tokens
     n: np.ndarray
-    whole: np.ndarray  # of each history, and so on
-    spare: np.ndarray
-    below: np.ndarray
+    key: np.ndarray  # of each, as history * distinct words + last word
+    whole: np.ndarray  # of each history: its count, one more where nothing is spared
+    backing: np.ndarray  # the histories that back off here
+    stats: np.ndarray  # and their statistics, one column each
     bounds: np.ndarray | None = None  # the real ones' order by bucket, and its bounds
     order: np.ndarray | None = None
     salts: np.ndarray | None = None
@@ -177,12 +178,12 @@ class Tokens:
         padded[self.at] = place_of[code[:-1]]
         within = np.arange(len(padded)) - np.repeat(np.cumsum(self.size + pad) - self.size - pad, self.size + pad)
         self.doc = np.repeat(np.arange(len(self.size)), self.size)
-        none = np.zeros(0)
-        self.levels = [Level(np.arange(len(by))[None], none, none, np.ones(len(by), bool), padded, n, none, none, none)]
+        none = np.zeros(0, np.int64)
+        self.levels = [Level(np.arange(len(by))[None], none, none, np.ones(len(by), bool), padded, n, none, none, none, none)]
         for k in range(2, order + 1):
-            self._add(within, k, [r for r in answers if r["kind"] == TOLD and r["level"] == k])
+            self._add(within, k, [r for r in answers if r["kind"] == TOLD and r["level"] == k], [r for r in answers if r["kind"] == ADDED and r["level"] == k])
 
-    def _add(self, within: np.ndarray, k: int, told: list[dict]) -> None:
+    def _add(self, within: np.ndarray, k: int, told: list[dict], added: list[dict]) -> None:
         below, first = self.levels[-1], self.levels[0]
         v = len(first.n)
         at = np.flatnonzero(within >= k - 1)
@@ -214,19 +215,39 @@ class Tokens:
         mine = np.flatnonzero(real)
         mine = mine[np.argsort(rank[history[mine]], kind="stable")]
         order, bounds = by_bucket(own[mine], self.buckets)
-        level = Level(cols, history, low, real, full, np.zeros(len(key)), *(np.zeros(len(below.n)) for _ in range(3)), bounds, mine[order], salts)
+        level = Level(cols, history, low, real, full, np.zeros(len(key), np.uint64), key, np.zeros(len(below.n)), np.zeros(0, np.int64), np.zeros((2 * TOP + 2, 0)), bounds, mine[order], salts)
         if told:
-            level.n[level.order] = np.concatenate([dec(r["a"]) for r in told])
+            level.n[level.order] = np.concatenate([wide(r["a"]) for r in told])
             if told[0]["b"] is not None:
-                for c, x in zip("bcd", (level.whole, level.spare, level.below), strict=True):
-                    for r in told:
-                        lo, hi = level.bounds[r["bucket"]], level.bounds[r["bucket"] + 1]
-                        got = dec(r[c])
-                        heads = level.history[level.order[lo:hi]]
-                        heads = heads[np.append(True, heads[1:] != heads[:-1])]
-                        x[heads] = np.maximum(x[heads], got)  # a parted history is told by several buckets, in full or not at all
+                self._backing(level, told, added)
         self.levels.append(level)
 
+    def _backing(self, level: Level, told: list[dict], added: list[dict]) -> None:
+        """Histories' counts, and statistics of those that back off. A parted history's are those added up."""
+        own, stats = [], []
+        for r in told:
+            g = level.order[level.bounds[r["bucket"]] : level.bounds[r["bucket"] + 1]]
+            head = np.append(True, level.history[g][1:] != level.history[g][:-1])
+            heads = level.history[g][head]
+            level.whole[heads] = dec(r["b"])
+            own.append(heads[np.bincount(np.cumsum(head) - 1, level.n[g] == 0) > 0])
+            stats.append(wide(r["c"]).reshape(2 * TOP + 2, -1))
+        own, stats = np.concatenate(own), np.concatenate(stats, axis=1)
+        if added:
+            mine = np.array([self.find(r["names"]) for r in added])
+            full = np.array([r["stats"] for r in added], np.uint64).T
+            level.whole[mine] = whole(full)
+            single = ~np.isin(own, mine)
+            own, stats = np.concatenate((own[single], mine)), np.concatenate((stats[:, single], full), axis=1)
+        level.backing, level.stats = own, stats
+
+    def find(self, numbers: list[int]) -> int:
+        """The n-gram of these words in its level."""
+        v, at = len(self.number), 0
+        for i, w in enumerate(np.searchsorted(self.number, np.array(numbers, np.uint64)).tolist()):
+            at = int(np.searchsorted(self.levels[i].key, at * v + w)) if i else w
+        return at
+
     def asks(self, block: int) -> list[tuple]:
         """Messages about the n-grams of the highest order to the buckets."""
         level, below = self.levels[-1], self.levels[-2]
@@ -243,10 +264,16 @@ class Tokens:
         return out
 
 
+def whole(stats: np.ndarray) -> np.ndarray:
+    """c(h) of histories with these statistics, one more where nothing is spared."""
+    return stats[0] + ((stats[0] > 0) & (stats[1 : TOP + 1].sum(axis=0) == 0)).astype(stats.dtype)
+
+
 def count_grams(rows: pa.Table, order: int) -> tuple[list[tuple], dict[str, np.ndarray], int, list[tuple]]:
-    """Counts of a bucket's n-grams: a row of the model for each, for each block the counts that it asked for, and of
-    each history: its count, its followers by count (1 to TOP), the counts of its followers without the history's first
-    word, and these by count."""
+    """Counts of a bucket's n-grams: a row of the model for each, and for each block the counts that it asked for, its
+    histories' counts, and statistics of those histories under which it has a new n-gram, as nothing else backs off: the
+    count, the followers by count (1 to TOP), the counts of the followers without the history's first word, and these by
+    count."""
     bucket = rows.column("bucket")[0].as_py()
     names, sizes = [wide(x).reshape(order - 1, -1) for x in rows.column("a").to_pylist()], [dec(x).astype(np.int64) for x in rows.column("b").to_pylist()]
     names = list(map(unstepped, names))
@@ -267,14 +294,18 @@ def count_grams(rows: pa.Table, order: int) -> tuple[list[tuple], dict[str, np.n
     one = np.ones(len(total), np.uint64)
     stats = np.array([tally(total, seen), *(tally(one, total == r) for r in range(1, TOP + 1)), tally(low, seen), *(tally(one, seen & (low == r)) for r in range(1, TOP + 1))])
     heads = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-    parts = [(bucket, int(i), np.roll(h[:, heads[i]], -1).astype(np.int64).tolist(), stats[:, i].astype(np.int64).tolist()) for i in np.flatnonzero(salts[heads] > 0)]
-    out = [(STATS, bucket, -1, stats.reshape(-1))]
-    at = 0
-    for b, s in zip(rows.column("block").to_pylist(), sizes, strict=True):
+    blocks = rows.column("block").to_pylist()
+    split = np.flatnonzero(salts[heads] > 0)
+    out, at, askers = [], 0, {i: [] for i in split.tolist()}
+    for b, s in zip(blocks, sizes, strict=True):
         to = at + int(s.sum())
-        first = at + np.concatenate(([0], np.cumsum(s)[:-1]))
-        out.append((TOLD, bucket, b, total[gram[at:to]], np.diff(group[first], prepend=0).astype(np.uint64), s.astype(np.uint64)))
+        own, n = group[at + np.cumsum(s) - s], total[gram[at:to]]
+        for i in own[np.isin(own, split)].tolist():
+            askers[i].append(b)
+        new = np.bincount(np.repeat(np.arange(len(own)), s)[n == 0], minlength=len(own)) > 0
+        out.append((TOLD, bucket, b, n, whole(stats[:, own]), stats[:, own[new]].reshape(-1)))
         at = to
+    parts = [(bucket, np.roll(h[:, heads[i]], -1).astype(np.int64).tolist(), stats[:, i].astype(np.int64).tolist(), askers[i]) for i in split.tolist()]
     flat = {f"h{i + 1}": line[seen] for i, line in enumerate(np.roll(h, -1, axis=0))} | {"word": w[seen], "n": total[seen]}
     return out, flat, bucket, parts
 
@@ -321,32 +352,14 @@ def totals(kinds: list[list[int]], n: int, types: int) -> Totals:
     return Totals(n, types, d, float(((1 - d[0][1:]) * np.arange(1, TOP + 1) * np.array(kinds[0][:TOP], float)).sum()))
 
 
-def spare(stats: np.ndarray, t: Totals, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of histories with these statistics: c(h), one more where nothing is spared; the probability that is spared; and
-    the discounted counts of their followers without the history's first word."""
+def spare(stats: np.ndarray, t: Totals, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of histories with these statistics: the share that is spared, and the discounted counts of their followers without
+    the history's first word."""
     s = stats.astype(float)
     r = np.arange(1, TOP + 1)[:, None]
     spared = ((1 - t.d[order - 1][1:, None]) * r * s[1 : TOP + 1]).sum(axis=0)
     below = s[TOP + 1] - ((1 - t.d[order - 2][1:, None]) * r * s[TOP + 2 :]).sum(axis=0)
-    whole = np.where((spared == 0) & (s[0] > 0), s[0] + 1, s[0])
-    return whole, np.where(spared == 0, 1.0, spared) / np.maximum(whole, 1), below
-
-
-def answer(rows: pa.Table, hot: pa.Table, t: Totals, order: int) -> list[tuple]:
-    """For each block: its n-grams' counts, and of its histories the count; what is spared and below only where some
-    n-gram of the block is new, as nothing else backs off."""
-    found = rows.to_pylist()
-    stats = wide(next(r for r in found if r["kind"] == STATS)["a"]).reshape(2 * TOP + 2, -1)
-    for r in hot.to_pylist():
-        stats[:, r["at"]] = r["stats"]
-    facts = spare(stats, t, order)
-    out = []
-    for r in found:
-        if r["kind"] == TOLD:
-            n, at, size = dec(r["a"]), np.cumsum(dec(r["b"]).astype(np.int64)), dec(r["c"]).astype(np.int64)
-            new = np.bincount(np.repeat(np.arange(len(at)), size)[n == 0], minlength=len(at)) > 0
-            out.append((TOLD, r["bucket"], r["block"], n, facts[0][at].astype(np.uint64), *(np.where(new, x[at], 0.0) for x in facts[1:])))
-    return out
+    return np.where(spared == 0, 1.0, spared) / np.maximum(whole(stats), 1), below
 
 
 def probability(tokens: Tokens, t: Totals, order: int) -> np.ndarray:
@@ -354,11 +367,12 @@ def probability(tokens: Tokens, t: Totals, order: int) -> np.ndarray:
     level = tokens.levels[order - 1]
     if order == 1:
         return t.word(level.n.astype(float))
-    lower = probability(tokens, t, order - 1)[level.low]
-    below = tokens.levels[order - 2]
-    shorter = t.whole if order == 2 else below.whole[below.low]
+    lower, below = probability(tokens, t, order - 1)[level.low], tokens.levels[order - 2]
+    spared, less = spare(level.stats, t, order)
+    shorter = t.whole if order == 2 else below.whole[below.low[level.backing]]
+    weight = np.ones(len(level.whole))
     with np.errstate(all="ignore"):
-        weight = np.where(level.whole > 0, level.spare / (1 - level.below / shorter), 1.0)
+        weight[level.backing] = np.where(level.whole[level.backing] > 0, spared / (1 - less / shorter), 1.0)
         seen = t.discounted(level.n.astype(float), order) / level.whole[level.history]
     return np.where(level.n > 0, seen, weight[level.history] * lower)
 
@@ -384,7 +398,7 @@ class Model:
     grams: list[DataFrame]
     codes: DataFrame
     answered: DataFrame
-    told: list[DataFrame]  # of the orders above 1: what buckets know, one table each
+    told: list[DataFrame]  # of the orders above 1: with the n-grams, what blocks are told of them
     buckets: int
 
     def discounted(self, order: int) -> DataFrame:
@@ -427,9 +441,9 @@ def fit(docs: DataFrame, order: int = 3) -> Model:
     first = stored(blocks.where(F.col("kind") == ASKED).groupBy("bucket").applyInArrow(words_counted, schema(1)), path=f"{path}/order=1")
     discard(spark, f"{path}/blocks/kind={ASKED}")
     grams, told = [first.where(F.col("kind") == GRAMS).select("word", "n")], []
-    answered = message(first.where(F.col("kind") == ANSWERED), 0, "a", "b")
+    answered = message(first.where(F.col("kind") == ANSWERED), 0, a=F.col("a"), b=F.col("b"))
     for k in range(2, order + 1):
-        found = stored(_pass(codes, [answered, *(message(x.where(F.col("kind") == TOLD), i + 2, "a") for i, x in enumerate(told))], k, order, buckets), path=f"{path}/order={k}")
+        found = stored(_pass(codes, [answered, *(message(x.where(F.col("kind") == TOLD), i + 2, a=F.col("a")) for i, x in enumerate(told))], k, order, buckets), path=f"{path}/order={k}")
         grams.append(found.where(F.col("kind") == GRAMS).select(*(f"h{i}" for i in range(1, k)), "word", "n"))
         told.append(found)
     kinds = []
@@ -440,9 +454,12 @@ def fit(docs: DataFrame, order: int = 3) -> Model:
     return Model(totals(kinds, n, types), grams, codes, answered, told, buckets)
 
 
-def message(rows: DataFrame, level: int, *given: str) -> DataFrame:
-    """Rows of one kind for the blocks, with the arrays ``given``."""
-    return rows.select("block", "kind", F.lit(level).alias("level"), "bucket", *(F.col(c) if c in given else F.lit(None).cast("binary").alias(c) for c in "abcd"))
+NONE = {"a": "binary", "b": "binary", "c": "binary", "names": "array<long>", "stats": "array<long>"}
+
+
+def message(rows: DataFrame, level: int, **given: Column) -> DataFrame:
+    """Rows of one kind for the blocks, with the columns ``given``."""
+    return rows.select("block", "kind", F.lit(level).alias("level"), "bucket", *(given.get(c, F.lit(None).cast(t)).alias(c) for c, t in NONE.items()))
 
 
 def _pass(codes: DataFrame, known: list[DataFrame], k: int, most: int, buckets: int) -> DataFrame:
@@ -458,19 +475,15 @@ def _pass(codes: DataFrame, known: list[DataFrame], k: int, most: int, buckets:
     return asked.groupBy("bucket").applyInArrow(counted, schema(k))
 
 
-def _answers(found: DataFrame, k: int, t: Totals) -> DataFrame:
-    """What blocks are told of order ``k``, with the totals of parted histories added up. These are few: HOT occurrences
-    to a part at least."""
-    history: list[str | Column] = [f"h{i}" for i in range(1, k)]
+def added(found: DataFrame, k: int) -> DataFrame:
+    """The totals of parted histories, added up, for the blocks that asked. These are few: HOT occurrences to a part at
+    least."""
+    history = [f"h{i}" for i in range(1, k)]
     parts = found.where(F.col("kind") == PARTS)
-    added = parts.groupBy(*history).agg(F.array(*(F.sum(F.get("stats", i)) for i in range(2 * TOP + 2))).alias("stats"))
-    hot = parts.select("bucket", "at", *history).join(added, history).select(F.col("bucket").alias("to"), "at", added["stats"].alias("stats"))
-
-    def answered(rows: pa.Table, hot: pa.Table) -> pa.Table:
-        return table_of(1, answer(rows, hot, t, k))
-
-    mine = found.where(F.col("kind").isin(TOLD, STATS)).select("kind", "bucket", "block", "a", "b", "c")
-    return message(mine.groupBy("bucket").cogroup(hot.groupBy("to")).applyInArrow(answered, schema(1)), k, *"abcd")
+    sums = parts.groupBy(*history).agg(F.array(*(F.sum(F.get("stats", i)) for i in range(2 * TOP + 2))).alias("sums"))
+    asked = parts.select(*history, F.explode("blocks").alias("block")).distinct().join(sums, history)
+    rows = asked.select("block", F.lit(ADDED).alias("kind"), F.lit(-1).alias("bucket"), F.array(*history).alias("names"), "sums")
+    return message(rows, k, names=F.col("names"), stats=F.col("sums"))
 
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -481,7 +494,9 @@ def score(docs: DataFrame, order: int = 3) -> DataFrame:
     Rows whose crc32(doc_id as text) mod 10 is 0 are held out of training; a null doc_id teaches."""
     model = fit(docs, order)
     t, buckets = model.totals, model.buckets
-    known = [model.answered, *(_answers(x, i + 2, t) for i, x in enumerate(model.told))]
+    known = [model.answered]
+    for k, found in enumerate(model.told, 2):
+        known += [message(found.where(F.col("kind") == TOLD), k, **{c: F.col(c) for c in "abc"}), added(found, k)]
 
     def scored(codes: pa.Table, told: pa.Table) -> pa.Table:
         return scores(Tokens(codes, told, order, order, buckets), t, order)
