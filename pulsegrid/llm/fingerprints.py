@@ -2,8 +2,11 @@
 
 Canonical form: NFKC, lower case, runs of white space folded to one space, ends trimmed. The
 fingerprint is a 128-bit xxhash of it (two seeds). Inside equal fingerprints the canonical bytes
-are compared: where a bucket holds different ones, the SHA-256 of the canonical form is appended,
-so equal fingerprints always mean equal canonical texts.
+are compared: where a bucket holds different ones, the SHA-256 of the canonical form is appended. Edited texts are
+held against all others by that SHA-256. So equal fingerprints mean equal canonical texts. Digests that are
+parted so are hardly ever any; without one, nothing is joined.
+
+Spark has no function for NFKC; it is ICU's, a call of ``reflect`` for each row.
 
 Nulls count as empty texts, which all share one fingerprint. Repeated rows are rows of their own.
 """
@@ -39,6 +42,12 @@ def collided(docs: DataFrame) -> DataFrame:
     return hashed.join(shared, "digest", "left_semi").groupBy("digest").agg(F.min("canon").alias("least"), F.max("canon").alias("most")).where("least <> most").select("digest")
 
 
+def parted(rows: DataFrame) -> DataFrame:
+    """Digests of original or edited texts that stand with different suffixes."""
+    both = rows.select("digest", "suffix").unionByName(rows.select(F.col("edited_digest").alias("digest"), F.col("edited_suffix").alias("suffix")))
+    return both.groupBy("digest").agg(F.min("suffix").alias("least"), F.max("suffix").alias("most")).where("least <> most").select("digest")
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, ...)`` with ``next_text`` and ``next_digest``: of the row with the next smaller
     doc_id (after the smallest: of the greatest). Ranges of ids are dealt to buckets; each bucket
@@ -79,9 +88,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             F.when(F.col("digest") == F.col("next_digest"), F.sha2(canonical(F.col("next_text")), 256)).alias("next_suffix"),
         )
     )
-    clash = collided(docs)
+    edited = cut(edited)
+    clash = cut(collided(docs).union(parted(edited)).distinct())
+    many = clash.count()
     for name in ("digest", "edited_digest"):
-        edited = edited.join(clash.select(F.col("digest").alias(name), F.lit(True).alias(f"{name}_clash")), name, "left")
+        own = clash.select(F.col("digest").alias(name), F.lit(True).alias(f"{name}_clash"))
+        own = F.broadcast(own) if many <= BROADCAST_DIGESTS else own
+        edited = edited.join(own, name, "left") if many else edited.withColumn(f"{name}_clash", F.lit(False))
     full = lambda d, s: F.when(F.col(f"{d}_clash"), F.concat(d, F.lit("-"), s)).otherwise(F.col(d))
     same = lambda d, s: ((F.col("digest") == F.col(d)) & (F.col("suffix") == F.col(s))).cast("double")
     return edited.select(
