@@ -62,7 +62,7 @@ def _twice(s: Column) -> Column:
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars, base_failed, kept and cleaned text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = F.struct(*(F.col(c) for c in docs.columns)).alias("own")  # columns of any name stay out of the way
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")  # columns of any name stay out of the way
     rows = docs.select(own, text.alias("text")).select(
         "own", "text", F.filter(F.split("text", SPLIT), lambda w: w != "").alias("words"), F.split("text", "\n").alias("lines")
     )

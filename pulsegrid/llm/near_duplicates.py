@@ -10,9 +10,10 @@ probability 3.2e-5, and a pair meets under no key with probability 5e-10.
 
 What meets is compared in two rounds, as a group of n copies needs n links, not n * n. First each
 node is checked against the key-mate it shares most keys with among the least nodes of its keys; what
-this round passes over is left to the second. Then, under every key that still holds different components, all pairs of nodes from different
-components are compared: by size, by a finer signature, and at last by their full sets. Keys with many
-nodes are parted into tiles. Nothing is capped or sampled.
+this round passes over is left to the next. Then, under every key that still holds different components, all pairs of nodes from different
+components are compared: by size, by a finer signature, and at last by their full sets. This is done twice, as most
+components join at once: first only each node's nearest by the finer signature goes on to the full sets, then
+every pair whose components still differ. Keys with many nodes are parted into tiles. Nothing is capped or sampled.
 
 Nulls and texts without words have empty sets and link with nothing. A text with fewer words than a
 shingle is one shingle. Rows that share a doc_id are one document. A null doc_id is a node that
@@ -200,10 +201,19 @@ def first_pairs(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     return shared.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("b")).select(F.col("node").alias("a"), "b")
 
 
-def sifted(rows: pa.Table, scheme: Scheme) -> pa.Table:
+def nearest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each node's pair with the least distance, the node first."""
+    x, y, z = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((far, far))
+    order = np.lexsort((y, z, x))
+    x, y, z = x[order], y[order], z[order]
+    first = np.append(True, x[1:] != x[:-1])[: len(x)]
+    return x[first], y[first], z[first]
+
+
+def sifted(rows: pa.Table, scheme: Scheme, one: bool = False) -> pa.Table:
     """Of rows dealt to groups (key, i, j, m): the pairs of a left and a right row, or of any two where a tile meets
     itself, that differ in component and that sizes and fine signatures allow. A pair that meets
-    under several keys counts under the first of them only."""
+    under several keys counts under the first of them only. ``one``: only each node's nearest; ``far`` is the distance."""
     key, i, j, m, right, node, n, comp = (rows.column(c).to_numpy() for c in ("key", "i", "j", "m", "right", "node", "n", "component"))
     order = np.lexsort((right, m, j, i, key))
     key, i, j, m, right, node, n, comp = (x[order] for x in (key, i, j, m, right, node, n, comp))
@@ -216,7 +226,7 @@ def sifted(rows: pa.Table, scheme: Scheme) -> pa.Table:
     at = np.flatnonzero(within | ~right)
     first = np.where(within, np.arange(len(key)) + 1, split)[at]
     many = np.maximum(end[at] - first, 0)
-    a, b, done = [], [], np.concatenate(([0], np.cumsum(many)))
+    a, b, far, done = [], [], [], np.concatenate(([0], np.cumsum(many)))
     lo = 0
     while lo < len(at):
         hi = max(lo + 1, int(np.searchsorted(done, done[lo] + (1 << 17), side="right")) - 1)
@@ -224,27 +234,32 @@ def sifted(rows: pa.Table, scheme: Scheme) -> pa.Table:
         y = np.arange(done[hi] - done[lo]) + np.repeat(first[lo:hi] - (done[lo:hi] - done[lo]), many[lo:hi])
         ok = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * scheme.similarity)
         x, y = x[ok], y[ok]
-        ok = np.bitwise_count(fine[x] ^ fine[y]).sum(axis=1) <= scheme.fine_distance
-        x, y = x[ok], y[ok]
+        apart = np.bitwise_count(fine[x] ^ fine[y]).sum(axis=1)
+        ok = apart <= scheme.fine_distance
+        x, y, apart = x[ok], y[ok], apart[ok]
         off = (sig[x] != sig[y]).reshape(-1, scheme.bands, scheme.rows)
         errors = off.sum(axis=2)
         band = np.argmax(errors <= 1, axis=1)
         each = np.arange(len(x))
         place = band * scheme.rows + np.argmax(off[each, band], axis=1)
         ok = key[x] >> (8 * (scheme.rows - 1)) == place
-        a.append(np.minimum(node[x[ok]], node[y[ok]]))
-        b.append(np.maximum(node[x[ok]], node[y[ok]]))
+        found = np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]]), apart[ok].astype(np.int64)
+        for into, v in zip((a, b, far), nearest(*found) if one else found, strict=True):
+            into.append(v)
         lo = hi
-    return pa.table({c: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for c, v in (("a", a), ("b", b))})
+    out = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b, far)]
+    return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b", "far"), nearest(*out) if one else out, strict=True)})
 
 
-def other_pairs(nodes: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """All pairs of nodes of different components under one key that sizes and fine signatures allow. ``nodes`` has
-    the component. Under a key, the nodes of its least component need no comparison among
-    themselves: they form tiles of their own, and meet only the tiles of the others."""
+def mixed_keys(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """The keys under which nodes of different components stand, with these nodes. ``nodes`` has the component."""
     keys = keyed(nodes, scheme, ["n", "component"])
     mixed = keys.groupBy("key").agg(F.min("component").alias("major"), F.max("component").alias("top"), F.count("*").alias("n_all")).where("major <> top").drop("top")
-    mates = cut(keys.join(mixed, "key").select("key", "node", "n", "component", (F.col("component") != F.col("major")).alias("minor"), F.ceil(F.col("n_all") / TILE).cast("int").alias("tiles")))
+    return cut(keys.join(mixed, "key").select("key", "node", "n", "component", (F.col("component") != F.col("major")).alias("minor"), F.ceil(F.col("n_all") / TILE).cast("int").alias("tiles")))
+
+
+def fine(nodes: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """The finer signature of these nodes."""
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
@@ -254,21 +269,27 @@ def other_pairs(nodes: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
                 bits = fine_signatures(value, np.append(off[full], off[-1]))
                 yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(full)), pa.array([x.tobytes() for x in bits], pa.binary())], names=["node", "fine"])
 
-    fine = texts_of(mates.select("node").distinct(), docs).mapInArrow(refine, "node long, fine binary").dropDuplicates(["node"])
+    return texts_of(nodes, docs).mapInArrow(refine, "node long, fine binary").dropDuplicates(["node"])
+
+
+def other_pairs(mates: DataFrame, nodes: DataFrame, scheme: Scheme, one: bool) -> DataFrame:
+    """a, b, far: pairs of nodes of different components under one key that sizes and finer signatures allow; with
+    ``one`` only each node's nearest. ``nodes`` has the signatures. Under a key, the nodes of its least component
+    need no comparison among themselves: they form tiles of their own, and meet only the tiles of the others."""
     mates = mates.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     # a minor tile i meets minor tiles j and major tiles j; group (i, j, major or not)
     every = F.sequence(F.lit(0), F.col("tiles") - 1)
     own = F.transform(every, lambda j: F.struct(F.least("tile", j).alias("i"), F.greatest("tile", j).alias("j"), F.lit(False).alias("m"), (F.col("tile") > j).alias("right")))
     out = F.transform(every, lambda j: F.struct(F.col("tile").alias("i"), j.alias("j"), F.lit(True).alias("m"), F.lit(False).alias("right")))
     meets = F.transform(every, lambda i: F.struct(i.alias("i"), F.col("tile").alias("j"), F.lit(True).alias("m"), F.lit(True).alias("right")))
-    known = nodes.select("node", "signature").join(fine, "node")
-    dealt = mates.join(known, "node").select("key", "node", "n", "component", "signature", "fine", F.explode(F.when(F.col("minor"), F.concat(own, out)).otherwise(meets)).alias("g")).select("*", "g.*").drop("g")
+    dealt = mates.join(nodes, "node").select("key", "node", "n", "component", "signature", "fine", F.explode(F.when(F.col("minor"), F.concat(own, out)).otherwise(meets)).alias("g")).select("*", "g.*").drop("g")
 
     def compare(rows: pa.Table) -> pa.Table:
-        return sifted(rows, scheme)
+        return sifted(rows, scheme, one)
 
-    share = F.pmod(F.xxhash64("key", "i", "j", "m"), F.lit(8 * width(docs.sparkSession))).cast("int")
-    return dealt.withColumn("share", share).groupBy("share").applyInArrow(compare, "a long, b long").distinct()
+    share = F.pmod(F.xxhash64("key", "i", "j", "m"), F.lit(8 * width(mates.sparkSession))).cast("int")
+    found = dealt.withColumn("share", share).groupBy("share").applyInArrow(compare, "a long, b long, far long")
+    return found.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b")) if one else found.select("a", "b").distinct()
 
 
 def groups(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
@@ -279,9 +300,13 @@ def groups(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     nodes = classes.drop("digest")
     links = confirmed(close(first_pairs(nodes, scheme), nodes, scheme), docs, scheme)
     found = cut(components(links))
-    named = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = confirmed(other_pairs(named, docs, scheme), docs, scheme)
-    final = components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    named = lambda: nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    joined = lambda more: components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    mates = mixed_keys(named(), scheme)
+    known = cut(nodes.select("node", "signature").join(fine(mates.select("node").distinct(), docs, scheme), "node"))
+    near = other_pairs(mates, known, scheme, one=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = cut(joined(confirmed(near, docs, scheme)))
+    final = joined(confirmed(other_pairs(mixed_keys(named(), scheme), known, scheme, one=False), docs, scheme))
     of_class = classes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left").withColumn("component", F.coalesce("component", "doc_id"))
     real = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
@@ -289,6 +314,16 @@ def groups(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
 
 
 def keep(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
-    """One document of each group, with the columns of ``docs``."""
-    ids = groups(docs, scheme).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One document of each group, with the columns of ``docs``. Of rows equal in doc_id and text, one stays; rows that
+    share a doc_id, but not the text, stay or go together."""
+    text = F.coalesce(F.col("own.text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")).select("own", F.coalesce(F.col("own.doc_id").cast("long"), F.lit(NULL_ID)).alias("node"), F.xxhash64(text).alias("mark"))
+    ids = groups(docs, scheme).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("node")).distinct()
+    rows = rows.join(ids, "node", "left_semi")
+    again = cut(rows.groupBy("node", "mark").agg(F.count("*").alias("n")).where("n > 1").select("node", "mark"))
+    many = again.count()
+    if many:
+        again = F.broadcast(again) if many <= BROADCAST_IDS else again
+        own = rows.join(again, ["node", "mark"], "left_semi").dropDuplicates(["node", "mark"])
+        rows = rows.join(again, ["node", "mark"], "left_anti").unionByName(own)
+    return rows.select(*(F.col(f"own.`{c}`").alias(c) for c in docs.columns))

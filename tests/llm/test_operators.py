@@ -421,12 +421,43 @@ def test_op8_pairs_beyond_the_signature_distance():
         "key": [0, 0], "i": [0, 0], "j": [0, 0], "m": [False, False], "right": [False, False], "node": [7, 9], "n": [100, 90], "component": [7, 9],
         "signature": [x.tobytes() for x in sig], "fine": [x.tobytes() for x in fine],
     })
-    assert near_duplicates.sifted(rows, near_duplicates.Scheme()).to_pylist() == [{"a": 7, "b": 9}]
+    assert near_duplicates.sifted(rows, near_duplicates.Scheme()).to_pylist() == [{"a": 7, "b": 9, "far": 152}]
+    assert near_duplicates.sifted(rows, near_duplicates.Scheme(), one=True).to_pylist() == [{"a": 7, "b": 9, "far": 152}, {"a": 9, "b": 7, "far": 152}]
     assert near_duplicates.Scheme(similarity=70).fine_distance > 1024 * 0.15 + 5 * (1024 * 0.15 * 0.85) ** 0.5
     with pytest.raises(ValueError):
         near_duplicates.Scheme(similarity=50)
 
 
+def test_op8_keep_repeated_rows(spark):
+    rng = np.random.default_rng(5)
+    one, two = prose(rng, 60), prose(rng, 60)
+    rows = spark.createDataFrame([(1, one, 0, 0), (1, one, 0, 0), (None, two, 0, 0), (None, two, 0, 0), (3, one + " more", 0, 0), (4, None, 0, 0)], "doc_id long, text string, kept_id long, `a.b` int")
+    got = near_duplicates.keep(rows)
+    assert got.columns == rows.columns and sorted(r.doc_id or 0 for r in got.collect()) == [0, 1, 4]
+
+
+def test_op8_recall_on_generated_documents(spark):
+    """Against an exact join: all pairs that share a shingle, and their similarity, on real documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = {r.doc_id: r.text or "" for r in docs.collect()}
+    w = {d: split(t.translate(LOW)) for d, t in own.items()}
+    sets = {d: frozenset(tuple(x[i : i + 5]) for i in range(len(x) - 4)) if len(x) >= 5 else frozenset([tuple(x)] if x else []) for d, x in w.items()}
+    holders = collections.defaultdict(list)
+    for d, s in sets.items():
+        for g in s:
+            holders[g].append(d)
+    shared = collections.Counter((a, b) for ds in holders.values() if len(ds) > 1 for i, a in enumerate(ds) for b in ds[i + 1 :])
+    links = {(a, b) for (a, b), n in shared.items() if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n)}
+    got = {r.doc_id: r.component_id for r in near_duplicates.groups(docs).collect()}
+    assert links and all(got[a] == got[b] for a, b in links)
+    root = {d: d for d in own}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a, b in sorted(links):
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    assert got == {d: find(d) for d in own}
+
+
 def test_op8_components(spark):
     rng = np.random.default_rng(0)
     edges = {(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))} | {(i, i + 1) for i in range(1000, 1060)}
