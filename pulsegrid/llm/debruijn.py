@@ -15,9 +15,11 @@ that repeat a doc_id count as documents of their own, ordered by text. A null do
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,7 @@ from .shared import width
 from .words import hashes, owners, windows, words
 
 CLAIM = ["source_doc", "source_copy", "source_start", "n_words", "digest"]
+BLANK = b" \t\n\x0b\f\r"
 SPANS = "block int, doc_id long, copy int, start int, n_words int, source_doc long, source_copy int, source_start int, digest binary"
 
 
@@ -46,6 +49,7 @@ class Block:
     def __init__(self, rows: pa.Table, k: int, part: int):
         texts, self.ids = bl.ordered(rows)
         self.buf, self.starts, self.ends, self.off = words(texts)
+        self.text_off = np.concatenate(([0], np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))))
         self.word = hashes(self.buf, self.starts, self.ends)
         self.k, self.part = k, part
         doc = owners(self.off)
@@ -75,6 +79,29 @@ class Block:
         a = int(self.off[doc]) + start
         return xxhash.xxh3_128_digest(b" ".join(self.buf[s:e].tobytes() for s, e in zip(self.starts[a : a + n].tolist(), self.ends[a : a + n].tolist(), strict=True)))
 
+    def without(self, i: int, kept: np.ndarray) -> str:
+        """The text of document ``i`` with only the ``kept`` words, each with the white space before it; where words are
+        missing in between, the longest white space in the gap stays."""
+        a, b = int(self.off[i]), int(self.off[i + 1])
+        to = int(self.text_off[i + 1])
+        out, gap, at = [], b"", int(self.text_off[i])
+        data = self.buf
+        for k in np.flatnonzero(np.diff(kept[a:b].astype(np.int8), prepend=2)).tolist() + [b - a]:
+            # a run of kept or of removed words ends before word a + k
+            stop = int(self.starts[a + k]) if a + k < b else to
+            if at < stop and k:
+                run = data[at:stop].tobytes()
+                if kept[a + k - 1]:
+                    body = run.rstrip(BLANK)
+                    out += [gap, body]
+                    gap = run[len(body) :]
+                else:
+                    gap = max((gap, *re.findall(rb"[ \t-\r]+", run)), key=len)
+            elif k == 0:
+                gap = data[at:stop].tobytes()
+            at = stop
+        return b"".join([*out, gap]).decode() if out else ""
+
     def find(self, doc_id: int, copy: int) -> int:
         i = int(np.searchsorted(self.ids, doc_id)) + copy
         return i if i < len(self.ids) and self.ids[i] == doc_id else -1
@@ -191,7 +218,8 @@ def verified(dealt: DataFrame, found: DataFrame, blocks: int, k: int, part: int)
 
 
 def removed(docs: DataFrame, k: int = 20, part: int = 10) -> DataFrame:
-    """doc_id, copy, n_words, n_removed, kept_text and kept_sha256 of every document."""
+    """doc_id, copy, n_words, n_removed, kept_text and kept_sha256 of every document. The digest is of the kept words
+    joined by one space; kept_text (null where nothing is removed) has the white space of the text."""
     blocks = bl.count(docs)
     dealt = bl.dealt(docs, blocks)
     found = spans(dealt, width(docs.sparkSession), k, part)
@@ -212,7 +240,7 @@ def removed(docs: DataFrame, k: int = 20, part: int = 10) -> DataFrame:
             live = np.flatnonzero(kept[a:b]) + a
             text = b" ".join([block.buf[s:e].tobytes() for s, e in zip(block.starts[live].tolist(), block.ends[live].tolist(), strict=True)])
             doc_id = int(block.ids[i])
-            out.append((None if doc_id == -(2**63) else doc_id, int(block.copy[i]), b - a, b - a - len(live), text.decode(), hashlib.sha256(text).hexdigest()))
+            out.append((None if doc_id == -(2**63) else doc_id, int(block.copy[i]), b - a, b - a - len(live), None if len(live) == b - a else block.without(i, kept), hashlib.sha256(text).hexdigest()))
         return bl.packed(out, ["doc_id", "copy", "n_words", "n_removed", "kept_text", "kept_sha256"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()])
 
     return dealt.groupBy("block").cogroup(checked.groupBy("block")).applyInArrow(strike, "doc_id long, copy int, n_words long, n_removed long, kept_text string, kept_sha256 string")
@@ -231,7 +259,7 @@ SELECT d.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::B
 
 
 def strip(docs: DataFrame, k: int = 20, part: int = 10) -> DataFrame:
-    """``docs`` with its columns and rows; texts that lost words are their kept words joined by one space."""
+    """``docs`` with its columns and rows; texts that lost words keep the white space around the others."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     order = Window.partitionBy("key").orderBy("own_text")
     own = (

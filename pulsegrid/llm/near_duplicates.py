@@ -12,8 +12,8 @@ What meets is compared in two rounds, as a group of n copies needs n links, not
 node is checked against the key-mate it shares most keys with among the least nodes of its keys; what
 this round passes over is left to the next. Then, under every key that still holds different components, all pairs of nodes from different
 components are compared: by size, by a finer signature, and at last by their full sets. This is done twice, as most
-components join at once: first only each node's nearest by the finer signature goes on to the full sets, then
-every pair whose components still differ. Keys with many nodes are parted into tiles. Nothing is capped or sampled.
+components join at once: first under the keys of a few bands only, and only each node's nearest by the finer signature
+goes on to the full sets; then under all keys, with every pair whose components still differ. Keys with many nodes are parted into tiles. Nothing is capped or sampled.
 
 Nulls and texts without words have empty sets and link with nothing. A text with fewer words than a
 shingle is one shingle. Rows that share a doc_id are one document. A null doc_id is a node that
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, width
+from .shared import cut, stored, width
 from .words import M2, M3, hashes, mix, owners, slices, windows, words
 
 NULL_ID = -(2**63)
@@ -40,6 +40,8 @@ BROADCAST_IDS = 1_000_000
 TILE = 2048
 #: One-bit values of the signature that sifts the second round's pairs before their full sets are compared.
 FINE = 1024
+#: Bands whose keys give each node its nearest; what these miss is left to the round over all bands.
+NEAR_BANDS = 2
 #: Similar pairs that may meet under no key, at most, for a scheme to be taken.
 MISSED = 1e-5
 
@@ -127,22 +129,23 @@ def sketches(docs: DataFrame, scheme: Scheme) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
 
 
-def keyed(nodes: DataFrame, scheme: Scheme, also: list[str]) -> DataFrame:
-    """key, node and the columns ``also``: each node under each band with each one value left out. A key
-    spells the band, the place left out, and the other values."""
+def keyed(nodes: DataFrame, scheme: Scheme, also: list[str], bands: int | None = None) -> DataFrame:
+    """key, node and the columns ``also``: each node under each band (or the first ``bands``) with each one value left
+    out. A key spells the band, the place left out, and the other values."""
+    bands = bands or scheme.bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 8192):
                 batch = whole.slice(at, 8192)
-                sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(-1, scheme.bands, scheme.rows).astype(np.int64)
-                keys = np.empty((len(sig), scheme.bands, scheme.rows), np.int64)
+                sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(-1, scheme.bands, scheme.rows)[:, :bands].astype(np.int64)
+                keys = np.empty((len(sig), bands, scheme.rows), np.int64)
                 for out in range(scheme.rows):
-                    key = np.arange(scheme.bands)[None, :] * scheme.rows + out
+                    key = np.arange(bands)[None, :] * scheme.rows + out
                     for r in range(scheme.rows):
                         key = key if r == out else key << 8 | sig[:, :, r]
                     keys[:, :, out] = key
-                back = pa.array(np.repeat(np.arange(len(sig)), scheme.size))
+                back = pa.array(np.repeat(np.arange(len(sig)), bands * scheme.rows))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *(batch.column(c).take(back) for c in ["node", *also])], names=["key", "node", *also])
 
     return nodes.select("node", "signature", *also).mapInArrow(run, "key long, node long" + "".join(f", {c} long" for c in also))
@@ -171,7 +174,7 @@ def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar enough."""
-    pairs = cut(pairs)
+    pairs = stored(pairs)
     rows = texts_of(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"), docs)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +191,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
                 good.append(both > 0 and 100 * both >= scheme.similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    held = cut(rows.mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node", "hashes"]))
+    held = stored(rows.mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node", "hashes"]))
     joined = pairs.join(held.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").join(held.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
@@ -251,11 +254,11 @@ def sifted(rows: pa.Table, scheme: Scheme, one: bool = False) -> pa.Table:
     return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b", "far"), nearest(*out) if one else out, strict=True)})
 
 
-def mixed_keys(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+def mixed_keys(nodes: DataFrame, scheme: Scheme, bands: int | None = None) -> DataFrame:
     """The keys under which nodes of different components stand, with these nodes. ``nodes`` has the component."""
-    keys = keyed(nodes, scheme, ["n", "component"])
+    keys = keyed(nodes, scheme, ["n", "component"], bands)
     mixed = keys.groupBy("key").agg(F.min("component").alias("major"), F.max("component").alias("top"), F.count("*").alias("n_all")).where("major <> top").drop("top")
-    return cut(keys.join(mixed, "key").select("key", "node", "n", "component", (F.col("component") != F.col("major")).alias("minor"), F.ceil(F.col("n_all") / TILE).cast("int").alias("tiles")))
+    return stored(keys.join(mixed, "key").select("key", "node", "n", "component", (F.col("component") != F.col("major")).alias("minor"), F.ceil(F.col("n_all") / TILE).cast("int").alias("tiles")))
 
 
 def fine(nodes: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
@@ -302,11 +305,15 @@ def groups(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     found = cut(components(links))
     named = lambda: nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     joined = lambda more: components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    mates = mixed_keys(named(), scheme)
-    known = cut(nodes.select("node", "signature").join(fine(mates.select("node").distinct(), docs, scheme), "node"))
-    near = other_pairs(mates, known, scheme, one=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def others(one: bool) -> DataFrame:
+        mates = mixed_keys(named(), scheme, NEAR_BANDS if one else None)
+        known = nodes.select("node", "signature").join(fine(mates.select("node").distinct(), docs, scheme), "node")
+        return other_pairs(mates, known, scheme, one)
+
+    near = others(one=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = cut(joined(confirmed(near, docs, scheme)))
-    final = joined(confirmed(other_pairs(mixed_keys(named(), scheme), known, scheme, one=False), docs, scheme))
+    final = joined(confirmed(others(one=False), docs, scheme))
     of_class = classes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left").withColumn("component", F.coalesce("component", "doc_id"))
     real = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))

@@ -243,6 +243,14 @@ def test_op4_repeated_ids(spark):
     assert got == [(False, 0), (False, 30), (False, 30), (True, 0)]
 
 
+def test_op4_keeps_line_breaks(spark):
+    passage = " ".join(f"p{i}" for i in range(25))
+    texts = [f"one two\n{passage}\nthree", f"  para one\n\n{passage}\npara  two\n", passage, f"{passage} end", f"start\t{passage}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in debruijn.strip(rows).collect()}
+    assert got == {0: texts[0], 1: "  para one\n\npara  two\n", 2: "", 3: " end", 4: "start\t"}
+
+
 def test_op5_packing(docs, texts, none):
     import tokenizers
 
