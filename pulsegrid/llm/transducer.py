@@ -1,12 +1,13 @@
 """Token counts by a finite-state transducer compiled from a sentencepiece BPE vocabulary.
 
 A BPE tokenisation is right exactly if each two neighbours in it are: encoded together, they give
-themselves back. So the last token of a prefix is the one vocabulary entry that ends there and may
+themselves back. That is so unless, at some time, the last symbol of the one and the first symbol of the other make
+an entry of higher score than those they go into next on their own sides. Which symbols these are, and until which
+merge, is compiled from the vocabulary for every entry before any text is read. So the last token of a prefix is the one vocabulary entry that ends there and may
 follow the last token of what precedes it. The transducer reads characters through the vocabulary's
 matching automaton; its state is the last token at each recent position (no further back than the
 longest entry), and a transition that completes token t at position i emits
-count(i) = count(i - len(t)) + 1. Which tokens may follow one another is compiled on demand from
-the model's own merges and kept as a table.
+count(i) = count(i - len(t)) + 1. The library takes no part in it.
 
 A character that no entry of two or more characters holds resets the state, as does the start of
 a run of spaces: no entry has a space after another character. Long texts are cut into chunks
@@ -32,11 +33,12 @@ from .words import pieces, raw, slices
 SPACE = "▁"
 #: Pairs a Python worker keeps compiled; a full table is emptied and compiled anew as needed.
 PAIRS = 8_000_000
+#: Characters of a segment above which it is read alone.
+LONG = 1024
 
 
 class Transducer:
     def __init__(self, path: str):
-        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -50,21 +52,24 @@ class Transducer:
         kinds = pb.ModelProto.SentencePiece
         if any(p.type == kinds.USER_DEFINED for p in proto.pieces):
             raise ValueError("user-defined pieces are matched before merging")
-        proto.normalizer_spec.add_dummy_prefix = False
-        self.bare = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.fallback = proto.trainer_spec.byte_fallback
-        normal = [(i, p.piece) for i, p in enumerate(proto.pieces) if p.type == kinds.NORMAL]
-        if any(SPACE in p.lstrip(SPACE) for _, p in normal):
+        normal = [p.piece for p in proto.pieces if p.type == kinds.NORMAL]
+        if any(SPACE in p.lstrip(SPACE) for p in normal):
             raise ValueError("an entry has a space after another character")
-        reached = self.bare.encode([p for _, p in normal], num_threads=1)
-        tokens = [p for (i, p), ids in zip(normal, reached, strict=True) if ids == [i]]  # its own merges reach an entry, or it is never emitted
-        self.ids = np.array([i for (i, _), ids in zip(normal, reached, strict=True) if ids == [i]])
-        self.tokens, self.sizes = tokens, np.array([len(t) for t in tokens])
-        self.inner = {c for _, p in normal if len(p) > 1 for c in p}
-        self.single = {p for _, p in normal if len(p) == 1}
+        score = {p.piece: p.score for p in proto.pieces if p.type == kinds.NORMAL}
+        order = {x: i for i, x in enumerate(sorted({score[p] for p in normal if len(p) > 1}, reverse=True))}
+        self.rank = {p: order[score[p]] for p in normal if len(p) > 1}  # of merges: the least goes first, of equals the leftmost
+        self.never = len(order)
+        spines = [self._spines(p) for p in normal]
+        self.tokens = [p for p, s in zip(normal, spines, strict=True) if s]  # its own merges reach an entry, or it is never emitted
+        self.sizes = np.array([len(t) for t in self.tokens])
+        self._cross([s for s in spines if s])
+        self.inner = {c for p in normal if len(p) > 1 for c in p}
+        self.single = {p for p in normal if len(p) == 1}
         self.joining = re.compile(f"[{''.join(map(re.escape, sorted(self.inner)))}]+")
         self._compile()
         self.pairs, self.right = np.array([-1], np.int64), np.array([False])
+        self.known: dict[int, bool] = {}
 
     def _compile(self) -> None:
         """The matching automaton as a table: state and character class give the next state; ``ends`` names
@@ -98,8 +103,57 @@ class Transducer:
                 self.step[at][k] = to
                 queue.append(to)
 
+    def _spines(self, piece: str) -> tuple[list, list] | None:
+        """The last and the first symbols of an entry while it is merged: each with the times at which it comes and goes,
+        and the greatest rank of the merges from then on until it goes. A time is the greatest rank merged so far, as a
+        merge may open one of lower rank, which follows at once. None if the merges end elsewhere."""
+        symbols, now, never = list(piece), -1, self.never
+        out: tuple[list, list] = ([], [])
+        born, most = [-1, -1], [-1, -1]
+        while len(symbols) > 1:
+            rank, i = min((self.rank.get(a + b, never), i) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)))
+            if rank == never:
+                return None
+            now, most = max(now, rank), [max(m, rank) for m in most]
+            for side, touched, symbol in ((0, i == len(symbols) - 2, symbols[-1]), (1, i == 0, symbols[0])):
+                if touched:
+                    out[side].append((symbol, born[side], now, most[side]))
+                    born[side], most[side] = now, -1
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+        return tuple(out[side] + [(piece, born[side], never, never)] for side in (0, 1))
+
+    def _cross(self, spines: list[tuple[list, list]]) -> None:
+        """Tables of the spines, and of the entries that a symbol at an end and one at a start make."""
+        names: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        self.spines = spines
+        self.spine = []
+        for side in (0, 1):
+            table = np.full((4, len(spines), max((len(s[side]) for s in spines), default=1)), -1, np.int64)
+            for t, s in enumerate(spines):
+                for k, (symbol, *times) in enumerate(s[side]):
+                    table[:, t, k] = names[side].setdefault(symbol, len(names[side])), *times
+            self.spine.append(table)
+        made = sorted((names[0][p[:i]] * len(names[1]) + names[1][p[i:]], rank) for p, rank in self.rank.items() for i in range(1, len(p)) if p[:i] in names[0] and p[i:] in names[1])
+        self.width = len(names[1])
+        self.made, self.made_rank = (np.array([m[i] for m in made], np.int64) for i in (0, 1))
+
+    def compiled(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether entry b may follow entry a, from the spines: no two symbols that meet at their border are merged. They
+        meet if the one that comes first is still there when the other comes; they are merged if what would take either up
+        has a higher rank, or waits behind one that has. Of equal ranks the left goes first."""
+        out = np.ones(len(a), bool)
+        for i in range(self.spine[0].shape[2]):
+            for j in range(self.spine[1].shape[2]):
+                (x, x_born, x_gone, x_most), (y, y_born, y_gone, y_most) = self.spine[0][:, a, i], self.spine[1][:, b, j]
+                at = np.minimum(np.searchsorted(self.made, x * self.width + y), max(len(self.made) - 1, 0))
+                live = out & (x >= 0) & (y >= 0) & np.where(x_born > y_born, y_gone >= x_born, x_gone > y_born)
+                if len(self.made):
+                    rank = self.made_rank[at]
+                    out &= ~(live & (self.made[at] == x * self.width + y) & (rank < x_most) & (rank <= y_most))
+        return out
+
     def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether entry b may follow entry a. Pairs met for the first time are compiled from the model's merges."""
+        """``compiled``, kept for pairs that were met before."""
         key = a.astype(np.int64) * len(self.tokens) + b
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         if (new := self.pairs[at] != key).any():
@@ -107,15 +161,43 @@ class Transducer:
             if len(self.pairs) > PAIRS:
                 self.pairs, self.right = self.pairs[:1], self.right[:1]
                 return self.may_follow(a, b)
-            x, y = fresh // len(self.tokens), fresh % len(self.tokens)
-            got = self.bare.encode([self.tokens[i] + self.tokens[j] for i, j in zip(x.tolist(), y.tolist(), strict=True)], num_threads=1)
-            ok = np.array([ids == [i, j] for ids, i, j in zip(got, self.ids[x].tolist(), self.ids[y].tolist(), strict=True)])
+            ok = self.compiled(fresh // len(self.tokens), fresh % len(self.tokens))
             order = np.argsort(np.concatenate((self.pairs, fresh)), kind="stable")
             self.pairs = np.concatenate((self.pairs, fresh))[order]
             self.right = np.concatenate((self.right, ok))[order]
             at = np.searchsorted(self.pairs, key)
         return self.right[at]
 
+    def follows(self, a: int, b: int) -> bool:
+        """``compiled`` for one pair."""
+        key = a * len(self.tokens) + b
+        if key not in self.known:
+            if len(self.known) > PAIRS:
+                self.known.clear()
+            self.known[key] = not any(
+                self.rank.get(x + y, self.never) < min(x_most, y_most + 1) and (y_gone >= x_born if x_born > y_born else x_gone > y_born)
+                for x, x_born, x_gone, x_most in self.spines[a][0] for y, y_born, y_gone, y_most in self.spines[b][1]
+            )
+        return self.known[key]
+
+    def run_long(self, codes: np.ndarray) -> int:
+        """Emitted tokens of one long segment, a character at a time."""
+        ends, link, sizes, step = self.ends.tolist(), self.link.tolist(), self.sizes.tolist(), self.step
+        last, emitted, state = [-2] + [-1] * len(codes), [0] * (len(codes) + 1), 0
+        for i, c in enumerate(codes.tolist(), 1):
+            state = int(step[state, c])
+            at = state if ends[state] >= 0 else link[state]
+            while at > 0:
+                t = ends[at]
+                before = last[i - sizes[t]]
+                if before == -2 or (before >= 0 and self.follows(before, t)):
+                    last[i], emitted[i] = t, emitted[i - sizes[t]] + 1
+                    break
+                at = link[at]
+        if last[-1] == -1:
+            raise AssertionError("no right token ends a segment")
+        return emitted[-1]
+
     def run(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Emitted tokens of segments of at most len(codes[0]) characters, longest first, all read together."""
         n, longest = codes.shape
@@ -148,15 +230,18 @@ class Transducer:
         out = np.zeros(len(segments), np.int64)
         sizes = np.fromiter(map(len, segments), np.int64, len(segments))
         order = np.argsort(-sizes, kind="stable")
-        edges = [0, 16, 24, 48, 256, 4096]
-        for lo, hi in zip(edges, [*edges[1:], None], strict=True):
-            own = order[(sizes[order] > lo) & (sizes[order] <= hi if hi else True)]
-            step = max(1, (1 << 21) // max(hi or int(sizes.max(initial=1)), 1))
+        codes_of = lambda s: self.char[np.frombuffer(s.encode("utf-32-le"), "<u4")]
+        for i in order[sizes[order] > LONG].tolist():
+            out[i] = self.run_long(codes_of(segments[i]))
+        edges = [0, 16, 24, 48, 256, LONG]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            own = order[(sizes[order] > lo) & (sizes[order] <= hi)]
+            step = max(1, (1 << 21) // hi)
             for a in range(0, len(own), step):
                 part = own[a : a + step]
                 size = sizes[part]
                 codes = np.zeros((len(part), int(size[0])), np.int32)
-                codes[np.arange(codes.shape[1]) < size[:, None]] = self.char[np.frombuffer("".join([segments[i] for i in part]).encode("utf-32-le"), "<u4")]
+                codes[np.arange(codes.shape[1]) < size[:, None]] = codes_of("".join([segments[i] for i in part]))
                 out[part] = self.run(codes, size)
         return out
 
@@ -273,13 +358,14 @@ def token_counts(docs: DataFrame, path: str, chunk: int = 65_536) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(total, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     spaced = F.concat(F.lit(" " if transducer(path).prefix else ""), F.col("text"))
-    last = F.floor((F.char_length("text")) / chunk).cast("int")
+    cut = F.when(F.char_length("whole") <= chunk, F.array("whole")).otherwise(F.regexp_extract_all("whole", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)))  # in one pass
     chunks = (
         # repeated rows stay apart by a number; it only names rows, and is the same when a task runs again
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        .select("doc_id", "row", F.octet_length("text").cast("long").alias("n_bytes"), F.when(F.col("text") == "", "").otherwise(spaced).alias("whole"), last.alias("top"))
-        .select("doc_id", "row", "n_bytes", "whole", "top", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("k"))
-        .select("doc_id", "row", "n_bytes", "k", (F.col("k") == 0).alias("first"), (F.col("k") == F.col("top")).alias("last"), F.when(F.col("top") == 0, F.col("whole")).otherwise(F.substring("whole", F.col("k") * chunk + 1, F.lit(chunk))).alias("chunk"))
+        .select("doc_id", "row", F.octet_length("text").cast("long").alias("n_bytes"), F.when(F.col("text") == "", "").otherwise(spaced).alias("whole"))
+        .select("doc_id", "row", "n_bytes", cut.alias("cut"))
+        .select("doc_id", "row", "n_bytes", F.size("cut").alias("size"), F.posexplode("cut").alias("k", "chunk"))
+        .select("doc_id", "row", "n_bytes", "k", (F.col("k") == 0).alias("first"), (F.col("k") == F.col("size") - 1).alias("last"), "chunk")
     )
     found = chunks.mapInArrow(mapped, "doc_id long, row long, n_bytes long, k int, reset boolean, head string, n long, tail string")
     # a reset parts its neighbours even with nothing open around it; only a text's first chunk has none before it

@@ -529,6 +529,41 @@ def test_op10_transducer(docs, texts, none):
     assert transducer.token_counts(none, P.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_op10_compiled_pairs_are_the_librarys():
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    own = transducer.transducer(P.path("piece_bpe_32k.model"))
+    proto = pb.ModelProto()
+    proto.ParseFromString(open(P.path("piece_bpe_32k.model"), "rb").read())
+    proto.normalizer_spec.add_dummy_prefix = False
+    sp = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, len(own.tokens), (2, 60_000))
+    short = np.flatnonzero(own.sizes <= 3)
+    a, b = (np.concatenate((x, rng.choice(short, 60_000))) for x in (a, b))
+    spaces = np.array([set(t) == {transducer.SPACE} for t in own.tokens])
+    opens = np.array([t.startswith(transducer.SPACE) for t in own.tokens])
+    x, y = np.meshgrid(np.flatnonzero(spaces), np.flatnonzero(opens)[::7])
+    a, b = np.concatenate((a, x.ravel())), np.concatenate((b, y.ravel()))
+    asked = ~opens[b] | spaces[a]
+    a, b = a[asked], b[asked]
+    got = sp.encode([own.tokens[i] + own.tokens[j] for i, j in zip(a, b)], out_type=str)
+    want = np.array([x == [own.tokens[i], own.tokens[j]] for x, i, j in zip(got, a, b)])
+    assert (own.compiled(a, b) == want).all() and 0 < want.sum() < len(want)
+    assert [own.follows(int(i), int(j)) for i, j in zip(a[::20], b[::20])] == want[::20].tolist()
+
+
+def test_op10_a_run_of_letters():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    own = transducer.transducer(P.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(4)
+    run = "".join(rng.choice(list("abcdeéilnorstu"), 200_000))
+    assert own.one(transducer.SPACE + run) == len(sp.encode(run))
+
+
 def test_op10_closed_chunks_part_their_neighbours(spark):
     import sentencepiece
 
