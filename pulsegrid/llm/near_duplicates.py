@@ -172,30 +172,77 @@ def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("node"), F.col("text").cast("string").alias("text")).join(ids, "node", "left_semi")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets are similar enough."""
-    pairs = stored(pairs)
-    rows = texts_of(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"), docs)
+def full_sets(ids: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """node and hashes, the sorted shingles, of these nodes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
             value, off = shingle_sets(batch.column("text"), scheme.words)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([value[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], names=["node", "hashes"])
 
+    return stored(texts_of(ids, docs).mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node", "hashes"]))
+
+
+def similar(x: np.ndarray, y: np.ndarray, scheme: Scheme) -> bool:
+    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) else 0
+    return both > 0 and 100 * both >= scheme.similarity * (len(x) + len(y) - both)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets are similar enough."""
+    pairs = stored(pairs)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
-                both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) else 0
-                good.append(both > 0 and 100 * both >= scheme.similarity * (len(x) + len(y) - both))
+            good = [similar(*(np.frombuffer(v.as_buffer(), "<u8") for v in xy), scheme) for xy in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    held = stored(rows.mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node", "hashes"]))
+    held = full_sets(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"), docs, scheme)
     joined = pairs.join(held.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").join(held.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
+def joining(pairs: list[tuple[int, int]], ok) -> list[tuple[int, int]]:
+    """Of the pairs those that are ``ok`` and join what wasn't joined before; pairs inside a component aren't asked."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root.setdefault(up, up)
+        return x
+
+    out = []
+    for x, y in pairs:
+        a, b = find(x), find(y)
+        if a != b and ok(x, y):
+            root[a] = b
+            out.append((x, y))
+    return out
+
+
+def confirmed_groups(found: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """Links (a, b) that join what the similar pairs of the groups join. A node's set goes once to each of its groups,
+    not to each pair."""
+    found = stored(found)
+    members = found.select("gid", F.explode("nodes").alias("node"))
+    held = full_sets(members.select("node").distinct(), docs, scheme)
+    rows = members.join(held, "node").select(F.col("gid").alias("of"), "node", "hashes")
+
+    def compare(groups: pa.Table, rows: pa.Table) -> pa.Table:
+        sets: dict[int, list[np.ndarray]] = {}
+        for n, h in zip(rows.column("node").to_pylist(), rows.column("hashes").to_pylist(), strict=True):
+            sets.setdefault(n, []).append(np.frombuffer(h, "<u8"))
+        links = []
+        for g in groups.to_pylist():
+            nodes = g["nodes"]
+            ok = lambda x, y, nodes=nodes: any(similar(p, q, scheme) for p in sets[nodes[x]] for q in sets[nodes[y]])
+            links += [(nodes[x], nodes[y]) for x, y in joining(list(zip(g["x"], g["y"], strict=True)), ok)]
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return found.groupBy("gid").cogroup(rows.groupBy("of")).applyInArrow(compare, "a long, b long").distinct()
+
+
 def first_pairs(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """For each node, the hub (least node of a key) that it shares most keys with."""
     keys = keyed(nodes, scheme, [])
@@ -216,7 +263,8 @@ def nearest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> tuple[np.ndarray,
 def sifted(rows: pa.Table, scheme: Scheme, one: bool = False) -> pa.Table:
     """Of rows dealt to groups (key, i, j, m): the pairs of a left and a right row, or of any two where a tile meets
     itself, that differ in component and that sizes and fine signatures allow. A pair that meets
-    under several keys counts under the first of them only. ``one``: only each node's nearest; ``far`` is the distance."""
+    under several keys counts under the first of them only. Pairs of a group make one row: its nodes, and the
+    places of the pairs in them. ``one``: only each node's nearest, as rows; ``far`` is the distance."""
     key, i, j, m, right, node, n, comp = (rows.column(c).to_numpy() for c in ("key", "i", "j", "m", "right", "node", "n", "component"))
     order = np.lexsort((right, m, j, i, key))
     key, i, j, m, right, node, n, comp = (x[order] for x in (key, i, j, m, right, node, n, comp))
@@ -246,12 +294,27 @@ def sifted(rows: pa.Table, scheme: Scheme, one: bool = False) -> pa.Table:
         each = np.arange(len(x))
         place = band * scheme.rows + np.argmax(off[each, band], axis=1)
         ok = key[x] >> (8 * (scheme.rows - 1)) == place
-        found = np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]]), apart[ok].astype(np.int64)
-        for into, v in zip((a, b, far), nearest(*found) if one else found, strict=True):
+        found = x[ok], y[ok], apart[ok].astype(np.int64)
+        for into, v in zip((a, b, far), nearest(node[found[0]], node[found[1]], found[2]) if one else found, strict=True):
             into.append(v)
         lo = hi
-    out = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b, far)]
-    return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b", "far"), nearest(*out) if one else out, strict=True)})
+    a, b, far = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b, far))
+    if one:
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b", "far"), nearest(a, b, far), strict=True)})
+    group = np.searchsorted(cuts, a, side="right") - 1
+    order = np.argsort(group, kind="stable")
+    a, b, group = a[order], b[order], group[order]
+    heads = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])
+    out: dict[str, list] = {"gid": [], "nodes": [], "x": [], "y": []}
+    for lo, hi in zip(heads.tolist(), np.append(heads, len(group))[1:].tolist(), strict=True):
+        at = a[lo]
+        nodes, place = np.unique(np.concatenate((node[a[lo:hi]], node[b[lo:hi]])), return_inverse=True)
+        out["gid"].append(f"{key[at]}-{i[at]}-{j[at]}-{m[at]}")
+        out["nodes"].append(nodes)
+        out["x"].append(place[: hi - lo].astype(np.int32))
+        out["y"].append(place[hi - lo :].astype(np.int32))
+    kinds = {"gid": pa.string(), "nodes": pa.list_(pa.int64()), "x": pa.list_(pa.int32()), "y": pa.list_(pa.int32())}
+    return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
 
 
 def mixed_keys(nodes: DataFrame, scheme: Scheme, bands: int | None = None) -> DataFrame:
@@ -276,8 +339,8 @@ def fine(nodes: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def other_pairs(mates: DataFrame, nodes: DataFrame, scheme: Scheme, one: bool) -> DataFrame:
-    """a, b, far: pairs of nodes of different components under one key that sizes and finer signatures allow; with
-    ``one`` only each node's nearest. ``nodes`` has the signatures. Under a key, the nodes of its least component
+    """Pairs of nodes of different components under one key that sizes and finer signatures allow, as groups (gid, nodes,
+    x, y); with ``one`` only each node's nearest, as pairs (a, b). ``nodes`` has the signatures. Under a key, the nodes of its least component
     need no comparison among themselves: they form tiles of their own, and meet only the tiles of the others."""
     mates = mates.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     # a minor tile i meets minor tiles j and major tiles j; group (i, j, major or not)
@@ -291,8 +354,8 @@ def other_pairs(mates: DataFrame, nodes: DataFrame, scheme: Scheme, one: bool) -
         return sifted(rows, scheme, one)
 
     share = F.pmod(F.xxhash64("key", "i", "j", "m"), F.lit(8 * width(mates.sparkSession))).cast("int")
-    found = dealt.withColumn("share", share).groupBy("share").applyInArrow(compare, "a long, b long, far long")
-    return found.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b")) if one else found.select("a", "b").distinct()
+    found = dealt.withColumn("share", share).groupBy("share").applyInArrow(compare, "a long, b long, far long" if one else "gid string, nodes array<long>, x array<int>, y array<int>")
+    return found.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b")) if one else found
 
 
 def groups(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
@@ -313,7 +376,7 @@ def groups(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
 
     near = others(one=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = cut(joined(confirmed(near, docs, scheme)))
-    final = joined(confirmed(others(one=False), docs, scheme))
+    final = joined(confirmed_groups(others(one=False), docs, scheme))
     of_class = classes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left").withColumn("component", F.coalesce("component", "doc_id"))
     real = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))

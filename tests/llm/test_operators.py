@@ -429,13 +429,19 @@ def test_op8_pairs_beyond_the_signature_distance():
         "key": [0, 0], "i": [0, 0], "j": [0, 0], "m": [False, False], "right": [False, False], "node": [7, 9], "n": [100, 90], "component": [7, 9],
         "signature": [x.tobytes() for x in sig], "fine": [x.tobytes() for x in fine],
     })
-    assert near_duplicates.sifted(rows, near_duplicates.Scheme()).to_pylist() == [{"a": 7, "b": 9, "far": 152}]
+    assert near_duplicates.sifted(rows, near_duplicates.Scheme()).to_pylist() == [{"gid": "0-0-0-False", "nodes": [7, 9], "x": [0], "y": [1]}]
     assert near_duplicates.sifted(rows, near_duplicates.Scheme(), one=True).to_pylist() == [{"a": 7, "b": 9, "far": 152}, {"a": 9, "b": 7, "far": 152}]
     assert near_duplicates.Scheme(similarity=70).fine_distance > 1024 * 0.15 + 5 * (1024 * 0.15 * 0.85) ** 0.5
     with pytest.raises(ValueError):
         near_duplicates.Scheme(similarity=50)
 
 
+def test_op8_groups_are_joined_once():
+    asked = []
+    links = near_duplicates.joining([(0, 1), (1, 2), (0, 2), (3, 4), (2, 3)], lambda x, y: asked.append((x, y)) or (x, y) != (3, 4))
+    assert links == [(0, 1), (1, 2), (2, 3)] and asked == [(0, 1), (1, 2), (3, 4), (2, 3)]
+
+
 def test_op8_keep_repeated_rows(spark):
     rng = np.random.default_rng(5)
     one, two = prose(rng, 60), prose(rng, 60)
