@@ -18,25 +18,45 @@ from .shared import once
 BLANK = " \t\n\x0b\f\r"
 SPLIT = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: Phrases of site furniture and licences (fixed values).
-BOILERPLATE = "all rights reserved|privacy policy|cookie policy|accept cookies|terms of use|terms of service|click here|subscribe now|sign up|log in|read more|share this|enable javascript|copyright|permission is hereby granted|licensed under"
+#: Phrases of site furniture and licences in English, French, German and Spanish, lower case (fixed values).
+PHRASES = (
+    "all rights reserved", "privacy policy", "cookie policy", "accept cookies", "terms of use", "terms of service", "click here", "subscribe now", "sign up", "log in", "read more", "share this",
+    "enable javascript", "copyright", "permission is hereby granted", "licensed under",
+    "tous droits réservés", "politique de confidentialité", "accepter les cookies", "conditions d'utilisation", "mentions légales", "cliquez ici", "lire la suite",
+    "alle rechte vorbehalten", "datenschutzerklärung", "cookies akzeptieren", "nutzungsbedingungen", "impressum", "hier klicken", "weiterlesen",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "aceptar cookies", "términos de uso", "haga clic aquí", "leer más", "iniciar sesión",
+)
+BOILERPLATE = "|".join(PHRASES)
+#: Digits, and letters of scripts that part words by spaces: Latin, Greek, Cyrillic.
+LETTERS = "0-9A-Za-zÀ-ÖØ-öø-ɏΆ-ώЀ-ԯ"
+#: A line without a mark at its end.
+OPEN_END = f"[{LETTERS}][\\x20\\x09-\\x0D]*\\z"
 MIN_WORDS, MAX_REPEAT, MAX_LOST = 50, 50, 30
 
 
+def without(text: Column, chars: str) -> Column:
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
 def count_of(text: Column, chars: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
+    """Occurrences of some rare characters."""
+    return F.regexp_count(text, F.lit(f"[\\Q{chars}\\E]"))
 
 
 def bad_line(line: Column) -> Column:
     """Whether a line fails: symbols or !? above a tenth of its characters, bars between every few words, a
-    boilerplate phrase in a short line, or one to three words that end in no mark at all."""
-    chars = F.char_length(F.translate(line, BLANK, ""))
-    shouts, bars, gaps = count_of(line, "!?"), count_of(line, "|"), count_of(line, " ")
-    punctuation = (10 * count_of(line, SYMBOLS) > chars) | ((shouts >= 4) & (10 * shouts > chars))
-    navigation = (bars >= 1) & (4 * bars >= gaps)
-    boilerplate = (chars <= 200) & F.lower(line).rlike(BOILERPLATE)
-    stray = (gaps <= 2) & line.rlike("[A-Za-z0-9][\\x20\\x09-\\x0D]*$")
-    return (chars > 0) & (punctuation | navigation | boilerplate | stray)
+    boilerplate phrase in a short line, or one to three words that end in no mark at all.
+
+    Each rule asks what is cheap first. Lines without a word meet none of them."""
+    chars, gaps = F.char_length(without(line, BLANK)), F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    symbols, shouts, bars = count_of(line, SYMBOLS), count_of(line, "!?"), count_of(line, "|")
+    marked = line.rlike(f"[{SYMBOLS}]") & ((10 * symbols > chars) | ((bars >= 1) & (4 * bars >= gaps)))
+    shouted = (shouts >= 4) & (10 * shouts > chars)
+    boilerplate = ((F.char_length(line) <= 200) | (chars <= 200)) & F.lower(line).rlike(BOILERPLATE)
+    few = F.octet_length(F.substring_index(line, " ", 3)) == F.octet_length(line)  # two gaps at most
+    return marked | shouted | boilerplate | (few & line.rlike(OPEN_END))
 
 
 def repeat_words(grams: str) -> Column:
@@ -64,21 +84,22 @@ def measured(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")  # columns of any name stay out of the way
     rows = docs.select(own, text.alias("text")).select(
-        "own", "text", F.filter(F.split("text", SPLIT), lambda w: w != "").alias("words"), F.split("text", "\n").alias("lines")
+        "own", "text", F.array_remove(F.split("text", SPLIT), "").alias("words"), F.split("text", "\n").alias("lines")
     )
     third = lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))
     grams = F.when(F.size("words") >= 3, F.transform(F.sequence(F.lit(0), F.size("words") - 3), third)).otherwise(F.array().cast("array<bigint>"))
-    worded = F.filter("lines", lambda x: F.translate(x, BLANK, "") != "")
+    worded = F.filter("lines", lambda x: F.trim(x, F.lit(BLANK)) != "")
     good = F.filter("lines", lambda x: ~bad_line(x))
-    rows = rows.select("own", "text", F.size("words").alias("n_words"), grams.alias("grams"), worded.alias("worded"), F.array_join(good, "\n").alias("cleaned"))
+    rows = rows.select("own", "text", F.size("words").alias("n_words"), F.char_length(F.array_join("words", "")).alias("word_chars"), grams.alias("grams"), worded.alias("worded"), F.array_join(good, "\n").alias("cleaned"))
     rows = once(
         rows, ["own", "cleaned"],
         F.col("n_words").cast("long").alias("n_words"),
-        F.char_length(F.translate("text", BLANK, "")).cast("long").alias("word_chars"),
+        F.col("word_chars").cast("long").alias("word_chars"),
         count_of(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long").alias("n_dup_lines"),
         repeat_words("grams").cast("long").alias("n_repeat_words"),
-        F.char_length(F.translate("cleaned", BLANK, "")).cast("long").alias("left_chars"),
+        # a cleaned text as long as the whole one is the whole one
+        F.when(F.octet_length("cleaned") == F.octet_length("text"), F.col("word_chars")).otherwise(F.char_length(without(F.col("cleaned"), BLANK))).cast("long").alias("left_chars"),
     ).withColumn("lost_chars", F.col("word_chars") - F.col("left_chars"))
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
     return rows.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST * F.col("word_chars")))
@@ -98,7 +119,7 @@ def clean(docs: DataFrame) -> DataFrame:
 
 def sql() -> str:
     """The verdicts in DuckDB's SQL."""
-    blank = "[ \\x09-\\x0D]"
+    blank, phrases = "[ \\x09-\\x0D]", BOILERPLATE.replace("'", "''")
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '{blank}+'), lambda x: x <> '') AS words, string_split(text, chr(10)) AS lines FROM d),
@@ -110,7 +131,7 @@ m AS (SELECT r, line, length(regexp_replace(line, '{blank}', '', 'g')) AS chars,
   length(line) - length(replace(line, '|', '')) AS bars, length(line) - length(replace(line, ' ', '')) AS gaps,
   length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols FROM u),
 b AS (SELECT r, line, chars, chars > 0 AND (10 * symbols > chars OR (shouts >= 4 AND 10 * shouts > chars) OR (bars >= 1 AND 4 * bars >= gaps)
-  OR (chars <= 200 AND regexp_matches(lower(line), '{BOILERPLATE}')) OR (gaps <= 2 AND regexp_matches(line, '[A-Za-z0-9]{blank}*$'))) AS bad FROM m),
+  OR (chars <= 200 AND regexp_matches(lower(line), '{phrases}')) OR (gaps <= 2 AND regexp_matches(line, '{OPEN_END}'))) AS bad FROM m),
 l AS (SELECT r, sum(CASE WHEN bad THEN chars ELSE 0 END) AS lost, sum(chars) AS word_chars, count(*) FILTER (chars > 0) - count(DISTINCT line) FILTER (chars > 0) AS dup FROM b GROUP BY r),
 a AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, l.word_chars::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   l.dup::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words, l.lost::BIGINT AS lost_chars FROM w JOIN l USING (r) LEFT JOIN p USING (r)),

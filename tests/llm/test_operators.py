@@ -166,6 +166,14 @@ def test_op2_lines(spark, docs, texts, none):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_op2_lines_by_hand(spark):
+    bad = ["Mentions légales de la page", "alle Rechte vorbehalten.", "Haga clic aquí ahora mismo.", "Read More about us here.", "un café", "Ωμέγα  ", "Меню", "a | b | c", "# % $ & oh", "wow!!!! what", "x" * 201 + " copyright | x"]
+    good = ["", " \t ", "A plain line that ends in letters", "Le café.", "日本語の行", "(a)", "x" * 201 + " copyright. It is long, so it stays", "one two three four \r", "No way! No!"]
+    lines = spark.createDataFrame([(x,) for x in bad + good], "line string")
+    got = {r.line: r.bad for r in lines.select("line", line_rules.bad_line(F.col("line")).alias("bad")).collect()}
+    assert [x for x in bad if not got[x]] == [] and [x for x in good if got[x]] == []
+
+
 def test_op3_rules(spark, docs, none):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     model = rule_ensemble.fit(d, labels, trees=4)
