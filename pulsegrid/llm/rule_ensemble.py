@@ -31,8 +31,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     """``docs`` as a struct ``own``, and the statistics of each text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), text.alias("text")).select(
-        "own", "text", F.filter(F.split("text", SPLIT), lambda w: w != "").alias("words"), F.translate("text", BLANK, "").alias("dense"), F.filter(F.split("text", "\n"), lambda x: F.translate(x, BLANK, "") != "").alias("lines")
-    )
+        "own", F.array_remove(F.split("text", SPLIT), "").alias("words"), F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(BLANK)) != "").alias("lines")
+    ).select("own", "words", "lines", F.array_join("words", "").alias("dense"))
     words, chars, lines = F.size("words"), F.char_length("dense"), F.size("lines")
     share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
