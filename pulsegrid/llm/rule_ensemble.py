@@ -115,9 +115,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees: int = 1
         .select("doc_id", "label")
     )
     # at most ``sample`` rows of two numbers are broadcast; documents that repeat a labelled id add to the joined rows.
-    # These are few numbers each, and shuffled, so that the scan and the statistics keep all their tasks
+    # These are few numbers each, and shuffled, so that the scan and the statistics keep all their tasks; sorted after
+    # that, as rows arrive in any order and trees of another order would be other trees
     joined = docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id")
-    rows = cut(statistics(joined).select("own.label", *FEATURES, array_to_vector(F.array(*FEATURES)).alias("features")).repartition(4))
+    rows = cut(statistics(joined).select("own.label", *FEATURES, array_to_vector(F.array(*FEATURES)).alias("features")).repartition(4).sortWithinPartitions("label", *FEATURES))
     kinds = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(kinds) < 2:
         import math
