@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.settings import HOUR, Settings
@@ -23,6 +23,19 @@ def segments(recordings: DataFrame, s: Settings) -> DataFrame:
     return recordings.groupBy("user_id", own).agg(F.count("*").alias("n"), F.avg("value").alias("mean_value")).withColumn("valid", F.col("n") >= 2)
 
 
+def cleaned(recordings: DataFrame, s: Settings) -> DataFrame:
+    """user_id, segment, n, plausible, longest_gap_h, flat, clean: tumbling windows judged by artefacts, gaps between
+    neighbouring values, and values that never change."""
+    own = F.floor(F.col("us") / (s.window_h * HOUR)).cast("bigint")
+    order = Window.partitionBy("user_id", "segment").orderBy("us", "event_id")
+    rows = recordings.withColumn("segment", own).withColumn("gap", F.col("us") - F.lag("us").over(order))
+    rows = rows.groupBy("user_id", "segment").agg(
+        F.count("*").alias("n"), F.count_if(F.col("value").between(*s.plausible)).alias("plausible"),
+        (F.max("gap").cast("double") / float(HOUR)).alias("longest_gap_h"), (F.min("value") == F.max("value")).alias("flat"),
+    )
+    return rows.withColumn("clean", (F.col("n") >= 2) & ~F.col("flat") & (F.col("plausible") >= s.min_plausible * F.col("n")) & (F.coalesce("longest_gap_h", F.lit(0.0)) <= s.max_gap_h))
+
+
 def assembled(cut: DataFrame, manifest: DataFrame, found: DataFrame, static: DataFrame, s: Settings) -> DataFrame:
     """Eligible segments with their run's subset, label (an episode begins in them) and static feature."""
     labels = found.select("user_id", F.floor(F.col("onset") / (s.window_h * HOUR)).cast("bigint").alias("segment")).distinct().withColumn("label", F.lit(1))

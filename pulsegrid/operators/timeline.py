@@ -47,6 +47,16 @@ def observed(recordings: DataFrame, s: Settings) -> DataFrame:
     return rows.select("user_id", "t", "first", "last", "n", F.try_divide("sy", F.col("n").cast("double")).alias("mean_value"), trend.alias("trend"))
 
 
+def resampled(recordings: DataFrame, s: Settings) -> DataFrame:
+    """user_id, t, value, age_h: at each decision time the latest value and its age, carried no farther than the
+    look-back window; null where the window is empty. Of values at one time the one with the largest event_id counts."""
+    none = "struct<us: bigint, event_id: bigint, value: double>"
+    rows = recordings.select("user_id", F.col("us").alias("t"), F.struct("us", "event_id", "value").alias("at"), F.lit(False).alias("wanted"))
+    rows = rows.unionByName(grid(recordings, s).select("user_id", "t", F.lit(None).cast(none).alias("at"), F.lit(True).alias("wanted")))
+    rows = rows.select("user_id", "t", "wanted", F.max("at").over(trailing(s)).alias("at")).where("wanted")
+    return rows.select("user_id", "t", "at.value", ((F.col("t") - F.col("at.us")).cast("double") / float(HOUR)).alias("age_h"))
+
+
 def features(recordings: DataFrame, s: Settings) -> DataFrame:
     """Window features of each decision, from the window's values in order of time."""
     rows = _along(recordings, grid(recordings, s)).select("user_id", "t", "first", F.collect_list("value").over(trailing(s)).alias("v")).where("first IS NOT NULL")

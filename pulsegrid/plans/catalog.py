@@ -319,6 +319,25 @@ def q28(spark, d):
     return assemble.assembled(assemble.segments(r, S), manifest(spark, d), timeline.episodes(r, S), read(spark, d, "customer").select("c_custkey", "c_acctbal"), S)
 
 
+@query(
+    "q29_resample",
+    f"""SELECT user_id, t, round(value, 6) + 0.0 AS value, round((t - us)::DOUBLE / {HOUR}.0, 6) + 0.0 AS age_h
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id, t ORDER BY us DESC NULLS LAST, event_id DESC) AS k FROM xs) WHERE k = 1""",
+)
+def q29(spark, d):
+    return timeline.resampled(rec(spark, d), S)
+
+
+@query(
+    "q30_segment_cleaning",
+    f""", s AS (SELECT user_id, us // {W} AS segment, value, us - lag(us) OVER (PARTITION BY user_id, us // {W} ORDER BY us, event_id) AS gap FROM ev),
+a AS (SELECT user_id, segment, count(*) AS n, count(*) FILTER (value BETWEEN {S.plausible[0]} AND {S.plausible[1]}) AS plausible, round(max(gap)::DOUBLE / {HOUR}.0, 6) + 0.0 AS longest_gap_h, min(value) = max(value) AS flat FROM s GROUP BY ALL)
+SELECT *, n >= 2 AND NOT flat AND plausible >= {S.min_plausible} * n AND coalesce(longest_gap_h, 0) <= {S.max_gap_h} AS clean FROM a""",
+)
+def q30(spark, d):
+    return assemble.cleaned(rec(spark, d), S)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Decisions and positive labels per fold and horizon."""
     rows = decisions(spark, d).join(partition.folds(rec(spark, d), S), "user_id")

@@ -26,6 +26,9 @@ class Settings:
     alarm_budget: float = 0.02  # false alarms per evaluable hour
     thresholds: int = 19  # candidates: 1 / (n + 1), ..., n / (n + 1)
     rolling_h: int = 96
+    plausible: tuple[float, float] = (1.0, 480.0)  # values outside are artefacts
+    min_plausible: float = 0.9  # share of plausible values a clean segment has at least
+    max_gap_h: int = 24  # longest stretch without a value inside a clean segment
     draws: int = 200
     level: float = 0.95
 

@@ -92,6 +92,16 @@ def test_references_share_decisions(spark, many):
     assert keys["value"] == keys["trend"] == keys["both"]
 
 
+def test_resampled_and_cleaned_by_hand(spark):
+    r = series(spark, [(0, 50), (16, 60), (17, 70), (90, 5)], [(0, 7), (1, 7)], [(0, 900), (1, 10)])
+    got = {(x.user_id, (x.t - ORIGIN) // HOUR): (x.value, x.age_h) for x in timeline.resampled(r, S).collect()}
+    assert got[0, 8] == (50, 8) and got[0, 24] == (70, 7) and got[0, 56] == (70, 39) and got[0, 72] == (None, None)  # decisions lie 8 hours after ORIGIN, and every 16
+    start = ORIGIN // (S.window_h * HOUR)
+    seen = {(x.user_id, x.segment - start): (x.n, x.plausible, x.flat, x.clean) for x in assemble.cleaned(r, S).collect()}
+    assert seen[1, 0] == (2, 2, True, False) and seen[2, 0] == (2, 1, False, False)
+    assert sum(v[3] for (u, _), v in seen.items() if u == 0) == 1
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], RECORD)
     assert timeline.episodes(none, S).count() == timeline.observed(none, S).count() == partition.manifests(none, S).count() == 0
