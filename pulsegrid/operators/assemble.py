@@ -17,6 +17,25 @@ def scaling(rows: DataFrame, manifest: DataFrame, column: str) -> DataFrame:
     return joined.join(F.broadcast(fitted), "run").select("run", "user_id", "t", "subset", z.alias("z"))  # a row per run
 
 
+def scaled(rows: DataFrame, manifest: DataFrame, columns: list[str]) -> DataFrame:
+    """run, user_id, t, subset and z_<column> for each of ``columns``: as ``scaling``, with the statistics of all
+    columns from one aggregation over the training subset."""
+    joined = rows.select("user_id", "t", *columns).join(manifest.select("user_id", "run", "subset"), "user_id")
+    fitted = joined.where("subset = 'train'").groupBy("run").agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("centre", F.avg), ("scale", F.stddev_pop))))
+    z = lambda c: F.try_divide(F.col(c) - F.col(f"centre_{c}"), F.when(F.col(f"scale_{c}") > 1e-9, F.col(f"scale_{c}")))
+    return joined.join(F.broadcast(fitted), "run").select("run", "user_id", "t", "subset", *(F.coalesce(z(c), F.lit(0.0)).alias(f"z_{c}") for c in columns))  # a row per run
+
+
+def stacked(events: DataFrame, channels: list[str], slots: int, s: Settings) -> DataFrame:
+    """user_id, segment, wf: a channel per event type and a mean per slot of the window, null where a slot is empty.
+    ``events`` has user_id, us, event_type, value; segments without any of the channels are left out."""
+    width = s.window_h * HOUR
+    cell = F.floor(F.pmod(F.col("us"), F.lit(width)) * slots / width).cast("int")
+    rows = events.where(F.col("event_type").isin(channels)).select("user_id", F.floor(F.col("us") / width).cast("bigint").alias("segment"), "event_type", cell.alias("slot"), "value")
+    at = lambda c, k: F.avg(F.when((F.col("event_type") == c) & (F.col("slot") == k), F.col("value")))
+    return rows.groupBy("user_id", "segment").agg(F.array(*(F.array(*(at(c, k) for k in range(slots))) for c in channels)).alias("wf"))
+
+
 def segments(recordings: DataFrame, s: Settings) -> DataFrame:
     """user_id, segment, n, mean_value, valid: tumbling windows; valid ones have two measurements or more."""
     own = F.floor(F.col("us") / (s.window_h * HOUR)).cast("bigint").alias("segment")

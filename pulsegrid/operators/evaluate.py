@@ -84,12 +84,25 @@ def dynamics(decisions: DataFrame, s: Settings) -> DataFrame:
     )
 
 
+def rank_correlation(decisions: DataFrame, s: Settings) -> DataFrame:
+    """user_id, n, rank_correlation: Spearman's, of score and time in the longest horizon before onsets; ties share their
+    mean rank, and users whose ranks don't vary get null. ``decisions`` as in ``dynamics``."""
+    away = F.col("next_onset") - F.col("t")
+    rows = decisions.where("score IS NOT NULL AND NOT ongoing").where(away <= max(s.horizons_h) * HOUR).select("user_id", (-away).alias("x"), F.round("score", 9).alias("y"))
+    rank = lambda c: F.rank().over(Window.partitionBy("user_id").orderBy(c)) + (F.count("*").over(Window.partitionBy("user_id", c)) - 1) / 2
+    rows = rows.select("user_id", rank("x").alias("x"), rank("y").alias("y"))
+    spread = F.stddev_pop("x") * F.stddev_pop("y")
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.when(spread > 1e-9, F.try_divide(F.covar_pop("x", "y"), spread)).alias("rank_correlation"))
+
+
 def paired_bootstrap(arms: DataFrame, s: Settings) -> DataFrame:
     """delta, lower, upper: the difference of sensitivities of two arms, from resampled patients. ``arms`` has user_id,
     events, warned_a, warned_b. Both arms see the same draw, which is fixed by MD5s of draw and place."""
     total = arms.agg(F.count("*").alias("n"))
-    # places of patients: their rank by id, counted in stretches of ids
-    ranked = arms.withColumn("part", F.floor(F.col("user_id") / 10_000))
+    # places of patients: their rank by id, counted in 4096 stretches between the least and the largest id
+    ends = arms.agg(F.min("user_id").cast("double").alias("lo"), F.max("user_id").cast("double").alias("hi"))
+    stretch = F.floor((F.col("user_id").cast("double") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1.0) * 4096)
+    ranked = arms.crossJoin(F.broadcast(ends)).withColumn("part", stretch).drop("lo", "hi")  # one row
     base = ranked.groupBy("part").agg(F.count("*").alias("m")).select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("base"))
     ranked = ranked.join(base, "part").withColumn("place", F.col("base") + F.row_number().over(Window.partitionBy("part").orderBy("user_id")) - 1)
     slots = ranked.select("place").crossJoin(F.broadcast(total)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(s.draws - 1))))  # one row: the count

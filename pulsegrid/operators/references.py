@@ -8,18 +8,24 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import stages
+
 ARMS = {"value": ["mean_value"], "trend": ["trend"], "both": ["mean_value", "trend"]}
 
 
 def fitted(decisions: DataFrame, manifest: DataFrame, runs: int) -> DataFrame:
-    """model, run, user_id, t, score on test patients. Every model scores the same eligible decisions."""
-    rows = decisions.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("mean_value", "trend")}).join(manifest.select("user_id", "run", "subset"), "user_id")
+    """model, run, user_id, t, score on test patients. Every model scores the same eligible decisions;
+    missing inputs take the training mean of their run. The decisions are stored once, a folder per run and subset."""
+    names = ["mean_value", "trend"]
+    rows = decisions.select("user_id", "t", "hard", *names).join(manifest.select("user_id", "run", "subset"), "user_id")
+    kept = stages.put(rows, stages.folder(decisions.sparkSession), ["run", "subset"])
     out = None
     for run in range(runs):
-        own = rows.where(F.col("run") == run).persist()
+        train, test = (kept.where((F.col("run") == run) & (F.col("subset") == subset)) for subset in ("train", "test"))
+        fill = {c: v or 0.0 for c, v in train.agg(*(F.avg(c).alias(c) for c in names)).first().asDict().items()}  # one row
         for arm, columns in ARMS.items():
-            ready = VectorAssembler(inputCols=columns, outputCol="x").transform(own)
-            model = LogisticRegression(featuresCol="x", labelCol="hard", regParam=1e-3, maxIter=20).fit(ready.where("subset = 'train'"))
-            scored = model.transform(ready.where("subset = 'test'")).select(F.lit(arm).alias("model"), "run", "user_id", "t", F.round(vector_to_array("probability")[1], 6).alias("score"))
+            ready = VectorAssembler(inputCols=columns, outputCol="x")
+            model = LogisticRegression(featuresCol="x", labelCol="hard", regParam=1e-3, maxIter=20).fit(ready.transform(train.fillna(fill)))
+            scored = model.transform(ready.transform(test.fillna(fill))).select(F.lit(arm).alias("model"), "run", "user_id", "t", F.round(vector_to_array("probability")[1], 6).alias("score"))
             out = scored if out is None else out.unionByName(scored)
     return out

@@ -75,6 +75,44 @@ def features(recordings: DataFrame, s: Settings) -> DataFrame:
     )
 
 
+FAMILIES = ["slope", "q25", "q75", "iqr", "rms", "change", "mean_step", "max_step", "crossings", "share_low", "depth_low", "lag1", "age_h"]
+
+
+def families(recordings: DataFrame, s: Settings) -> DataFrame:
+    """user_id, t and ``FAMILIES``: trend, quartiles, energy, steps between neighbours, crossings of the mean, time below
+    the limit, lag-one autocorrelation, and the last value's age, of each decision's window in order of time."""
+    rows = recordings.select("user_id", F.col("us").alias("t"), F.struct("us", "event_id", "value").alias("at"), F.lit(False).alias("wanted"))
+    rows = rows.unionByName(grid(recordings, s).select("user_id", "t", F.lit(None).cast("struct<us: bigint, event_id: bigint, value: double>").alias("at"), F.lit(True).alias("wanted")))
+    rows = rows.select("user_id", "t", "wanted", F.array_sort(F.collect_list("at").over(trailing(s))).alias("w")).where("wanted")
+    hours = F.transform("w", lambda p: (p["us"] - ORIGIN).cast("double") / float(HOUR))
+    rows = rows.select("user_id", "t", F.transform("w", lambda p: p["value"]).alias("v"), hours.alias("x"), F.size("w").alias("n"), F.array_max(F.transform("w", lambda p: p["us"])).alias("us"))
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda c, y: c + y)
+    mean = lambda a: F.try_divide(add(a), F.col("n").cast("double"))
+    rows = rows.select("*", mean("v").alias("mv"), mean("x").alias("mx"), F.array_sort("v").alias("o"))
+    rows = rows.select("*", F.transform("v", lambda y: y - F.col("mv")).alias("dv"), F.transform("x", lambda y: y - F.col("mx")).alias("dx"))
+    pairs = lambda a, f: F.zip_with(F.slice(a, 2, F.greatest(F.col("n") - 1, F.lit(1))), F.slice(a, 1, F.greatest(F.col("n") - 1, F.lit(0))), f)
+    many, square = F.col("n") >= 2, lambda y: y * y
+    steps = pairs("v", lambda b, a: F.abs(b - a))
+    across = add(F.transform("dx", square))
+
+    def quantile(p: float) -> Column:
+        place = (F.col("n") - 1) * p
+        low = F.floor(place).cast("int")
+        below, above = F.get("o", low), F.coalesce(F.get("o", low + 1), F.get("o", low))
+        return F.when(F.col("n") > 0, below + (place - low) * (above - below))
+
+    out = {
+        "slope": F.when(many & (F.col("n") * across > 1e-6), add(F.zip_with("dx", "dv", lambda a, b: a * b)) / across),
+        "q25": quantile(0.25), "q75": quantile(0.75), "iqr": quantile(0.75) - quantile(0.25), "rms": F.sqrt(mean(F.transform("v", square))),
+        "change": F.get("v", F.col("n") - 1) - F.get("v", F.lit(0)), "mean_step": F.when(many, add(steps) / (F.col("n") - 1)), "max_step": F.when(many, F.array_max(steps)),
+        "crossings": F.when(many, F.size(F.filter(pairs("dv", lambda b, a: (b > 1e-9) != (a > 1e-9)), lambda c: c)).cast("bigint")),
+        "share_low": mean(F.transform("v", lambda y: (y < s.low).cast("double"))), "depth_low": mean(F.transform("v", lambda y: F.greatest(F.lit(0.0), s.low - y))),
+        "lag1": F.when(many & (add(F.transform("dv", square)) > 1e-6), add(pairs("dv", lambda b, a: a * b)) / add(F.transform("dv", square))),
+        "age_h": (F.col("t") - F.col("us")).cast("double") / float(HOUR),
+    }
+    return rows.select("user_id", "t", *(out[c].alias(c) for c in FAMILIES))
+
+
 def with_outlook(decisions: DataFrame, found: DataFrame) -> DataFrame:
     """``decisions`` with ``ongoing`` and ``next_onset``: targets only. One pass along each recording instead of an
     interval join."""

@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores as sc
-from ..operators import assemble, evaluate, partition, references, timeline
+from ..operators import assemble, evaluate, partition, references, scoring, timeline
+from ..sources import stages
 from ..sources.tables import read, recordings
 from .settings import DEFAULT as S
 from .settings import HOUR, ORIGIN
@@ -267,6 +269,11 @@ def q23(spark, d):
     return evaluate.paired_bootstrap(arms, S).select("delta", "lower", "upper")
 
 
+def references_auroc(rows: DataFrame) -> DataFrame:
+    arms = F.array(*(F.struct(F.lit(n).alias("model"), c.alias("score")) for n, c in (("value", F.col("score")), ("trend", sc.trend_score(F.col("trend"))), ("both", F.col("score_b")))))
+    return evaluate.auroc(rows.select("hard", F.inline(arms)), ["model"], "score", "hard")
+
+
 @query(
     "q24_simple_refs",
     f""", m AS (SELECT 'value' AS model, hard, score FROM el WHERE horizon_h = {S.alarm_horizon_h} UNION ALL SELECT 'trend', hard, 1 / (1 + exp(trend)) FROM el WHERE horizon_h = {S.alarm_horizon_h}
@@ -274,9 +281,7 @@ def q23(spark, d):
 SELECT model, round((rs - p * (p + 1) / 2.0::DOUBLE) / (p::DOUBLE * q), 6) + 0.0 AS auroc FROM {auroc_sql('m', 'model')}""",
 )
 def q24(spark, d):
-    arms = F.array(*(F.struct(F.lit(n).alias("model"), c.alias("score")) for n, c in (("value", F.col("score")), ("trend", sc.trend_score(F.col("trend"))), ("both", F.col("score_b")))))
-    rows = eligible(spark, d).select("hard", F.inline(arms))
-    return evaluate.auroc(rows, ["model"], "score", "hard")
+    return references_auroc(eligible(spark, d))
 
 
 @query("q24_simple_refs_fitted")
@@ -338,6 +343,95 @@ def q30(spark, d):
     return assemble.cleaned(rec(spark, d), S)
 
 
+FAMILY_SQL = f""", a AS (SELECT user_id, t, count(value) AS n, avg(value) AS mean, avg(x) AS mx, sqrt(avg(value * value)) AS rms, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.75) AS q75, arg_max(value, us) - arg_min(value, us) AS change,
+  avg(CASE WHEN value < {S.low} THEN 1.0::DOUBLE WHEN value IS NOT NULL THEN 0 END) AS share_low, avg(CASE WHEN value < {S.low} THEN {S.low}::DOUBLE - value WHEN value IS NOT NULL THEN 0 END) AS depth_low, (t - max(us))::DOUBLE / {HOUR}.0 AS age_h FROM xs GROUP BY user_id, t),
+d AS (SELECT xs.user_id, xs.t, value, mean, x - mx AS dx, lag(value) OVER (PARTITION BY xs.user_id, xs.t ORDER BY us, event_id) AS prev FROM xs JOIN a USING (user_id, t)),
+s AS (SELECT user_id, t, avg(abs(value - prev)) AS mean_step, max(abs(value - prev)) AS max_step, sum(CASE WHEN prev IS NOT NULL THEN ((value - mean > 1e-9) <> (prev - mean > 1e-9))::INTEGER END)::BIGINT AS crossings,
+  CASE WHEN count(value) >= 2 AND sum((value - mean) ** 2) > 1e-6 THEN sum((value - mean) * (prev - mean)) / sum((value - mean) ** 2) END AS lag1,
+  CASE WHEN count(value) >= 2 AND count(value) * sum(dx * dx) > 1e-6 THEN sum(dx * (value - mean)) / sum(dx * dx) END AS slope FROM d GROUP BY ALL),
+fm AS (SELECT user_id, t, slope, q25, q75, q75 - q25 AS iqr, rms, change, mean_step, max_step, crossings, share_low, depth_low, lag1, age_h FROM a JOIN s USING (user_id, t))"""
+
+
+@query("q31_feature_families", f"{FAMILY_SQL} SELECT user_id, t, crossings, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in timeline.FAMILIES if c != 'crossings')} FROM fm")
+def q31(spark, d):
+    return timeline.families(rec(spark, d), S)
+
+
+@query(
+    "q32_train_scaling_all",
+    f"""{FAMILY_SQL}, j AS (SELECT run, subset, fm.* FROM fm JOIN mf USING (user_id)),
+f AS (SELECT run, {", ".join(f"avg({c}) AS c_{c}, stddev_pop({c}) AS s_{c}" for c in timeline.FAMILIES)} FROM j WHERE subset = 'train' GROUP BY run)
+SELECT run, user_id, t, subset, {", ".join(f"round(coalesce(({c} - c_{c}) / CASE WHEN s_{c} > 1e-9 THEN s_{c} END, 0), 6) + 0.0 AS z_{c}" for c in timeline.FAMILIES)} FROM j JOIN f USING (run)""",
+)
+def q32(spark, d):
+    return assemble.scaled(timeline.families(rec(spark, d), S), manifest(spark, d), timeline.FAMILIES)
+
+
+@query(
+    "q33_stored_subsets",
+    f""", s AS (SELECT user_id, us // {W} AS segment, count(*) AS n, avg(value) AS mean_value FROM ev GROUP BY ALL HAVING count(*) >= 2), l AS (SELECT DISTINCT user_id, onset // {W} AS segment FROM ep)
+SELECT run, subset, count(*) AS n, count(l.user_id) AS positive, round(avg(mean_value), 6) + 0.0 AS mean_value FROM s JOIN mf USING (user_id) LEFT JOIN l ON l.user_id = s.user_id AND l.segment = s.segment GROUP BY run, subset""",
+)
+def q33(spark, d):
+    """Manifests, segments and subsets are stored one after the other; each is read back by the next."""
+    base, r = stages.folder(spark), rec(spark, d)
+    fixed = stages.put(manifest(spark, d), f"{base}/manifests", ["run", "subset"])
+    cut = stages.put_recordings(assemble.segments(r, S), f"{base}/segments", S.buckets).drop("bucket")
+    rows = assemble.assembled(cut, fixed, timeline.episodes(r, S), read(spark, d, "customer").select("c_custkey", "c_acctbal"), S)
+    subsets = stages.put(rows, f"{base}/subsets", ["run", "subset"])
+    return subsets.groupBy("run", "subset").agg(F.count("*").alias("n"), F.sum(F.col("label").cast("bigint")).alias("positive"), F.avg("mean_value").alias("mean_value"))
+
+
+READOUT = np.array([(i * 5 % 7 - 3) / 10 for i in range(64)]).reshape(4, 16)
+
+
+@query(
+    "q34_batch_scores",
+    """, i AS (SELECT vec_id, unnest(range(64)) AS i, embedding FROM embeddings)
+SELECT vec_id, round(1 / (1 + exp(-sum(embedding[i + 1]::DOUBLE * ((i * 5 % 7 - 3)::DOUBLE / 10)))), 6) + 0.0 AS score FROM i GROUP BY vec_id""",
+)
+def q34(spark, d):
+    return scoring.score_batches(read(spark, d, "embeddings"), ["vec_id"], "embedding", READOUT.shape, scoring.LinearReadout(READOUT))
+
+
+CELLS = ", ".join(f"({c}, '{name}', {k})" for c, name in enumerate(S.channels) for k in range(S.slots))
+
+
+@query(
+    "q35_stacked_channels",
+    f""", e AS (SELECT user_id, epoch_us(ts) // {W} AS segment, event_type, (epoch_us(ts) % {W}) * {S.slots} // {W} AS slot, value FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL AND event_type IN ({", ".join(f"'{c}'" for c in S.channels)})),
+k AS (SELECT DISTINCT user_id, segment FROM e), m AS (SELECT user_id, segment, event_type, slot, avg(value) AS value FROM e GROUP BY ALL)
+SELECT k.user_id, k.segment, c.channel::INTEGER AS channel, c.slot::INTEGER AS slot, round(value, 6) + 0.0 AS value FROM k, (VALUES {CELLS}) c(channel, name, slot)
+LEFT JOIN m ON m.user_id = k.user_id AND m.segment = k.segment AND m.event_type = c.name AND m.slot = c.slot""",
+)
+def q35(spark, d):
+    wf = assemble.stacked(recordings(read(spark, d, "events"), "event_type"), list(S.channels), S.slots, S)
+    return wf.select("user_id", "segment", F.posexplode("wf").alias("channel", "row")).select("user_id", "segment", "channel", F.posexplode("row").alias("slot", "value"))
+
+
+@query(
+    "q36_references_on_stored_scores",
+    f""", t AS (SELECT el.* FROM el JOIN mf USING (user_id) WHERE run = 0 AND subset = 'test' AND horizon_h = {S.alarm_horizon_h} AND score IS NOT NULL),
+m AS (SELECT 'value' AS model, hard, score FROM t UNION ALL SELECT 'trend', hard, 1 / (1 + exp(trend)) FROM t UNION ALL SELECT 'both', hard, score_b FROM t)
+SELECT model, round((rs - p * (p + 1) / 2.0::DOUBLE) / (p::DOUBLE * q), 6) + 0.0 AS auroc FROM {auroc_sql("m", "model")}""",
+)
+def q36(spark, d):
+    """References are scored on the decisions of a score table that was stored before, whatever made it."""
+    held = eligible(spark, d).where("score IS NOT NULL").join(manifest(spark, d).where("run = 0 AND subset = 'test'").select("user_id", "run", "subset"), "user_id")
+    scores = stages.put(held.select("run", "subset", "user_id", "t", "horizon_h", "score"), f"{stages.folder(spark)}/scores", ["run", "subset", "horizon_h"])
+    return references_auroc(eligible(spark, d).join(scores, ["user_id", "t", "horizon_h"], "left_semi"))
+
+
+@query(
+    "q37_rank_correlation",
+    f""", b AS (SELECT user_id, t - next_onset AS x, round(score, 9) AS y FROM ph WHERE horizon_h = 24 AND score IS NOT NULL AND NOT ongoing AND next_onset - t <= {LONGEST}),
+r AS (SELECT user_id, rank() OVER (PARTITION BY user_id ORDER BY x) + (count(*) OVER (PARTITION BY user_id, x) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY user_id ORDER BY y) + (count(*) OVER (PARTITION BY user_id, y) - 1) / 2.0::DOUBLE AS y FROM b)
+SELECT user_id, count(*) AS n, round(CASE WHEN stddev_pop(x) * stddev_pop(y) > 1e-9 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END, 6) + 0.0 AS rank_correlation FROM r GROUP BY user_id""",
+)
+def q37(spark, d):
+    return evaluate.rank_correlation(decisions(spark, d).where("horizon_h = 24"), S)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Decisions and positive labels per fold and horizon."""
     rows = decisions(spark, d).join(partition.folds(rec(spark, d), S), "user_id")

@@ -29,6 +29,9 @@ class Settings:
     plausible: tuple[float, float] = (1.0, 480.0)  # values outside are artefacts
     min_plausible: float = 0.9  # share of plausible values a clean segment has at least
     max_gap_h: int = 24  # longest stretch without a value inside a clean segment
+    channels: tuple[str, ...] = ("click", "purchase", "view")  # event types stacked as channels
+    slots: int = 3  # means per channel and window
+    buckets: int = 16  # folders that stored recordings are dealt to
     draws: int = 200
     level: float = 0.95
 

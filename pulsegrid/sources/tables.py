@@ -10,10 +10,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def recordings(events: DataFrame) -> DataFrame:
-    """user_id, event_id, us, value: measurements in microseconds since 1970, whatever the session's time zone."""
+def recordings(events: DataFrame, *also: str) -> DataFrame:
+    """user_id, event_id, us, value, and columns asked for: measurements in microseconds since 1970, whatever the session's time zone."""
     us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")
-    return events.select("user_id", "event_id", us.alias("us"), "value").where("user_id IS NOT NULL AND us IS NOT NULL AND value IS NOT NULL")
+    return events.select("user_id", "event_id", us.alias("us"), "value", *also).where("user_id IS NOT NULL AND us IS NOT NULL AND value IS NOT NULL")
 
 
 def write_manifests(manifests: DataFrame, path: str) -> None:

@@ -2,13 +2,16 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import scores as sc
-from pulsegrid.operators import assemble, evaluate, partition, references, timeline
+from pulsegrid.operators import assemble, evaluate, partition, references, scoring, timeline
+from pulsegrid.plans import catalog
 from pulsegrid.plans.settings import DEFAULT as S
 from pulsegrid.plans.settings import HOUR, ORIGIN
+from pulsegrid.sources import stages
 from pulsegrid.sources.tables import read_manifests, write_manifests
 
 RECORD = "user_id long, event_id long, us long, value double"
@@ -46,14 +49,32 @@ def test_no_future_in_inputs(spark, many):
     cut = ORIGIN + 250 * HOUR
     names = ["user_id", "t", "n", "mean_value", "trend"]
     full = timeline.observed(many, S).where(F.col("t") <= cut).select(*names)
-    part = timeline.observed(many.where(F.col("us") <= cut), S).select(*names)
-    assert sorted(map(str, part.collect())) == sorted(map(str, full.where(F.col("t") <= cut - 7 * HOUR).collect())) or part.exceptAll(full).count() == 0
+    past = many.where(F.col("us") <= cut)
+    part = timeline.observed(past, S).select(*names)  # its grid ends with the last value before the cut
+    ends = past.groupBy("user_id").agg(F.max("us").alias("ends"))
+    want = full.join(ends, "user_id").where("t <= ends").select(*names)
+    assert sorted(map(str, part.collect())) == sorted(map(str, want.collect())) and part.count() > 0
+    features = [timeline.families(x, S).where(F.col("t") <= ORIGIN + 240 * HOUR) for x in (many, past)]
+    assert sorted(map(str, features[0].collect())) == sorted(map(str, features[1].collect()))
+
+
+def test_threshold_by_hand(spark):
+    """Of 40 decisions 16 are false alarms if they alarm; validation patients alone choose."""
+    rows = [(u, u * 100 + k, k >= 5, 1000 + u if k >= 5 else None, 0.8 if k >= 5 else 0.1 * k) for u in range(4) for k in range(10)]
+    schema = "user_id long, t long, pre_onset boolean, next_onset long, score double"
+    v = spark.createDataFrame(rows, schema).withColumn("run", F.lit(0))
+    assert evaluate.threshold(v, S).first().threshold == pytest.approx(0.8)  # all warned, no false alarm up to 0.8
+    calm = v.withColumn("score", F.when(F.col("pre_onset"), F.lit(0.33)).otherwise(F.lit(0.0)))
+    assert evaluate.threshold(calm, S).first().threshold == pytest.approx(0.3)
 
 
 def test_threshold_ignores_test_scores(spark):
-    rows = [("validation", u, u * 10 + k, k % 3 == 0, 100 if k % 3 == 0 else None, k / 10) for u in range(4) for k in range(10)]
-    v = spark.createDataFrame(rows, "subset string, user_id long, t long, pre_onset boolean, next_onset long, score double").withColumn("run", F.lit(0))
-    assert evaluate.threshold(v, S).count() == 1
+    """The chosen threshold is the same, however test patients score."""
+    data = "/root/testdata/sf0.001"
+    rows = catalog.eligible(spark, data).join(catalog.manifest(spark, data).select("user_id", "run", "subset"), "user_id")
+    other = rows.withColumn("score", F.when(F.col("subset") == "test", 1.0 - F.col("score")).otherwise(F.col("score")))
+    a, b = (sorted(evaluate.threshold(x.where("subset = 'validation'"), S).collect()) for x in (rows, other))
+    assert a == b == sorted(catalog.QUERIES["q17_val_threshold"](spark, data).collect()) and a
 
 
 def test_train_only_statistics(spark, many):
@@ -92,6 +113,47 @@ def test_references_share_decisions(spark, many):
     assert keys["value"] == keys["trend"] == keys["both"]
 
 
+def test_references_fit(spark, many):
+    """Scores of the fitted value model against Newton's method on standardised inputs."""
+    rows = timeline.eligible(timeline.per_horizon(timeline.with_outlook(timeline.observed(many, S), timeline.episodes(many, S)), S).where("horizon_h = 24"), S)
+    m = partition.manifests(many, S).where("run = 0")
+    seen = rows.join(m.select("user_id", "subset"), "user_id").select("user_id", "t", "subset", "mean_value", "hard").toPandas()
+    train = seen[seen.subset == "train"]
+    centre, scale = train.mean_value.mean(), train.mean_value.std()
+    z = lambda f: np.column_stack([np.ones(len(f)), (f.mean_value.fillna(centre) - centre) / scale])
+    x, y, w = z(train), train.hard.to_numpy(float), np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) / len(y) + np.diag([0, 1e-3]), x.T @ (p - y) / len(y) + np.array([0, 1e-3]) * w)
+    test = seen[seen.subset == "test"]
+    want = dict(zip(zip(test.user_id, test.t, strict=True), 1 / (1 + np.exp(-z(test) @ w)), strict=True))
+    got = {(r.user_id, r.t): r.score for r in references.fitted(rows, m, 1).where("model = 'value'").collect()}
+    assert got == pytest.approx(want, abs=1e-3) and got
+
+
+def test_bootstrap_places_sparse_ids(spark):
+    """Ids far apart, negative or alone give the places of their ranks: relabelled patients change nothing."""
+    rows = [(i, 3, i % 3, (i * 7) % 4) for i in range(50)]
+    wide = [((i - 25) * 2**55 + i, *rest) for i, *rest in rows]
+    schema = "user_id long, events long, warned_a long, warned_b long"
+    a, b = (evaluate.paired_bootstrap(spark.createDataFrame(x, schema), S).collect() for x in (rows, wide))
+    assert a == b and evaluate.paired_bootstrap(spark.createDataFrame(rows[:1], schema), S).first().delta is not None
+
+
+def test_stored_stages(spark, many, tmp_path):
+    cut = assemble.segments(many, S)
+    back = stages.put_recordings(cut, str(tmp_path / "s"), 4)
+    assert sorted(back.drop("bucket").collect()) == sorted(cut.collect())
+    assert back.groupBy("user_id").agg(F.countDistinct("bucket").alias("n")).where("n > 1").count() == 0
+
+
+def test_batch_scores(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0]), (4, [None, 1.0]), (5, []), (6, [0.0, 0.0])], "k long, v array<double>")
+    got = {r.k: r.score for r in scoring.score_batches(rows, ["k"], "v", (2,), scoring.LinearReadout(np.array([1.0, -1.0]))).collect()}
+    assert got == {1: pytest.approx(1 / (1 + math.e)), 2: None, 3: None, 4: None, 5: None, 6: 0.5}
+    assert scoring.score_batches(rows.where("k > 9"), ["k"], "v", (2,), scoring.LinearReadout(np.ones(2))).count() == 0
+
+
 def test_resampled_and_cleaned_by_hand(spark):
     r = series(spark, [(0, 50), (16, 60), (17, 70), (90, 5)], [(0, 7), (1, 7)], [(0, 900), (1, 10)])
     got = {(x.user_id, (x.t - ORIGIN) // HOUR): (x.value, x.age_h) for x in timeline.resampled(r, S).collect()}
