@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, debruijn, fingerprints, katz, line_rules, near_duplicates, packing, rule_ensemble, sharding, transducer
+from . import alignment, byte_bpe, codes, debruijn, fingerprints, katz, line_rules, near_duplicates, packing, rule_ensemble, sharding, topk, transducer
 from .shared import table
 
 
@@ -57,6 +57,18 @@ def op10_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op11_impact_ordered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.best(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op12_segment_mean_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_postings_cogroup_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -70,7 +82,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_multi_index_hamming,
         op9_canonical_digest,
         op10_transducer_token_counts,
+        op11_impact_ordered_topk,
+        op12_segment_mean_codes,
+        op13_postings_cogroup_alignment,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_first_cleaning": line_rules.sql(), "op4_de_bruijn_compaction": debruijn.sql()}
+ORACLE_SQL: dict[str, str] = {"op2_line_first_cleaning": line_rules.sql(), "op4_de_bruijn_compaction": debruijn.sql(), "op11_impact_ordered_topk": topk.sql(), "op12_segment_mean_codes": codes.sql()}
