@@ -37,6 +37,8 @@ from .words import owners, pieces, ragged, raw, slices
 SHARES = 4096
 #: Links of a group beyond which its distinct pairs are counted, not listed.
 LARGE = 4096
+#: Bytes of text that a task aligns at once (one document at least); its arrays take some hundred times as much.
+SLICE = 2 << 20
 #: How byte-level BPE parts texts before it merges: a fixed value of A's format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<struct<pair: long, times: long>>"
@@ -186,7 +188,7 @@ def postings_of(a_path: str, b_path: str):
         if (a_path, b_path) not in _aligners:
             _aligners[a_path, b_path] = Aligner(a_path, b_path)
         align = _aligners[a_path, b_path]
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", SLICE):
             texts = batch.column("text")
             docs = len(texts)
             buf, off = raw(texts)
