@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,23 +27,34 @@ def grid(recordings: DataFrame, s: Settings) -> DataFrame:
     return span.where(lo <= hi).withColumn("t", F.explode(F.sequence(lo, hi))).withColumn("t", F.col("t") * step)
 
 
-def _along(recordings: DataFrame, decisions: DataFrame) -> DataFrame:
+def pane_us(s: Settings) -> int:
+    """Width of a pane: the longest stretch that grid steps and windows are both made of."""
+    return math.gcd(s.grid_h, s.window_h) * HOUR
+
+
+def paned(recordings: DataFrame, s: Settings, *summaries: Column) -> DataFrame:
+    """user_id, pane and ``summaries`` of the values in (pane - 1, pane] pane widths. Each value falls in one pane; what
+    overlapping windows share is summed up once, and before it is shuffled where the summary allows."""
+    past = F.pmod("us", F.lit(pane_us(s)))
+    pane = ((F.col("us") - past) / pane_us(s)).cast("bigint") + (past > 0).cast("bigint")
     x = (F.col("us") - ORIGIN).cast("double") / float(HOUR)
-    rows = recordings.select("user_id", F.col("us").alias("t"), x.alias("x"), "value", F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("last"))
-    none = F.lit(None).cast("double")
-    return rows.unionByName(decisions.select("user_id", "t", none.alias("x"), none.alias("value"), "first", "last"))
+    return recordings.select("user_id", "us", "event_id", "value", x.alias("x"), pane.alias("pane")).groupBy("user_id", "pane").agg(*summaries)
 
 
-def trailing(s: Settings):
-    return Window.partitionBy("user_id").orderBy("t").rangeBetween(-(s.window_h * HOUR - 1), 0)
+def at_decisions(panes: DataFrame, recordings: DataFrame, s: Settings, *merged: Column) -> DataFrame:
+    """user_id, t, first, last and ``merged`` summaries of the panes in (t - window, t]. The frame runs over panes and
+    decisions, so its length doesn't depend on how dense values are; nothing after t is in it."""
+    places = grid(recordings, s).withColumn("pane", (F.col("t") / pane_us(s)).cast("bigint"))
+    w = Window.partitionBy("user_id").orderBy("pane").rangeBetween(1 - s.window_h * HOUR // pane_us(s), 0)
+    rows = panes.unionByName(places, allowMissingColumns=True)
+    return rows.select("user_id", "t", "first", "last", *(m.over(w).alias(n) for m, n in zip(merged, panes.columns[2:], strict=True))).where("t IS NOT NULL")
 
 
 def observed(recordings: DataFrame, s: Settings) -> DataFrame:
-    """user_id, t, first, last, n, mean_value, trend over (t - window, t]; no frame reaches past t."""
-    w, x, y = trailing(s), F.col("x"), F.col("value")
-    n = F.count("value").over(w)
-    sums = {"sx": x, "sy": y, "sxy": x * y, "sxx": x * x}
-    rows = _along(recordings, grid(recordings, s)).select("*", n.alias("n"), *(F.sum(e).over(w).alias(k) for k, e in sums.items())).where("first IS NOT NULL")
+    """user_id, t, first, last, n, mean_value, trend over (t - window, t]; no pane reaches past t."""
+    x, y = F.col("x"), F.col("value")
+    sums = {"n": F.count("*"), "sx": F.sum(x), "sy": F.sum(y), "sxy": F.sum(x * y), "sxx": F.sum(x * x)}
+    rows = at_decisions(paned(recordings, s, *(e.alias(k) for k, e in sums.items())), recordings, s, *map(F.sum, sums)).withColumn("n", F.coalesce("n", F.lit(0)))
     across = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
     trend = F.when((F.col("n") >= 2) & (across > 1e-6), F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), across))
     return rows.select("user_id", "t", "first", "last", "n", F.try_divide("sy", F.col("n").cast("double")).alias("mean_value"), trend.alias("trend"))
@@ -50,16 +63,19 @@ def observed(recordings: DataFrame, s: Settings) -> DataFrame:
 def resampled(recordings: DataFrame, s: Settings) -> DataFrame:
     """user_id, t, value, age_h: at each decision time the latest value and its age, carried no farther than the
     look-back window; null where the window is empty. Of values at one time the one with the largest event_id counts."""
-    none = "struct<us: bigint, event_id: bigint, value: double>"
-    rows = recordings.select("user_id", F.col("us").alias("t"), F.struct("us", "event_id", "value").alias("at"), F.lit(False).alias("wanted"))
-    rows = rows.unionByName(grid(recordings, s).select("user_id", "t", F.lit(None).cast(none).alias("at"), F.lit(True).alias("wanted")))
-    rows = rows.select("user_id", "t", "wanted", F.max("at").over(trailing(s)).alias("at")).where("wanted")
+    rows = at_decisions(paned(recordings, s, F.max(F.struct("us", "event_id", "value")).alias("at")), recordings, s, F.max("at"))
     return rows.select("user_id", "t", "at.value", ((F.col("t") - F.col("at.us")).cast("double") / float(HOUR)).alias("age_h"))
 
 
+def in_order(recordings: DataFrame, s: Settings) -> DataFrame:
+    """user_id, t, w: the window's (us, event_id, value) in order, joined from panes that are sorted once."""
+    rows = at_decisions(paned(recordings, s, F.array_sort(F.collect_list(F.struct("us", "event_id", "value"))).alias("w")), recordings, s, F.collect_list("w"))
+    return rows.select("user_id", "t", F.flatten("w").alias("w"))
+
+
 def features(recordings: DataFrame, s: Settings) -> DataFrame:
     """Window features of each decision, from the window's values in order of time."""
-    rows = _along(recordings, grid(recordings, s)).select("user_id", "t", "first", F.collect_list("value").over(trailing(s)).alias("v")).where("first IS NOT NULL")
+    rows = in_order(recordings, s).select("user_id", "t", F.transform("w", lambda p: p["value"]).alias("v"))
     v, n = F.col("v"), F.size("v").cast("double")
     add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     rows = rows.withColumn("mean", F.try_divide(add(v), n))
@@ -81,9 +97,7 @@ FAMILIES = ["slope", "q25", "q75", "iqr", "rms", "change", "mean_step", "max_ste
 def families(recordings: DataFrame, s: Settings) -> DataFrame:
     """user_id, t and ``FAMILIES``: trend, quartiles, energy, steps between neighbours, crossings of the mean, time below
     the limit, lag-one autocorrelation, and the last value's age, of each decision's window in order of time."""
-    rows = recordings.select("user_id", F.col("us").alias("t"), F.struct("us", "event_id", "value").alias("at"), F.lit(False).alias("wanted"))
-    rows = rows.unionByName(grid(recordings, s).select("user_id", "t", F.lit(None).cast("struct<us: bigint, event_id: bigint, value: double>").alias("at"), F.lit(True).alias("wanted")))
-    rows = rows.select("user_id", "t", "wanted", F.array_sort(F.collect_list("at").over(trailing(s))).alias("w")).where("wanted")
+    rows = in_order(recordings, s)
     hours = F.transform("w", lambda p: (p["us"] - ORIGIN).cast("double") / float(HOUR))
     rows = rows.select("user_id", "t", F.transform("w", lambda p: p["value"]).alias("v"), hours.alias("x"), F.size("w").alias("n"), F.array_max(F.transform("w", lambda p: p["us"])).alias("us"))
     add = lambda a: F.aggregate(a, F.lit(0.0), lambda c, y: c + y)
@@ -119,8 +133,9 @@ def with_outlook(decisions: DataFrame, found: DataFrame) -> DataFrame:
     names = decisions.columns
     marks = found.select("user_id", F.col("onset").alias("t"), F.col("end").alias("_end"), F.col("onset").alias("_onset"))
     rows = decisions.withColumn("_is", F.lit(True)).unionByName(marks, allowMissingColumns=True)
-    order = Window.partitionBy("user_id").orderBy("t")
-    rows = rows.withColumn("_last", F.max("_end").over(order.rangeBetween(Window.unboundedPreceding, 0))).withColumn("next_onset", F.min("_onset").over(order.rangeBetween(1, Window.unboundedFollowing)))
+    past = Window.partitionBy("user_id").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("user_id").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, -1)  # from the end on, so that the frame only grows
+    rows = rows.withColumn("_last", F.max("_end").over(past)).withColumn("next_onset", F.min("_onset").over(ahead))
     return rows.where("_is").select(*names, F.coalesce(F.col("_last") >= F.col("t"), F.lit(False)).alias("ongoing"), "next_onset")
 
 
