@@ -73,17 +73,23 @@ def in_order(recordings: DataFrame, s: Settings) -> DataFrame:
     return rows.select("user_id", "t", F.flatten("w").alias("w"))
 
 
+def once(rows: DataFrame, keep: list[str], *columns: Column) -> DataFrame:
+    """``keep`` and the named ``columns``, these as a generated row. Below a projection the optimiser would spell out a
+    column's definition where it is used, even inside a lambda, and so compute a mean anew for every element."""
+    return rows.select(*keep, F.inline(F.array(F.struct(*columns))))
+
+
 def features(recordings: DataFrame, s: Settings) -> DataFrame:
     """Window features of each decision, from the window's values in order of time."""
-    rows = in_order(recordings, s).select("user_id", "t", F.transform("w", lambda p: p["value"]).alias("v"))
+    rows = once(in_order(recordings, s), ["user_id", "t"], F.transform("w", lambda p: p["value"]).alias("v"))
     v, n = F.col("v"), F.size("v").cast("double")
     add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    rows = rows.withColumn("mean", F.try_divide(add(v), n))
+    rows = once(rows, ["user_id", "t", "v"], F.try_divide(add(v), n).alias("mean"), F.array_sort("v").alias("ordered"))
     moment = lambda k: F.try_divide(add(F.transform(v, lambda x: F.pow(x - F.col("mean"), k))), n)
     steps = F.when(F.size("v") >= 2, F.zip_with(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(1))), F.slice("v", 1, F.greatest(F.size("v") - 1, F.lit(1))), lambda a, b: (a - b) * (a - b)))
-    ordered, half = F.sort_array("v"), F.floor(F.size("v") / 2).cast("int")
+    ordered, half = F.col("ordered"), F.floor(F.size("v") / 2).cast("int")
     middle = F.when(F.size("v") % 2 == 1, F.get(ordered, half)).otherwise((F.get(ordered, half) + F.get(ordered, half - 1)) / 2)
-    rows = rows.select("user_id", "t", "mean", F.size("v").cast("bigint").alias("n"), F.array_min("v").alias("low"), F.array_max("v").alias("high"), F.when(F.size("v") > 0, middle).alias("median"), *(moment(k).alias(f"m{k}") for k in (2, 3, 4)), F.sqrt(F.try_divide(add(steps), n - 1)).alias("rmssd"))
+    rows = once(rows, ["user_id", "t", "mean"], F.size("v").cast("bigint").alias("n"), F.array_min("v").alias("low"), F.array_max("v").alias("high"), F.when(F.size("v") > 0, middle).alias("median"), *(moment(k).alias(f"m{k}") for k in (2, 3, 4)), F.sqrt(F.try_divide(add(steps), n - 1)).alias("rmssd"))
     flat = F.col("m2") <= 1e-9
     return rows.select(
         "user_id", "t", "n", "mean", F.sqrt("m2").alias("sd"), "low", "high", "median", (F.col("high") - F.col("low")).alias("spread"),
@@ -99,11 +105,11 @@ def families(recordings: DataFrame, s: Settings) -> DataFrame:
     the limit, lag-one autocorrelation, and the last value's age, of each decision's window in order of time."""
     rows = in_order(recordings, s)
     hours = F.transform("w", lambda p: (p["us"] - ORIGIN).cast("double") / float(HOUR))
-    rows = rows.select("user_id", "t", F.transform("w", lambda p: p["value"]).alias("v"), hours.alias("x"), F.size("w").alias("n"), F.array_max(F.transform("w", lambda p: p["us"])).alias("us"))
+    rows = once(rows, ["user_id", "t"], F.transform("w", lambda p: p["value"]).alias("v"), hours.alias("x"), F.size("w").alias("n"), F.array_max(F.transform("w", lambda p: p["us"])).alias("us"))
     add = lambda a: F.aggregate(a, F.lit(0.0), lambda c, y: c + y)
     mean = lambda a: F.try_divide(add(a), F.col("n").cast("double"))
-    rows = rows.select("*", mean("v").alias("mv"), mean("x").alias("mx"), F.array_sort("v").alias("o"))
-    rows = rows.select("*", F.transform("v", lambda y: y - F.col("mv")).alias("dv"), F.transform("x", lambda y: y - F.col("mx")).alias("dx"))
+    rows = once(rows, rows.columns, mean("v").alias("mv"), mean("x").alias("mx"), F.array_sort("v").alias("o"))
+    rows = once(rows, rows.columns, F.transform("v", lambda y: y - F.col("mv")).alias("dv"), F.transform("x", lambda y: y - F.col("mx")).alias("dx"))
     pairs = lambda a, f: F.zip_with(F.slice(a, 2, F.greatest(F.col("n") - 1, F.lit(1))), F.slice(a, 1, F.greatest(F.col("n") - 1, F.lit(0))), f)
     many, square = F.col("n") >= 2, lambda y: y * y
     steps = pairs("v", lambda b, a: F.abs(b - a))
