@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores as sc
-from ..operators import assemble, evaluate, partition, references, scoring, timeline
+from ..operators import assemble, evaluate, partition, references, scoring, timeline, waveforms
 from ..sources import stages
+from ..sources import waveforms as raw
 from ..sources.tables import read, recordings
 from .settings import DEFAULT as S
 from .settings import HOUR, ORIGIN
@@ -432,6 +433,57 @@ def q37(spark, d):
     return evaluate.rank_correlation(decisions(spark, d).where("horizon_h = 24"), S)
 
 
+@query(
+    "q38_raw_recordings",
+    f""", e AS (SELECT user_id, epoch_us(ts) // {W} AS segment, event_type, (epoch_us(ts) % {W}) * {S.slots} // {W} AS slot, value FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL AND event_type IN ({", ".join(f"'{c}'" for c in S.channels)})),
+k AS (SELECT DISTINCT user_id, segment FROM e), m AS (SELECT user_id, segment, event_type, slot, floor(round(avg(value), 6) * {S.gain}::DOUBLE + 0.5::DOUBLE) / {S.gain}::DOUBLE AS value FROM e GROUP BY ALL)
+SELECT k.user_id, c.name AS channel, count(*) AS samples, count(*) - count(value) AS missing, round(avg(value), 6) + 0.0 AS mean FROM k, (VALUES {CELLS}) c(channel, name, slot)
+LEFT JOIN m ON m.user_id = k.user_id AND m.segment = k.segment AND m.event_type = c.name AND m.slot = c.slot GROUP BY ALL""",
+)
+def q38(spark, d):
+    """Stacked channels are written as raw recordings, a file for each user, and read back in parallel."""
+    wf = assemble.stacked(recordings(read(spark, d, "events"), "event_type"), list(S.channels), S.slots, S)
+    names = F.array(*map(F.lit, S.channels))
+    rows = wf.select(F.col("user_id").cast("string").alias("recording"), "segment", F.posexplode("wf").alias("at", "values"))
+    rows = rows.select("recording", F.get(names, F.col("at")).alias("channel"), "segment", (F.col("segment") * W).alias("start_us"), F.lit(S.slots / S.window_h / 3600).alias("rate"), F.transform("values", lambda v: F.round(v, 6)).alias("values"))
+    path = stages.folder(spark)
+    raw.write_recordings(rows, path, list(S.channels), S.gain)
+    back = raw.read_recordings(spark, path, S.window_h * 3600).select(F.col("recording").cast("long").alias("user_id"), "channel", F.explode("values").alias("value"))
+    return back.groupBy("user_id", "channel").agg(F.count("*").alias("samples"), F.count_if(F.col("value").isNull()).alias("missing"), F.avg("value").alias("mean"))
+
+
+SAMPLES = """i AS (SELECT vec_id, unnest(range(64))::INTEGER AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT *, x - avg(x) OVER (PARTITION BY vec_id) AS y FROM i)"""
+
+
+@query(
+    "q39_spectra",
+    f""", {SAMPLES}, f AS (SELECT vec_id, k, sum(y * cos(2 * pi() * k * i / 64)) AS re, sum(y * sin(2 * pi() * k * i / 64)) AS im FROM c, range(1, 33) t(k) GROUP BY ALL),
+p AS (SELECT vec_id, k * {S.sampled_hz}::DOUBLE / 64 AS hz, (re * re + im * im) * CASE WHEN k = 32 THEN 1 ELSE 2 END / 4096 AS p FROM f),
+s AS (SELECT *, p / sum(p) OVER (PARTITION BY vec_id) AS share, sum(p) OVER (PARTITION BY vec_id ORDER BY hz) / sum(p) OVER (PARTITION BY vec_id) AS reached FROM p)
+SELECT vec_id, round(sum(p), 6) + 0.0 AS power, round(coalesce(sum(share) FILTER (hz < {S.bands_hz[0]}), 0), 6) + 0.0 AS low_share, round(coalesce(sum(share) FILTER (hz >= {S.bands_hz[0]} AND hz < {S.bands_hz[1]}), 0), 6) + 0.0 AS mid_share,
+  round(coalesce(sum(share) FILTER (hz >= {S.bands_hz[1]}), 0), 6) + 0.0 AS high_share, arg_min(hz, (-round(share, 9), hz)) AS peak_hz, round(sum(share * hz), 6) + 0.0 AS centroid_hz, min(hz) FILTER (reached >= 0.95 - 1e-9) AS edge_hz, round(-sum(share * ln(share)), 6) + 0.0 AS entropy
+FROM s GROUP BY vec_id""",
+)
+def q39(spark, d):
+    return waveforms.spectra(read(spark, d, "embeddings"), ["vec_id"], "embedding", 64, S.sampled_hz, S)
+
+
+REFRACTORY = round(S.refractory_s * S.sampled_hz)
+
+
+@query(
+    "q40_beats",
+    f""", {SAMPLES}, p AS (SELECT vec_id, i, x, y > 0 AND x > coalesce(max(x) OVER (w ROWS BETWEEN {REFRACTORY} PRECEDING AND 1 PRECEDING), -1e300) AND x >= coalesce(max(x) OVER (w ROWS BETWEEN 1 FOLLOWING AND {REFRACTORY} FOLLOWING), -1e300) AS peak FROM c WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
+b AS (SELECT vec_id, i AS a, lead(i) OVER (PARTITION BY vec_id ORDER BY i) AS b, x AS high FROM p WHERE peak),
+m AS (SELECT b.vec_id, a, (b - a) / {S.sampled_hz}::DOUBLE AS gap, high, min(x) AS low, avg(x) AS mean FROM b JOIN i ON i.vec_id = b.vec_id AND i >= a AND i < b GROUP BY b.vec_id, a, b, high),
+g AS (SELECT *, gap - lag(gap) OVER (PARTITION BY vec_id ORDER BY a) AS step FROM m),
+o AS (SELECT vec_id, count(*) AS n_beats, 60 / avg(gap) AS rate_min, avg(gap) AS interval_s, stddev_samp(gap) AS interval_sd_s, sqrt(avg(step * step)) AS interval_rmssd_s, avg(high) AS systolic, avg(low) AS diastolic, avg(high - low) AS pulse, avg(mean) AS map FROM g GROUP BY vec_id)
+SELECT e.vec_id, coalesce(n_beats, 0) AS n_beats, {", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in waveforms.BEATS[1:])} FROM embeddings e LEFT JOIN o ON o.vec_id = e.vec_id""",
+)
+def q40(spark, d):
+    return waveforms.beats(read(spark, d, "embeddings"), ["vec_id"], "embedding", 64, S.sampled_hz, S)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Decisions and positive labels per fold and horizon."""
     rows = decisions(spark, d).join(partition.folds(rec(spark, d), S), "user_id")

@@ -32,6 +32,10 @@ class Settings:
     channels: tuple[str, ...] = ("click", "purchase", "view")  # event types stacked as channels
     slots: int = 3  # means per channel and window
     buckets: int = 16  # folders that stored recordings are dealt to
+    bands_hz: tuple[float, float] = (8.0, 20.0)  # between low, middle and high frequencies
+    refractory_s: float = 0.04  # least time between beats
+    sampled_hz: float = 64.0  # rate of the vectors that stand in for waveforms
+    gain: float = 40.0  # steps of 16-bit samples per unit
     draws: int = 200
     level: float = 0.95
 
