@@ -31,16 +31,16 @@ def logistic(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
 
-def value_score(value: Column) -> Column:
-    return logistic((20.0 - value) / 10.0)
+def value_score(value: Column, s: Settings) -> Column:
+    return logistic((s.low - value) / s.score_scale)
 
 
 def trend_score(trend: Column) -> Column:
     return logistic(-trend)
 
 
-def both_score(value: Column, trend: Column) -> Column:
-    return logistic((20.0 - value) / 10.0 - F.coalesce(trend, F.lit(0.0)))
+def both_score(value: Column, trend: Column, s: Settings) -> Column:
+    return logistic((s.low - value) / s.score_scale - F.coalesce(trend, F.lit(0.0)))
 
 
 def bernoulli_kl(p: Column, q: Column, epsilon: float) -> Column:

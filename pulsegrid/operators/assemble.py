@@ -37,19 +37,18 @@ def stacked(events: DataFrame, channels: list[str], slots: int, s: Settings) ->
 
 
 def segments(recordings: DataFrame, s: Settings) -> DataFrame:
-    """user_id, segment, n, mean_value, valid: tumbling windows; valid ones have two measurements or more."""
-    own = F.floor(F.col("us") / (s.window_h * HOUR)).cast("bigint").alias("segment")
-    return recordings.groupBy("user_id", own).agg(F.count("*").alias("n"), F.avg("value").alias("mean_value")).withColumn("valid", F.col("n") >= 2)
+    """user_id, segment, n, mean_value, valid: tumbling windows; the clean ones are valid."""
+    return cleaned(recordings, s).select("user_id", "segment", "n", "mean_value", F.col("clean").alias("valid"))
 
 
 def cleaned(recordings: DataFrame, s: Settings) -> DataFrame:
-    """user_id, segment, n, plausible, longest_gap_h, flat, clean: tumbling windows judged by artefacts, gaps between
+    """user_id, segment, n, mean_value, plausible, longest_gap_h, flat, clean: tumbling windows judged by artefacts, gaps between
     neighbouring values, and values that never change."""
     own = F.floor(F.col("us") / (s.window_h * HOUR)).cast("bigint")
     order = Window.partitionBy("user_id", "segment").orderBy("us", "event_id")
     rows = recordings.withColumn("segment", own).withColumn("gap", F.col("us") - F.lag("us").over(order))
     rows = rows.groupBy("user_id", "segment").agg(
-        F.count("*").alias("n"), F.count_if(F.col("value").between(*s.plausible)).alias("plausible"),
+        F.count("*").alias("n"), F.avg("value").alias("mean_value"), F.count_if(F.col("value").between(*s.plausible)).alias("plausible"),
         (F.max("gap").cast("double") / float(HOUR)).alias("longest_gap_h"), (F.min("value") == F.max("value")).alias("flat"),
     )
     return rows.withColumn("clean", (F.col("n") >= 2) & ~F.col("flat") & (F.col("plausible") >= s.min_plausible * F.col("n")) & (F.coalesce("longest_gap_h", F.lit(0.0)) <= s.max_gap_h))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.settings import HOUR, Settings
+from ..sources import stages
 
 
 def auroc(rows: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
@@ -37,15 +38,26 @@ def alarms(decisions: DataFrame, by: list[str]) -> DataFrame:
 def warning_metrics(decisions: DataFrame, by: list[str], s: Settings) -> DataFrame:
     """Per group: events, warned events, decisions, false alarm onsets, sensitivity, false alarms per hour, median
     lead time, coverage. An event counts if an eligible decision lies in the horizon before it."""
+    per = per_event(decisions, by)
+    return summarised(per, by, s)
+
+
+def per_event(decisions: DataFrame, by: list[str]) -> DataFrame:
+    """For each group, user and event (its number; null: decisions before none): whether and when first it was warned of,
+    its onset, its decisions, those in alarm, and false alarms."""
     rows = alarms(decisions, by)
-    event = F.when(F.col("pre_onset"), F.col("next_onset"))
-    per = rows.withColumn("event", event).groupBy(*by, "user_id", "event").agg(
+    event = F.when(F.col("pre_onset"), F.col("next_event"))
+    return rows.withColumn("event", event).groupBy(*by, "user_id", "event").agg(
+        F.max(F.when(F.col("pre_onset"), F.col("next_onset"))).alias("onset"),
         F.max("alarm").alias("warned"), F.min(F.when(F.col("alarm"), F.col("t"))).alias("at"), F.count("*").alias("n"),
         F.sum(F.col("alarm").cast("bigint")).alias("in_alarm"), F.sum((F.col("alarm_onset") & ~F.col("pre_onset")).cast("bigint")).alias("false_alarms"),
     )
+
+
+def summarised(per: DataFrame, by: list[str], s: Settings) -> DataFrame:
     real = F.col("event").isNotNull()
     count = lambda c: F.sum(F.when(c, 1).otherwise(0).cast("bigint"))
-    lead = F.when(real & F.col("warned"), (F.col("event") - F.col("at")).cast("double") / float(HOUR))
+    lead = F.when(real & F.col("warned"), (F.col("onset") - F.col("at")).cast("double") / float(HOUR))
     out = per.groupBy(*by).agg(
         count(real).alias("events"), count(real & F.col("warned")).alias("warned"), F.sum("n").alias("decisions"), F.sum("false_alarms").alias("false_alarms"),
         F.percentile(lead, 0.5).alias("lead_h"), F.sum(F.when(real, F.col("in_alarm"))).alias("covered"), F.sum(F.when(real, F.col("n"))).alias("before"),
@@ -57,13 +69,41 @@ def warning_metrics(decisions: DataFrame, by: list[str], s: Settings) -> DataFra
     )
 
 
-def threshold(validation: DataFrame, s: Settings) -> DataFrame:
-    """run, threshold: the most sensitive candidate within the alarm budget; of equals the larger; the largest if none."""
+def sweep(decisions: DataFrame, candidates: list[float] | None = None) -> DataFrame:
+    """run, threshold, decisions, events, warned, false_alarms at every distinct score, or at the ``candidates``.
+
+    A decision begins an alarm exactly at the thresholds above the score before it and up to its own, and an event is
+    warned of up to its highest score. So each decision adds one at its score and takes one at the score before, and
+    what holds at a threshold is the sum from it upwards: no decision is copied for each threshold. Sums run inside
+    4096 stretches of [0, 1], whose totals are added, so that no run is summed in one task. Null scores never alarm."""
+    own = Window.partitionBy("run", "user_id").orderBy("t")
+    rows = decisions.select("run", "user_id", "t", "score", "pre_onset", F.when(F.col("pre_onset"), F.col("next_onset")).alias("event"), F.lag("score").over(own).alias("prev"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    begins = rows.where(~F.col("pre_onset") & F.col("score").isNotNull() & (F.col("prev").isNull() | (F.col("prev") < F.col("score"))))
+    point = lambda value, alarm, warned: F.struct(value.alias("value"), alarm.alias("alarms"), warned.alias("warned"))
+    ends = begins.select("run", F.inline(F.array(point(F.col("score"), one, none), point(F.col("prev"), -one, none)))).where("value IS NOT NULL")
+    warned = rows.where("pre_onset").groupBy("run", "user_id", "event").agg(F.max("score").alias("value"))
+    wanted = rows.where("score IS NOT NULL").select("run", "score") if candidates is None else rows.select("run").distinct().withColumn("score", F.explode(F.array(*map(F.lit, candidates))))
+    points = ends.unionByName(warned.where("value IS NOT NULL").select("run", "value", none.alias("alarms"), one.alias("warned"))).withColumn("asked", F.lit(False))
+    points = points.unionByName(wanted.select("run", F.col("score").alias("value"), none.alias("alarms"), none.alias("warned"), F.lit(True).alias("asked")))
+    each = points.groupBy("run", "value").agg(F.sum("alarms").alias("alarms"), F.sum("warned").alias("warned"), F.max("asked").alias("asked"))
+    each = each.withColumn("stretch", F.least(F.greatest(F.floor(F.col("value") * 4096), F.lit(0)), F.lit(4095)))
+    down = Window.partitionBy("run").orderBy(F.desc("stretch"))
+    above = each.groupBy("run", "stretch").agg(F.sum("alarms").alias("a"), F.sum("warned").alias("w")).select("run", "stretch", (F.sum("a").over(down) - F.col("a")).alias("a"), (F.sum("w").over(down) - F.col("w")).alias("w"))
+    inner = Window.partitionBy("run", "stretch").orderBy(F.desc("value"))
+    found = each.select("run", "stretch", "value", "asked", F.sum("alarms").over(inner).alias("alarms"), F.sum("warned").over(inner).alias("warned")).where("asked").join(above, ["run", "stretch"])
+    totals = rows.groupBy("run").agg(F.count("*").alias("decisions")).join(warned.groupBy("run").agg(F.count("*").alias("events")), "run", "left")
+    return found.join(totals, "run").select("run", F.col("value").alias("threshold"), "decisions", F.coalesce("events", none).alias("events"), (F.col("w") + F.col("warned")).alias("warned"), (F.col("a") + F.col("alarms")).alias("false_alarms"))
+
+
+def threshold(validation: DataFrame, s: Settings, exact: bool = False) -> DataFrame:
+    """run, threshold: the most sensitive candidate within the alarm budget; of equals the larger; the largest if none.
+    Candidates are ``s.thresholds`` even steps, or if ``exact`` all scores."""
     step = 1.0 / (s.thresholds + 1)
-    tried = validation.withColumn("threshold", F.explode(F.array(*(F.lit(round(i * step, 6)) for i in range(1, s.thresholds + 1))))).withColumn("alarm", F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)))
-    found = warning_metrics(tried, ["run", "threshold"], s)
-    fits = F.col("false_alarms_per_h") <= s.alarm_budget
-    return found.groupBy("run").agg(F.max_by("threshold", F.struct(fits.alias("a"), F.when(fits, F.coalesce("sensitivity", F.lit(0.0))).otherwise(F.lit(-1.0)).alias("b"), F.col("threshold").alias("c"))).alias("threshold"))
+    found = sweep(validation, None if exact else [round(i * step, 6) for i in range(1, s.thresholds + 1)])
+    fits = F.try_divide(F.col("false_alarms").cast("double"), F.col("decisions").cast("double") * s.grid_h) <= s.alarm_budget
+    sensitivity = F.coalesce(F.try_divide(F.col("warned").cast("double"), F.col("events").cast("double")), F.lit(0.0))
+    return found.groupBy("run").agg(F.max_by("threshold", F.struct(fits.alias("a"), F.when(fits, sensitivity).otherwise(F.lit(-1.0)).alias("b"), F.col("threshold").alias("c"))).alias("threshold"))
 
 
 def dynamics(decisions: DataFrame, s: Settings) -> DataFrame:
@@ -98,13 +138,14 @@ def rank_correlation(decisions: DataFrame, s: Settings) -> DataFrame:
 def paired_bootstrap(arms: DataFrame, s: Settings) -> DataFrame:
     """delta, lower, upper: the difference of sensitivities of two arms, from resampled patients. ``arms`` has user_id,
     events, warned_a, warned_b. Both arms see the same draw, which is fixed by MD5s of draw and place."""
+    arms = stages.put(arms.select("user_id", "events", "warned_a", "warned_b"), stages.folder(arms.sparkSession), [])  # read five times
     total = arms.agg(F.count("*").alias("n"))
-    # places of patients: their rank by id, counted in 4096 stretches between the least and the largest id
-    ends = arms.agg(F.min("user_id").cast("double").alias("lo"), F.max("user_id").cast("double").alias("hi"))
-    stretch = F.floor((F.col("user_id").cast("double") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1.0) * 4096)
-    ranked = arms.crossJoin(F.broadcast(ends)).withColumn("part", stretch).drop("lo", "hi")  # one row
-    base = ranked.groupBy("part").agg(F.count("*").alias("m")).select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("base"))
-    ranked = ranked.join(base, "part").withColumn("place", F.col("base") + F.row_number().over(Window.partitionBy("part").orderBy("user_id")) - 1)
+    # places of patients: their rank by id, counted between sampled bounds, so that stretches are alike in size however ids lie
+    bounds = sorted({int(b) for b in arms.approxQuantile("user_id", [i / 256 for i in range(1, 256)], 0.001)})  # 255 at most
+    part = F.size(F.filter(F.array(*map(F.lit, bounds or [0])), lambda b: b <= F.col("user_id")))
+    ranked = arms.withColumn("part", part)
+    base = ranked.groupBy("part").agg(F.count("*").alias("m")).select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("base"))  # 256 rows at most
+    ranked = ranked.join(F.broadcast(base), "part").withColumn("place", F.col("base") + F.row_number().over(Window.partitionBy("part").orderBy("user_id")) - 1)
     slots = ranked.select("place").crossJoin(F.broadcast(total)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(s.draws - 1))))  # one row: the count
     hit = F.conv(F.substring(F.md5(F.concat_ws("-", "draw", "place").cast("binary")), 1, 8), 16, 10).cast("bigint") % F.col("n")
     drawn = slots.select("draw", hit.alias("place")).groupBy("draw", "place").agg(F.count("*").alias("mult"))

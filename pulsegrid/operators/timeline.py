@@ -11,12 +11,13 @@ from ..plans.settings import HOUR, ORIGIN, Settings
 
 
 def episodes(recordings: DataFrame, s: Settings) -> DataFrame:
-    """user_id, onset, end, n: maximal runs of low values."""
+    """user_id, event, onset, end, n: maximal runs of low values, and their number among the user's, from 1 in order of time."""
     order = Window.partitionBy("user_id").orderBy("us", "event_id")
     low = F.col("value") < s.low
     runs = recordings.withColumn("low", low).withColumn("opens", (F.col("low") & ~F.coalesce(F.lag("low").over(order), F.lit(False))).cast("bigint"))
     runs = runs.withColumn("run", F.sum("opens").over(order)).where("low")
-    return runs.groupBy("user_id", "run").agg(F.min("us").alias("onset"), F.max("us").alias("end"), F.count("*").alias("n")).where(F.col("n") >= s.min_run).drop("run")
+    found = runs.groupBy("user_id", "run").agg(F.min("us").alias("onset"), F.max("us").alias("end"), F.count("*").alias("n")).where(F.col("n") >= s.min_run)
+    return found.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("run")).cast("long").alias("event"), "onset", "end", "n")
 
 
 def grid(recordings: DataFrame, s: Settings) -> DataFrame:
@@ -134,15 +135,15 @@ def families(recordings: DataFrame, s: Settings) -> DataFrame:
 
 
 def with_outlook(decisions: DataFrame, found: DataFrame) -> DataFrame:
-    """``decisions`` with ``ongoing`` and ``next_onset``: targets only. One pass along each recording instead of an
-    interval join."""
+    """``decisions`` with ``ongoing``, ``next_onset`` and ``next_event``: targets only. One pass along each recording
+    instead of an interval join."""
     names = decisions.columns
-    marks = found.select("user_id", F.col("onset").alias("t"), F.col("end").alias("_end"), F.col("onset").alias("_onset"))
+    marks = found.select("user_id", F.col("onset").alias("t"), F.col("end").alias("_end"), F.struct("onset", "event").alias("_next"))
     rows = decisions.withColumn("_is", F.lit(True)).unionByName(marks, allowMissingColumns=True)
     past = Window.partitionBy("user_id").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy("user_id").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, -1)  # from the end on, so that the frame only grows
-    rows = rows.withColumn("_last", F.max("_end").over(past)).withColumn("next_onset", F.min("_onset").over(ahead))
-    return rows.where("_is").select(*names, F.coalesce(F.col("_last") >= F.col("t"), F.lit(False)).alias("ongoing"), "next_onset")
+    rows = rows.withColumn("_last", F.max("_end").over(past)).withColumn("_next", F.min("_next").over(ahead))
+    return rows.where("_is").select(*names, F.coalesce(F.col("_last") >= F.col("t"), F.lit(False)).alias("ongoing"), F.col("_next.onset").alias("next_onset"), F.col("_next.event").alias("next_event"))
 
 
 def per_horizon(decisions: DataFrame, s: Settings) -> DataFrame:

@@ -44,15 +44,18 @@ ev AS (SELECT user_id, event_id, epoch_us(ts) AS us, value FROM events WHERE use
 fd AS (SELECT user_id, (CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8) AS BIGINT) % 5)::INTEGER AS fold, CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 9, 8) AS BIGINT) % 2 AS half FROM (SELECT DISTINCT user_id FROM ev)),
 mf AS (SELECT user_id, fold, run::INTEGER AS run, CASE WHEN fold <> run THEN 'train' WHEN half = 0 THEN 'validation' ELSE 'test' END AS subset FROM fd, range(5) t(run)),
 lo AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - row_number() OVER (PARTITION BY user_id, value < {S.low} ORDER BY us, event_id) AS g FROM ev),
-ep AS (SELECT user_id, min(us) AS onset, max(us) AS "end", count(*) AS n FROM lo WHERE value < {S.low} GROUP BY user_id, g HAVING count(*) >= {S.min_run}),
+ep AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY g) AS event FROM (SELECT user_id, g, min(us) AS onset, max(us) AS "end", count(*) AS n FROM lo WHERE value < {S.low} GROUP BY user_id, g HAVING count(*) >= {S.min_run})),
 gr AS (SELECT user_id, a AS "first", b AS "last", k * {STEP} AS t FROM (SELECT user_id, a, b, unnest(range(ceil(a / {STEP}.0)::BIGINT, floor(b / {STEP}.0)::BIGINT + 1)) AS k FROM (SELECT user_id, min(us) AS a, max(us) AS b FROM ev GROUP BY user_id))),
 xs AS (SELECT gr.*, value, us, event_id, (us - {ORIGIN})::DOUBLE / {HOUR}.0 AS x FROM gr LEFT JOIN ev ON ev.user_id = gr.user_id AND us > t - {W} AND us <= t),
 ob AS (SELECT user_id, t, "first", "last", count(value) AS n, avg(value) AS mean_value, CASE WHEN count(value) >= 2 AND count(value) * sum(x * x) - sum(x) * sum(x) > 1e-6
   THEN (count(value) * sum(x * value) - sum(x) * sum(value)) / (count(value) * sum(x * x) - sum(x) * sum(x)) END AS trend FROM xs GROUP BY ALL),
-ou AS (SELECT ob.*, EXISTS (SELECT 1 FROM ep WHERE ep.user_id = ob.user_id AND onset <= t AND "end" >= t) AS ongoing, (SELECT min(onset) FROM ep WHERE ep.user_id = ob.user_id AND onset > t) AS next_onset FROM ob),
-ph AS (SELECT *, NOT ongoing AND ahead AS pre_onset, (ongoing OR ahead)::INTEGER AS hard, 1 / (1 + exp(-((20 - mean_value) / 10))) AS score, 1 / (1 + exp(-((20 - mean_value) / 10 - coalesce(trend, 0)))) AS score_b FROM
+ou AS (SELECT ob.*, EXISTS (SELECT 1 FROM ep WHERE ep.user_id = ob.user_id AND onset <= t AND "end" >= t) AS ongoing, (SELECT min(onset) FROM ep WHERE ep.user_id = ob.user_id AND onset > t) AS next_onset, (SELECT min(event) FROM ep WHERE ep.user_id = ob.user_id AND onset > t) AS next_event FROM ob),
+ph AS (SELECT *, NOT ongoing AND ahead AS pre_onset, (ongoing OR ahead)::INTEGER AS hard, 1 / (1 + exp(-(({S.low} - mean_value) / {S.score_scale}))) AS score, 1 / (1 + exp(-(({S.low} - mean_value) / {S.score_scale} - coalesce(trend, 0)))) AS score_b FROM
   (SELECT ou.*, h::INTEGER AS horizon_h, coalesce(next_onset - t <= h::BIGINT * {HOUR}, false) AS ahead FROM ou, (VALUES (24), (48), (72)) v(h))),
 el AS (SELECT * FROM ph WHERE NOT ongoing AND t - {W} >= "first" AND t + horizon_h::BIGINT * {HOUR} <= "last"),
+sg AS (SELECT user_id, us // {W} AS segment, value, us - lag(us) OVER (PARTITION BY user_id, us // {W} ORDER BY us, event_id) AS gap FROM ev),
+cl AS (SELECT user_id, segment, n, mean_value, plausible, longest_gap_h, flat, n >= 2 AND NOT flat AND plausible >= {S.min_plausible} * n AND coalesce(longest_gap_h, 0) <= {S.max_gap_h} AS clean FROM (SELECT user_id, segment, count(*) AS n, avg(value) AS mean_value,
+  count(*) FILTER (value BETWEEN {S.plausible[0]} AND {S.plausible[1]}) AS plausible, max(gap)::DOUBLE / {HOUR}.0 AS longest_gap_h, min(value) = max(value) AS flat FROM sg GROUP BY ALL)),
 so AS (SELECT *, CASE WHEN ongoing THEN 1.0::DOUBLE WHEN next_onset IS NULL THEN 0 ELSE greatest(0, 1 - (next_onset - t)::DOUBLE / (horizon_h::DOUBLE * {HOUR})) END AS c_time,
   CASE WHEN mean_value IS NULL THEN 0 ELSE greatest(0, least(1, ({S.severity_at}::DOUBLE - mean_value) / {S.severity_at}::DOUBLE)) END AS c_map, CASE WHEN trend IS NULL THEN 0 ELSE greatest(0, least(1, -trend / {S.trend_scale}::DOUBLE)) END AS c_trend FROM ph)"""
 
@@ -62,14 +65,20 @@ def rec(spark: SparkSession, d: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, d: str) -> DataFrame:
-    return partition.manifests(rec(spark, d), S)
+    """The fixed assignment of patients to subsets, stored once a session for all comparisons."""
+    return stages.kept(spark, "manifest", f"{d}/events.parquet", ["run", "subset"], lambda: partition.manifests(rec(spark, d), S)).select("user_id", "fold", "run", "subset")
 
 
 def decisions(spark: SparkSession, d: str) -> DataFrame:
-    """A row per decision and horizon: inputs, outlook, labels and the two scores."""
-    r = rec(spark, d)
-    rows = timeline.per_horizon(timeline.with_outlook(timeline.observed(r, S), timeline.episodes(r, S)), S)
-    return rows.withColumn("score", sc.value_score(F.col("mean_value"))).withColumn("score_b", sc.both_score(F.col("mean_value"), F.col("trend")))
+    """A row per decision and horizon: inputs, outlook, labels and the two scores. Stored once a session for all
+    comparisons, in a folder for each horizon."""
+
+    def make() -> DataFrame:
+        r = rec(spark, d)
+        rows = timeline.per_horizon(timeline.with_outlook(timeline.observed(r, S), timeline.episodes(r, S)), S)
+        return rows.withColumn("score", sc.value_score(F.col("mean_value"), S)).withColumn("score_b", sc.both_score(F.col("mean_value"), F.col("trend"), S))
+
+    return stages.kept(spark, "decisions", f"{d}/events.parquet", ["horizon_h"], make)
 
 
 def eligible(spark: SparkSession, d: str, horizon: int = S.alarm_horizon_h) -> DataFrame:
@@ -95,12 +104,16 @@ def q02(spark, d):
     return manifest(spark, d)
 
 
-@query("q03_fold_audit", "SELECT run, subset, count(DISTINCT user_id) AS users, 0::BIGINT AS overlap FROM mf GROUP BY run, subset")
+@query(
+    "q03_fold_audit",
+    """, o AS (SELECT run, sum((n > 1)::BIGINT)::BIGINT AS overlap FROM (SELECT run, user_id, count(DISTINCT subset) AS n FROM mf GROUP BY ALL) GROUP BY run)
+SELECT run, subset, count(DISTINCT user_id) AS users, any_value(overlap) AS overlap FROM mf JOIN o USING (run) GROUP BY run, subset""",
+)
 def q03(spark, d):
     return partition.audit(manifest(spark, d))
 
 
-@query("q04_episodes", 'SELECT user_id, onset, "end", n FROM ep')
+@query("q04_episodes", 'SELECT user_id, event, onset, "end", n FROM ep')
 def q04(spark, d):
     return timeline.episodes(rec(spark, d), S)
 
@@ -207,10 +220,15 @@ te AS (SELECT el.*, run, coalesce(score >= threshold, false) AS alarm FROM el JO
 {warning_sql("te", "run", "tw")}"""
 
 
-def monitored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = eligible(spark, d).join(manifest(spark, d).select("user_id", "run", "subset"), "user_id")
+def tested(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The runs' thresholds, and test decisions with their alarms."""
+    rows = eligible(spark, d).join(manifest(spark, d).where("subset <> 'train'").select("user_id", "run", "subset"), "user_id")
     chosen = evaluate.threshold(rows.where("subset = 'validation'"), S)
-    test = rows.where("subset = 'test'").join(F.broadcast(chosen), "run").withColumn("alarm", F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)))  # a row per run
+    return chosen, rows.where("subset = 'test'").join(F.broadcast(chosen), "run").withColumn("alarm", F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)))  # a row per run
+
+
+def monitored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    chosen, test = tested(spark, d)
     return chosen, evaluate.warning_metrics(test, ["run"], S)
 
 
@@ -270,9 +288,9 @@ def q23(spark, d):
     return evaluate.paired_bootstrap(arms, S).select("delta", "lower", "upper")
 
 
-def references_auroc(rows: DataFrame) -> DataFrame:
+def references_auroc(rows: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     arms = F.array(*(F.struct(F.lit(n).alias("model"), c.alias("score")) for n, c in (("value", F.col("score")), ("trend", sc.trend_score(F.col("trend"))), ("both", F.col("score_b")))))
-    return evaluate.auroc(rows.select("hard", F.inline(arms)), ["model"], "score", "hard")
+    return evaluate.auroc(rows.select(*by, "hard", F.inline(arms)), [*by, "model"], "score", "hard")
 
 
 @query(
@@ -285,9 +303,29 @@ def q24(spark, d):
     return references_auroc(eligible(spark, d))
 
 
-@query("q24_simple_refs_fitted")
+def newton_sql(source: str, steps: int = 14) -> str:
+    """n<steps>: run, model and weights b0, b1, b2 after unrolled Newton steps from 0, solved by Cramer's rule. The source
+    has run, model, hard and inputs x1, x2 (0 where the model has none)."""
+    r, out = references.RIDGE, [f"n0 AS MATERIALIZED (SELECT DISTINCT run, model, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM {source})"]
+    for k in range(steps):
+        sums = f"""SELECT run, model, b0, b1, b2, avg(p - hard) AS g0, avg((p - hard) * x1) + {r} * b1 AS g1, avg((p - hard) * x2) + {r} * b2 AS g2, avg(q) AS a, avg(q * x1) AS b, avg(q * x2) AS c, avg(q * x1 * x1) + {r} AS d, avg(q * x1 * x2) AS e, avg(q * x2 * x2) + {r} AS f
+  FROM (SELECT *, p * (1 - p) AS q FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p FROM {source} JOIN n{k} USING (run, model))) GROUP BY run, model, b0, b1, b2"""
+        out.append(f"""n{k + 1} AS MATERIALIZED (SELECT run, model, b0 - (g0 * (d * f - e * e) - b * (g1 * f - e * g2) + c * (g1 * e - d * g2)) / det AS b0, b1 - (a * (g1 * f - e * g2) - g0 * (b * f - c * e) + c * (b * g2 - c * g1)) / det AS b1,
+  b2 - (a * (d * g2 - g1 * e) - b * (b * g2 - g1 * c) + g0 * (b * e - c * d)) / det AS b2 FROM (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM ({sums})))""")
+    return ",\n".join(out)
+
+
+FITTED_SQL = f"""fj AS MATERIALIZED (SELECT el.*, run, subset FROM el JOIN mf USING (user_id) WHERE horizon_h = {S.alarm_horizon_h} AND subset <> 'validation'),
+fs AS (SELECT run, avg(mean_value) AS c1, sqrt(var_pop(mean_value) * count(mean_value) / (count(*) - 1)) AS s1, avg(trend) AS c2, sqrt(var_pop(trend) * count(trend) / (count(*) - 1)) AS s2 FROM fj WHERE subset = 'train' GROUP BY run),
+fz AS (SELECT run, subset, user_id, t, hard, coalesce((mean_value - c1) / CASE WHEN s1 > 1e-9 THEN s1 END, 0) AS z1, coalesce((trend - c2) / CASE WHEN s2 > 1e-9 THEN s2 END, 0) AS z2 FROM fj JOIN fs USING (run)),
+fm AS MATERIALIZED (SELECT run, subset, user_id, t, hard, model, z1 * u AS x1, z2 * v AS x2 FROM fz, (VALUES ('value', 1, 0), ('trend', 0, 1), ('both', 1, 1)) m(model, u, v)),
+ft AS MATERIALIZED (SELECT * FROM fm WHERE subset = 'train'),
+{newton_sql("ft")}"""
+
+
+@query("q24_simple_refs_fitted", f", {FITTED_SQL} SELECT model, run, user_id, t, round(1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))), 6) + 0.0 AS score FROM fm JOIN n14 USING (run, model) WHERE subset = 'test'")
 def q24_fitted(spark, d):
-    return references.fitted(eligible(spark, d), manifest(spark, d), S.folds)
+    return references.fitted(eligible(spark, d), manifest(spark, d)).drop("hard")
 
 
 @query(
@@ -316,7 +354,7 @@ def q27(spark, d):
 
 @query(
     "q28_segment_assembly",
-    f""", s AS (SELECT user_id, us // {W} AS segment, count(*) AS n, avg(value) AS mean_value FROM ev GROUP BY ALL HAVING count(*) >= 2), l AS (SELECT DISTINCT user_id, onset // {W} AS segment FROM ep)
+    f""", s AS (SELECT * FROM cl WHERE clean), l AS (SELECT DISTINCT user_id, onset // {W} AS segment FROM ep)
 SELECT run, subset, s.user_id, s.segment, n, round(mean_value, 6) + 0.0 AS mean_value, CASE WHEN l.user_id IS NULL THEN 0 ELSE 1 END AS label, round(c_acctbal, 6) + 0.0 AS static
 FROM s JOIN mf USING (user_id) LEFT JOIN l ON l.user_id = s.user_id AND l.segment = s.segment LEFT JOIN customer ON c_custkey = s.user_id""",
 )
@@ -336,12 +374,10 @@ def q29(spark, d):
 
 @query(
     "q30_segment_cleaning",
-    f""", s AS (SELECT user_id, us // {W} AS segment, value, us - lag(us) OVER (PARTITION BY user_id, us // {W} ORDER BY us, event_id) AS gap FROM ev),
-a AS (SELECT user_id, segment, count(*) AS n, count(*) FILTER (value BETWEEN {S.plausible[0]} AND {S.plausible[1]}) AS plausible, round(max(gap)::DOUBLE / {HOUR}.0, 6) + 0.0 AS longest_gap_h, min(value) = max(value) AS flat FROM s GROUP BY ALL)
-SELECT *, n >= 2 AND NOT flat AND plausible >= {S.min_plausible} * n AND coalesce(longest_gap_h, 0) <= {S.max_gap_h} AS clean FROM a""",
+    "SELECT user_id, segment, n, plausible, round(longest_gap_h, 6) + 0.0 AS longest_gap_h, flat, clean FROM cl",
 )
 def q30(spark, d):
-    return assemble.cleaned(rec(spark, d), S)
+    return assemble.cleaned(rec(spark, d), S).drop("mean_value")
 
 
 FAMILY_SQL = f""", a AS (SELECT user_id, t, count(value) AS n, avg(value) AS mean, avg(x) AS mx, sqrt(avg(value * value)) AS rms, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.75) AS q75, arg_max(value, us) - arg_min(value, us) AS change,
@@ -370,7 +406,7 @@ def q32(spark, d):
 
 @query(
     "q33_stored_subsets",
-    f""", s AS (SELECT user_id, us // {W} AS segment, count(*) AS n, avg(value) AS mean_value FROM ev GROUP BY ALL HAVING count(*) >= 2), l AS (SELECT DISTINCT user_id, onset // {W} AS segment FROM ep)
+    f""", s AS (SELECT * FROM cl WHERE clean), l AS (SELECT DISTINCT user_id, onset // {W} AS segment FROM ep)
 SELECT run, subset, count(*) AS n, count(l.user_id) AS positive, round(avg(mean_value), 6) + 0.0 AS mean_value FROM s JOIN mf USING (user_id) LEFT JOIN l ON l.user_id = s.user_id AND l.segment = s.segment GROUP BY run, subset""",
 )
 def q33(spark, d):
@@ -412,15 +448,15 @@ def q35(spark, d):
 
 @query(
     "q36_references_on_stored_scores",
-    f""", t AS (SELECT el.* FROM el JOIN mf USING (user_id) WHERE run = 0 AND subset = 'test' AND horizon_h = {S.alarm_horizon_h} AND score IS NOT NULL),
-m AS (SELECT 'value' AS model, hard, score FROM t UNION ALL SELECT 'trend', hard, 1 / (1 + exp(trend)) FROM t UNION ALL SELECT 'both', hard, score_b FROM t)
-SELECT model, round((rs - p * (p + 1) / 2.0::DOUBLE) / (p::DOUBLE * q), 6) + 0.0 AS auroc FROM {auroc_sql("m", "model")}""",
+    f""", t AS (SELECT el.*, run FROM el JOIN mf USING (user_id) WHERE subset = 'test' AND horizon_h = {S.alarm_horizon_h} AND score IS NOT NULL),
+m AS (SELECT run, 'value' AS model, hard, score FROM t UNION ALL SELECT run, 'trend', hard, 1 / (1 + exp(trend)) FROM t UNION ALL SELECT run, 'both', hard, score_b FROM t)
+SELECT run, model, round((rs - p * (p + 1) / 2.0::DOUBLE) / (p::DOUBLE * q), 6) + 0.0 AS auroc FROM {auroc_sql("m", "run, model")}""",
 )
 def q36(spark, d):
-    """References are scored on the decisions of a score table that was stored before, whatever made it."""
-    held = eligible(spark, d).where("score IS NOT NULL").join(manifest(spark, d).where("run = 0 AND subset = 'test'").select("user_id", "run", "subset"), "user_id")
-    scores = stages.put(held.select("run", "subset", "user_id", "t", "horizon_h", "score"), f"{stages.folder(spark)}/scores", ["run", "subset", "horizon_h"])
-    return references_auroc(eligible(spark, d).join(scores, ["user_id", "t", "horizon_h"], "left_semi"))
+    """References are scored on the test decisions of every run in a score table that was stored before, whatever made it."""
+    held = eligible(spark, d).where("score IS NOT NULL").join(manifest(spark, d).where("subset = 'test'").select("user_id", "run", "subset"), "user_id")
+    scores = stages.replace(held.select("run", "subset", "user_id", "t", "horizon_h", "score"), f"{stages.folder(spark)}/scores", ["run", "subset", "horizon_h"])
+    return references_auroc(eligible(spark, d).join(scores.select("run", "user_id", "t", "horizon_h"), ["user_id", "t", "horizon_h"]), ["run"])
 
 
 @query(
@@ -433,6 +469,61 @@ def q37(spark, d):
     return evaluate.rank_correlation(decisions(spark, d).where("horizon_h = 24"), S)
 
 
+@query(
+    "q43_stored_features",
+    f"""{FAMILY_SQL}, j AS (SELECT run, subset, fm.* FROM fm JOIN mf USING (user_id)),
+f AS (SELECT run, {", ".join(f"avg({c}) AS c_{c}, stddev_pop({c}) AS s_{c}" for c in timeline.FAMILIES)} FROM j WHERE subset = 'train' GROUP BY run)
+SELECT run, subset, count(*) AS n, {", ".join(f"round(avg(coalesce(({c} - c_{c}) / CASE WHEN s_{c} > 1e-9 THEN s_{c} END, 0)), 6) + 0.0 AS z_{c}" for c in timeline.FAMILIES)} FROM j JOIN f USING (run) GROUP BY run, subset""",
+)
+def q43(spark, d):
+    """Scaled features are stored by run and subset, the folders of a repeated run are replaced, and all are read back."""
+    path = stages.folder(spark)
+    rows = stages.put(assemble.scaled(timeline.families(rec(spark, d), S), manifest(spark, d), timeline.FAMILIES), stages.folder(spark), ["run", "subset"])
+    stages.replace(rows, path, ["run", "subset"])
+    back = stages.replace(rows.where("run = 1"), path, ["run", "subset"])
+    return back.groupBy("run", "subset").agg(F.count("*").alias("n"), *(F.avg(f"z_{c}").alias(f"z_{c}") for c in timeline.FAMILIES))
+
+
+@query(
+    "q44_event_annotations",
+    f""", {THRESHOLD_SQL}, a AS (SELECT *, alarm AND NOT coalesce(lag(alarm) OVER (PARTITION BY run, user_id ORDER BY t), false) AS begins FROM te)
+SELECT run, user_id, next_event AS event, any_value(next_onset) AS onset, bool_or(alarm) AS warned, min(CASE WHEN alarm THEN t END) AS alarmed, count(*) AS decisions, sum(alarm::INTEGER)::BIGINT AS in_alarm FROM a WHERE pre_onset GROUP BY run, user_id, next_event""",
+)
+def q44(spark, d):
+    """What became of each test event, stored by run and read back."""
+    test = tested(spark, d)[1]
+    rows = evaluate.per_event(test, ["run"]).where("event IS NOT NULL")
+    back = stages.replace(rows.select("run", "user_id", "event", "onset", "warned", F.col("at").alias("alarmed"), F.col("n").alias("decisions"), "in_alarm"), stages.folder(spark), ["run"])
+    return back
+
+
+EXACT_SQL = f"""xv AS MATERIALIZED (SELECT run, user_id, t, pre_onset, CASE WHEN pre_onset THEN next_onset END AS event, score, lag(score) OVER (PARTITION BY run, user_id ORDER BY t) AS prev FROM (SELECT user_id, run, t, pre_onset, next_onset, round(score, 9) AS score FROM el JOIN mf USING (user_id) WHERE horizon_h = {S.alarm_horizon_h} AND subset = 'validation')),
+xe AS (SELECT run, user_id, event, max(score) AS score FROM xv WHERE pre_onset GROUP BY ALL),
+xt AS (SELECT c.run, threshold, (SELECT count(*) FROM xv WHERE xv.run = c.run) AS decisions, (SELECT count(*) FROM xe WHERE xe.run = c.run) AS events, (SELECT count(*) FROM xe WHERE xe.run = c.run AND xe.score >= threshold) AS warned,
+  (SELECT count(*) FROM xv WHERE xv.run = c.run AND NOT pre_onset AND xv.score >= threshold AND NOT coalesce(prev >= threshold, false)) AS false_alarms FROM (SELECT DISTINCT run, score AS threshold FROM xv WHERE score IS NOT NULL) c)"""
+
+
+def validation(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions of validation patients, with scores of nine decimals, so that equal ones are equal everywhere."""
+    rows = eligible(spark, d).join(manifest(spark, d).where("subset = 'validation'").select("user_id", "run"), "user_id")
+    return rows.withColumn("score", F.round("score", 9))
+
+
+@query("q41_threshold_sweep", f", {EXACT_SQL} SELECT run, round(threshold, 9) + 0.0 AS threshold, decisions, events, warned, false_alarms FROM xt", 9)
+def q41(spark, d):
+    return evaluate.sweep(validation(spark, d))
+
+
+@query(
+    "q42_exact_threshold",
+    f""", {EXACT_SQL}, xf AS (SELECT *, false_alarms::DOUBLE / (decisions::DOUBLE * {S.grid_h}) <= {S.alarm_budget} AS fits FROM xt)
+SELECT run, round(threshold, 9) + 0.0 AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY fits DESC, CASE WHEN fits THEN coalesce(warned::DOUBLE / nullif(events, 0), 0) ELSE -1 END DESC, threshold DESC) AS k FROM xf) WHERE k = 1""",
+    9,
+)
+def q42(spark, d):
+    return evaluate.threshold(validation(spark, d), S, exact=True)
+
+
 @query(
     "q38_raw_recordings",
     f""", e AS (SELECT user_id, epoch_us(ts) // {W} AS segment, event_type, (epoch_us(ts) % {W}) * {S.slots} // {W} AS slot, value FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL AND event_type IN ({", ".join(f"'{c}'" for c in S.channels)})),

@@ -18,6 +18,7 @@ class Settings:
     horizons_h: tuple[int, ...] = (24, 48, 72)
     alarm_horizon_h: int = 48
     folds: int = 5
+    score_scale: float = 10.0  # of the value in the fixed references' scores, which are 1/2 at ``low``
     severity_at: float = 40.0  # severity is 0 from here on, 1 at 0
     trend_scale: float = 1.0  # fall per hour at which the trend component is 1
     weights: tuple[float, float, float] = (0.5, 0.3, 0.2)  # time, severity, trend

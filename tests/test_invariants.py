@@ -42,7 +42,7 @@ def test_manifests_survive_writing(spark, many, tmp_path):
 
 def test_episodes_by_hand(spark):
     found = timeline.episodes(series(spark, [(0, 50), (1, 10), (2, 10), (3, 50), (4, 10), (5, 50), (6, 1), (7, 1), (8, 1)]), S).orderBy("onset").collect()
-    assert [((r.onset - ORIGIN) // HOUR, (r.end - ORIGIN) // HOUR, r.n) for r in found] == [(1, 2, 2), (6, 8, 3)]
+    assert [(r.event, (r.onset - ORIGIN) // HOUR, (r.end - ORIGIN) // HOUR, r.n) for r in found] == [(1, 1, 2, 2), (2, 6, 8, 3)]
 
 
 def test_no_future_in_inputs(spark, many):
@@ -99,36 +99,101 @@ def test_auroc_with_ties(spark):
 
 def test_warnings_by_hand(spark):
     h = HOUR
-    rows = [(0, 0, True, 48 * h, True), (0, 16 * h, True, 48 * h, True), (0, 64 * h, False, None, True), (1, 0, True, 40 * h, False)]
-    got = evaluate.warning_metrics(spark.createDataFrame(rows, "user_id long, t long, pre_onset boolean, next_onset long, alarm boolean").withColumn("run", F.lit(0)), ["run"], S).first()
+    rows = [(0, 0, True, 48 * h, 1, True), (0, 16 * h, True, 48 * h, 1, True), (0, 64 * h, False, None, None, True), (1, 0, True, 40 * h, 1, False)]
+    got = evaluate.warning_metrics(spark.createDataFrame(rows, "user_id long, t long, pre_onset boolean, next_onset long, next_event long, alarm boolean").withColumn("run", F.lit(0)), ["run"], S).first()
     assert (got.events, got.warned, got.decisions, got.false_alarms) == (2, 1, 4, 0)
     assert got.lead_h == 48 and got.coverage == pytest.approx(2 / 3)
 
 
-def test_references_share_decisions(spark, many):
-    rows = timeline.eligible(timeline.per_horizon(timeline.with_outlook(timeline.observed(many, S), timeline.episodes(many, S)), S).where("horizon_h = 24"), S)
-    m = partition.manifests(many, S)
-    out = references.fitted(rows, m, 1)
-    keys = {arm: sorted((r.user_id, r.t) for r in out.where(F.col("model") == arm).select("user_id", "t").collect()) for arm in references.ARMS}
-    assert keys["value"] == keys["trend"] == keys["both"]
+def decided(many):
+    return timeline.eligible(timeline.per_horizon(timeline.with_outlook(timeline.observed(many, S), timeline.episodes(many, S)), S).where("horizon_h = 24"), S)
 
 
 def test_references_fit(spark, many):
-    """Scores of the fitted value model against Newton's method on standardised inputs."""
-    rows = timeline.eligible(timeline.per_horizon(timeline.with_outlook(timeline.observed(many, S), timeline.episodes(many, S)), S).where("horizon_h = 24"), S)
-    m = partition.manifests(many, S).where("run = 0")
-    seen = rows.join(m.select("user_id", "subset"), "user_id").select("user_id", "t", "subset", "mean_value", "hard").toPandas()
-    train = seen[seen.subset == "train"]
-    centre, scale = train.mean_value.mean(), train.mean_value.std()
-    z = lambda f: np.column_stack([np.ones(len(f)), (f.mean_value.fillna(centre) - centre) / scale])
-    x, y, w = z(train), train.hard.to_numpy(float), np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-x @ w))
-        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) / len(y) + np.diag([0, 1e-3]), x.T @ (p - y) / len(y) + np.array([0, 1e-3]) * w)
-    test = seen[seen.subset == "test"]
-    want = dict(zip(zip(test.user_id, test.t, strict=True), 1 / (1 + np.exp(-z(test) @ w)), strict=True))
-    got = {(r.user_id, r.t): r.score for r in references.fitted(rows, m, 1).where("model = 'value'").collect()}
-    assert got == pytest.approx(want, abs=1e-3) and got
+    """All models of all runs, on the same decisions, against Newton's method run by run."""
+    rows, m = decided(many), partition.manifests(many, S)
+    trend = F.when(F.col("t") / (S.grid_h * HOUR) % 5 != 0, F.col("trend"))  # some are missing
+    rows = rows.withColumn("trend", trend)
+    seen = rows.join(m.select("user_id", "run", "subset"), "user_id").select("run", "user_id", "t", "subset", "mean_value", "trend", "hard").toPandas()
+    got = {(r.model, r.run, r.user_id, r.t): r.score for r in references.fitted(rows, m).collect()}
+    want = {}
+    for run in range(S.folds):
+        train, test = (seen[(seen.run == run) & (seen.subset == x)] for x in ("train", "test"))
+        centre = {c: train[c].mean() for c in references.NAMES}
+        scale = {c: train[c].fillna(centre[c]).std() for c in references.NAMES}
+        for arm, columns in references.ARMS.items():
+            z = lambda f: np.column_stack([np.ones(len(f)), *((f[c].fillna(centre[c]) - centre[c]) / scale[c] for c in columns)])  # noqa: E731, B023
+            x, y, w, ridge = z(train), train.hard.to_numpy(float), np.zeros(len(columns) + 1), np.diag([0.0, *[references.RIDGE] * len(columns)])
+            for _ in range(50):
+                p = 1 / (1 + np.exp(-x @ w))
+                w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) / len(y) + ridge, x.T @ (p - y) / len(y) + ridge @ w)
+            want |= {(arm, run, u, t): v for u, t, v in zip(test.user_id, test.t, 1 / (1 + np.exp(-z(test) @ w)), strict=True)}
+    assert got == pytest.approx(want, abs=1e-8) and len(got) == 3 * (seen.subset == "test").sum() > 0
+
+
+def test_references_without_values(spark):
+    """An input without any training value counts as 0; labels that one side determines still give finite weights."""
+    rows = spark.createDataFrame([(0, i % 2, float(i % 2), None) for i in range(40)], "run int, hard int, mean_value double, trend double")
+    ready = references.standardised(rows, rows).cache()
+    found = {r.model: r for r in references.fit(ready, steps=40).collect()}
+    assert found["trend"].trend == found["both"].trend == 0 and found["value"].mean_value == pytest.approx(found["both"].mean_value)
+    assert 1 < found["value"].mean_value < 20 and references.fit(ready.where("run = 9")).count() == 0
+
+
+def test_sweep_against_loops(spark):
+    """Every threshold's metrics, by deciding all alarms anew; scores tie, are missing, and lie at the ends."""
+    rng = np.random.default_rng(6)
+    rows = [(int(run), int(u), int(t), [None, *np.linspace(0, 1, 9)][rng.integers(0, 10)], bool(t % 7 > 3), int(t // 7)) for run in range(2) for u in range(6) for t in range(40)]
+    rows = [(run, u, t, None if x is None else float(x), pre, e if pre else None) for run, u, t, x, pre, e in rows]
+    frame = spark.createDataFrame(rows, "run int, user_id long, t long, score double, pre_onset boolean, next_onset long")
+    got = {(r.run, r.threshold): tuple(r)[2:] for r in evaluate.sweep(frame).collect()}
+    some = {(r.run, r.threshold): tuple(r)[2:] for r in evaluate.sweep(frame, [0.3, 0.5, 2.0]).collect()}
+    scores = {(r[0], r[3]) for r in rows if r[3] is not None}
+    assert {*got} == scores and {*some} == {(run, x) for run in range(2) for x in (0.3, 0.5, 2.0)}
+    for (run, at), seen in {**got, **some}.items():
+        own = [r for r in rows if r[0] == run]
+        alarm = {(r[1], r[2]): r[3] is not None and r[3] >= at for r in own}
+        events = {(r[1], r[5]) for r in own if r[4]}
+        warned = {(r[1], r[5]) for r in own if r[4] and alarm[r[1], r[2]]}
+        false = sum(alarm[r[1], r[2]] and not alarm.get((r[1], r[2] - 1), False) and not r[4] for r in own)
+        assert seen == (len(own), len(events), len(warned), false)
+
+
+def test_decisions_are_computed_once(spark, monkeypatch, tmp_path):
+    """Queries of one session share a stored table of decisions; a changed input makes a new one."""
+    import shutil
+
+    shutil.copytree("/root/testdata/sf0.001", tmp_path / "d", ignore=lambda _, names: [n for n in names if n not in ("events.parquet",)])
+    calls, real = [], timeline.observed
+    monkeypatch.setattr(timeline, "observed", lambda *a: calls.append(1) or real(*a))
+    data = str(tmp_path / "d")
+    first = [catalog.QUERIES[q](spark, data).collect() for q in ("q06_hard_label", "q13_auroc", "q17_val_threshold", "q18_event_sensitivity", "q23_cluster_bootstrap", "q36_references_on_stored_scores")]
+    assert len(calls) == 1 and all(first)
+    plan = catalog.QUERIES["q18_event_sensitivity"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "events.parquet" not in plan
+    (tmp_path / "d" / "events.parquet").chmod(0o644)
+    shutil.copy("/root/testdata/sf0.01/events.parquet", tmp_path / "d" / "events.parquet")
+    assert len(catalog.QUERIES["q06_hard_label"](spark, data).collect()) > len(first[0]) and len(calls) == 2
+
+
+def test_a_repeated_run_replaces(spark, tmp_path):
+    rows = spark.createDataFrame([(run, s, i) for run in range(3) for s in ("test", "train") for i in range(5)], "run int, subset string, i int")
+    path = str(tmp_path / "sink")
+    assert stages.replace(rows, path, ["run", "subset"]).count() == 30
+    back = stages.replace(rows.where("run = 1 AND i < 2").withColumn("i", F.col("i") + 100), path, ["run", "subset"])
+    assert sorted(r.i for r in back.where("run = 1").collect()) == [100, 100, 101, 101] and back.where("run <> 1").count() == 20
+
+
+def test_audit_counts_overlap(spark):
+    m = spark.createDataFrame([(1, 0, 0, "train"), (1, 0, 0, "test"), (2, 0, 0, "train"), (2, 0, 1, "test")], "user_id long, fold int, run int, subset string")
+    assert {(r.run, r.subset): (r.users, r.overlap) for r in partition.audit(m).collect()} == {(0, "train"): (2, 1), (0, "test"): (1, 1), (1, "test"): (1, 0)}
+
+
+def test_only_clean_segments_are_assembled(spark):
+    r = series(spark, [(0, 50), (1, 60)], [(0, 7), (1, 7)], [(0, 900), (1, 10)])
+    static = spark.createDataFrame([(0, 1.5)], "c_custkey long, c_acctbal double")
+    found = assemble.assembled(assemble.segments(r, S), partition.manifests(r, S), timeline.episodes(r, S), static, S)
+    assert {(x.user_id, x.static) for x in found.collect()} == {(0, 1.5)}
 
 
 def test_bootstrap_places_sparse_ids(spark):
