@@ -54,10 +54,21 @@ def cleaned(recordings: DataFrame, s: Settings) -> DataFrame:
     return rows.withColumn("clean", (F.col("n") >= 2) & ~F.col("flat") & (F.col("plausible") >= s.min_plausible * F.col("n")) & (F.coalesce("longest_gap_h", F.lit(0.0)) <= s.max_gap_h))
 
 
+def labelled(found: DataFrame, s: Settings) -> DataFrame:
+    """user_id, segment, label: 1 for segments in which an episode begins."""
+    return found.select("user_id", F.floor(F.col("onset") / (s.window_h * HOUR)).cast("bigint").alias("segment")).distinct().withColumn("label", F.lit(1))
+
+
+def tensors(waves: DataFrame, features: DataFrame, labels: DataFrame) -> DataFrame:
+    """Waveform, features and label of each segment that has the first two; a row for each (user_id, segment). Tables that are
+    bucketed by both are joined where they lie."""
+    key = ["user_id", "segment"]
+    return waves.join(features.hint("merge"), key).join(labels.hint("merge"), key, "left").withColumn("label", F.coalesce("label", F.lit(0)))
+
+
 def assembled(cut: DataFrame, manifest: DataFrame, found: DataFrame, static: DataFrame, s: Settings) -> DataFrame:
     """Eligible segments with their run's subset, label (an episode begins in them) and static feature."""
-    labels = found.select("user_id", F.floor(F.col("onset") / (s.window_h * HOUR)).cast("bigint").alias("segment")).distinct().withColumn("label", F.lit(1))
-    rows = cut.where("valid").drop("valid").join(labels, ["user_id", "segment"], "left").join(manifest.select("user_id", "run", "subset"), "user_id")
+    rows = cut.where("valid").drop("valid").join(labelled(found, s), ["user_id", "segment"], "left").join(manifest.select("user_id", "run", "subset"), "user_id")
     rows = rows.join(static, rows["user_id"] == static["c_custkey"], "left").withColumn("static", F.col("c_acctbal"))
     return rows.select("run", "subset", "user_id", "segment", "n", "mean_value", F.coalesce("label", F.lit(0)).alias("label"), "static")
 

@@ -497,6 +497,23 @@ def q44(spark, d):
     return back
 
 
+@query(
+    "q45_segment_tensors",
+    f""", e AS (SELECT user_id, epoch_us(ts) // {W} AS segment, event_type, (epoch_us(ts) % {W}) * {S.slots} // {W} AS slot, value FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL AND event_type IN ({", ".join(f"'{c}'" for c in S.channels)})),
+m AS (SELECT user_id, segment, count(*) AS filled, avg(value) AS wave FROM (SELECT user_id, segment, event_type, slot, avg(value) AS value FROM e GROUP BY ALL) GROUP BY ALL), l AS (SELECT DISTINCT user_id, onset // {W} AS segment FROM ep)
+SELECT m.user_id, m.segment, filled, round(wave, 6) + 0.0 AS wave, n, round(mean_value, 6) + 0.0 AS mean_value, (l.user_id IS NOT NULL)::INTEGER AS label FROM m JOIN cl ON cl.user_id = m.user_id AND cl.segment = m.segment AND clean LEFT JOIN l ON l.user_id = m.user_id AND l.segment = m.segment""",
+)
+def q45(spark, d):
+    """Waveforms, features and labels of clean segments, stored in buckets by recording and segment and joined there."""
+    r, key = rec(spark, d), ["user_id", "segment"]
+    waves = assemble.stacked(recordings(read(spark, d, "events"), "event_type"), list(S.channels), S.slots, S)
+    features = assemble.segments(r, S).where("valid").drop("valid")
+    parts = [stages.put_bucketed(x, stages.folder(spark), key) for x in (waves, features, assemble.labelled(timeline.episodes(r, S), S))]
+    filled = F.filter(F.flatten("wf"), lambda x: x.isNotNull())
+    wave = F.aggregate(filled, F.lit(0.0), lambda a, x: a + x) / F.size(filled)
+    return assemble.tensors(*parts).select(*key, F.size(filled).cast("bigint").alias("filled"), wave.alias("wave"), "n", "mean_value", "label")
+
+
 EXACT_SQL = f"""xv AS MATERIALIZED (SELECT run, user_id, t, pre_onset, CASE WHEN pre_onset THEN next_onset END AS event, score, lag(score) OVER (PARTITION BY run, user_id ORDER BY t) AS prev FROM (SELECT user_id, run, t, pre_onset, next_onset, round(score, 9) AS score FROM el JOIN mf USING (user_id) WHERE horizon_h = {S.alarm_horizon_h} AND subset = 'validation')),
 xe AS (SELECT run, user_id, event, max(score) AS score FROM xv WHERE pre_onset GROUP BY ALL),
 xt AS (SELECT c.run, threshold, (SELECT count(*) FROM xv WHERE xv.run = c.run) AS decisions, (SELECT count(*) FROM xe WHERE xe.run = c.run) AS events, (SELECT count(*) FROM xe WHERE xe.run = c.run AND xe.score >= threshold) AS warned,

@@ -58,3 +58,15 @@ def put_recordings(rows: DataFrame, path: str, buckets: int) -> DataFrame:
     """Parts of recordings in a fixed number of folders by user, so that a recording is read from one folder, and
     millions of them don't make millions of folders."""
     return put(rows.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int")), path, ["bucket"])
+
+
+def put_bucketed(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """``rows`` bucketed and sorted by ``keys``, a file a bucket, as many as the session's shuffles have partitions: tables
+    that are bucketed alike are joined by these keys without an exchange. The catalogue forgets the table at once."""
+    spark, name = rows.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    found = spark.table(name)
+    found.schema  # resolved, so that the entry isn't needed any more
+    spark.sql(f"DROP TABLE {name}")
+    return found

@@ -184,6 +184,25 @@ def test_a_repeated_run_replaces(spark, tmp_path):
     assert sorted(r.i for r in back.where("run = 1").collect()) == [100, 100, 101, 101] and back.where("run <> 1").count() == 20
 
 
+def test_bucketed_tables_join_where_they_lie(spark, many):
+    """No exchange on any side, a row for each segment, and no entry left in the catalogue."""
+    from pulsegrid.operators.assemble import tensors
+
+    cut = assemble.segments(many, S).where("valid").drop("valid")
+    waves = cut.select("user_id", "segment", F.array("mean_value").alias("wf"))
+    labels = assemble.labelled(timeline.episodes(many, S), S)
+    joined = tensors(*(stages.put_bucketed(x, stages.folder(spark), ["user_id", "segment"]) for x in (waves, cut, labels)))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "Exchange" not in plan and plan.count("SortMergeJoin") == 2 and "Bucketed: true" in plan
+    rows = joined.collect()
+    assert len(rows) == cut.count() == len({(r.user_id, r.segment) for r in rows}) and sum(r.label for r in rows) > 0
+    assert all(r.wf == [r.mean_value] for r in rows) and not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
+
+
 def test_audit_counts_overlap(spark):
     m = spark.createDataFrame([(1, 0, 0, "train"), (1, 0, 0, "test"), (2, 0, 0, "train"), (2, 0, 1, "test")], "user_id long, fold int, run int, subset string")
     assert {(r.run, r.subset): (r.users, r.overlap) for r in partition.audit(m).collect()} == {(0, "train"): (2, 1), (0, "test"): (1, 1), (1, "test"): (1, 0)}
