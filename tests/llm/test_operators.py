@@ -174,6 +174,33 @@ def test_op2_lines_by_hand(spark):
     assert [x for x in bad if not got[x]] == [] and [x for x in good if got[x]] == []
 
 
+#: Prose that mentions what site furniture says, in four languages, and furniture itself.
+PROSE = [
+    "The catalog in the great hall was old and rarely used by anyone at all.", "She spoke of copyright law for an hour, and nobody asked a question.", "They read more slowly than before, and share this habit with others.",
+    "Das Impressum der Zeitung wurde 1890 zum ersten Mal gedruckt, wie man sagt.", "Wir wollten weiterlesen, doch das Licht ging aus.", "Il faut lire la suite de ce roman pour comprendre la fin de l'histoire.", "Quiero leer más libros este año, dijo ella mientras cerraba la puerta.",
+    "You must log in to see the list of members who voted last year.", "« Bonjour » dit-il, « et bonne nuit ».", "He or she / it or they, as the case may be.", "Either 5 / 6 or more of them came.", "The road ran north – and then it ended.", "The bridge, licensed under the old law, fell in 1921.", "The company copyright notices of 1950 were long and full of words.",
+]
+FURNITURE = [
+    "Home » News » Sport » Mail", "• Home • About • Contact •", "Start / Über uns / Kontakt / Impressum", "Inicio › Noticias › Deportes › Correo", "Accueil → Actualités → Sport", "Log in · Sign up · Privacy policy", "log in sign up", "Click here to read more!",
+    "Impressum - Datenschutzerklärung.", "Politique de confidentialité, mentions légales.", "Leer más / iniciar sesión.", "Copyright 2021 Example Ltd, London.", "© 2020 by the authors.", "Copyright (c) 1999 A. Nobody.", "This work is licensed under the GNU General Public License, version 3.", "Permission is hereby granted, free of charge, to any person.", "Example Ltd. All rights reserved.",
+]
+
+
+def test_op2_furniture_and_prose(spark):
+    """Phrases inside words and in prose don't fail a line; lines that are made of them, or of items between signs, do.
+    DuckDB's SQL says the same of each."""
+    import duckdb
+
+    found = spark.createDataFrame([(x,) for x in PROSE + FURNITURE], "line string").select("line", line_rules.bad_line(F.col("line")).alias("bad")).collect()
+    got = {r.line: r.bad for r in found}
+    assert [x for x in PROSE if got[x]] == [] and [x for x in FURNITURE if not got[x]] == []
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(PROSE + FURNITURE)))
+    lost = {PROSE[i] if i < len(PROSE) else FURNITURE[i - len(PROSE)]: n > 0 for i, n in con.execute(f"SELECT doc_id, lost_chars FROM ({line_rules.sql()})").fetchall()}
+    assert lost == got
+
+
 def test_op3_rules(spark, docs, none):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     model = rule_ensemble.fit(d, labels, trees=4)
