@@ -41,6 +41,8 @@ STATED = "|".join(f"(?:{x})" for x in STATEMENTS).replace("^L", f"^{LETTERS}")
 #: next can share what stands between them.
 WHOLE = f"(?:^|[^{LETTERS}])(?:{'|'.join(re.sub(f'[^{LETTERS}]', lambda m: 2 * m[0], x) for x in PHRASES)})(?:$|[^{LETTERS}])"
 ANY = "|".join(PHRASES)
+#: What every line with a phrase or a statement holds.
+HINT = "|".join((*PHRASES, "permission is hereby granted", "licensed under", "©", "\\(c\\)"))
 #: Signs between the items of a navigation line: two are enough, or three of those that prose uses too.
 RARE, COMMON = "»›•·→", "/>–"
 #: Phrases make up so many hundredths of a line's letters at least.
@@ -88,7 +90,7 @@ def bad_line(line: Column) -> Column:
     rare, common = signs(line, RARE), signs(line, COMMON)
     parted = line.rlike(f"[{RARE}{COMMON}]") & (((rare >= 2) & (4 * rare + 2 >= gaps) & ~line.contains("«")) | ((common >= 3) & (4 * common + 2 >= gaps)))
     short = (F.char_length(line) <= 200) | (chars <= 200)
-    boilerplate = short & ((F.lower(line).rlike(ANY) & mostly_phrases(line)) | F.lower(line).rlike(STATED))
+    boilerplate = short & F.lower(line).rlike(HINT) & ((F.lower(line).rlike(ANY) & mostly_phrases(line)) | F.lower(line).rlike(STATED))
     few = F.octet_length(F.substring_index(line, " ", 3)) == F.octet_length(line)  # two gaps at most
     return marked | shouted | parted | boilerplate | (few & line.rlike(OPEN_END))
 
