@@ -45,10 +45,11 @@ def test_dense_decisions(spark):
     """32,000 decisions of one recording and 1,000 episodes."""
     step = S.grid_h * HOUR
     decisions = spark.range(32_000).select(F.lit(1).cast("long").alias("user_id"), (F.col("id") * step).alias("t"))
-    found = spark.range(1000).select(F.lit(1).cast("long").alias("user_id"), (F.col("id") * 32 * step + 7).alias("onset"), (F.col("id") * 32 * step + 3 * step).alias("end"), F.lit(2).alias("n"))
+    found = spark.range(1000).select(F.lit(1).cast("long").alias("user_id"), (F.col("id") + 1).alias("event"), (F.col("id") * 32 * step + 7).alias("onset"), (F.col("id") * 32 * step + 3 * step).alias("end"), F.lit(2).alias("n"))
     began = time.time()
     rows = {r.t // step: r for r in timeline.with_outlook(decisions, found).collect()}
     assert time.time() - began < 20 and len(rows) == 32_000
     for k, r in rows.items():
         ahead = -(-k // 32) if k % 32 else k // 32  # the episode of this stretch begins after its first decision
         assert r.next_onset == (ahead * 32 * step + 7 if ahead < 1000 else None) and r.ongoing == (1 <= k % 32 <= 3)
+        assert r.next_event == (ahead + 1 if ahead < 1000 else None)
