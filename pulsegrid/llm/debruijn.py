@@ -6,7 +6,9 @@ anchors, and only windows whose anchor occurs at two places go on. Each such edg
 bucket of the hash, where its source is decided: the occurrence with the smallest (doc_id, start).
 Neighbouring edges whose sources are neighbours, too, form a path that doesn't branch; it compacts
 into a span (document, start, words, source). A span's words are digested at both coordinates,
-joined, and only where the digests agree are its words removed.
+joined, and only where the digests agree are its words removed. Where they don't, a hash stands for
+different windows: all windows of the span's hashes are looked up again, told apart by their words' digests,
+and of each all but the smallest coordinate are removed.
 
 Windows are judged on the input. Nulls and texts of fewer than ``k`` words have no windows. Rows
 that repeat a doc_id count as documents of their own, ordered by text. A null doc_id sorts first.
@@ -30,7 +32,8 @@ from .words import hashes, owners, windows, words
 
 CLAIM = ["source_doc", "source_copy", "source_start", "n_words", "digest"]
 BLANK = b" \t\n\x0b\f\r"
-SPANS = "block int, doc_id long, copy int, start int, n_words int, source_doc long, source_copy int, source_start int, digest binary"
+#: Never null, so that joins filter nothing below the exchange that the spans' readers share.
+SPANS = ", ".join(f"{c} NOT NULL" for c in ("block int", "doc_id long", "copy int", "start int", "n_words int", "source_doc long", "source_copy int", "source_start int", "digest binary"))
 
 
 def sliding(best, values: np.ndarray, size: int) -> np.ndarray:
@@ -46,12 +49,12 @@ def sliding(best, values: np.ndarray, size: int) -> np.ndarray:
 class Block:
     """The words of a block's documents, and its windows by place."""
 
-    def __init__(self, rows: pa.Table, k: int, part: int):
+    def __init__(self, rows: pa.Table, k: int, part: int, bits: int = 64):
         texts, self.ids = bl.ordered(rows)
         self.buf, self.starts, self.ends, self.off = words(texts)
         self.text_off = np.concatenate(([0], np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))))
         self.word = hashes(self.buf, self.starts, self.ends)
-        self.k, self.part = k, part
+        self.k, self.part, self.unused = k, part, np.uint64(64 - bits)
         doc = owners(self.off)
         n = max(0, len(self.word) - k + 1)
         self.at = np.flatnonzero(doc[:n] == doc[k - 1 :][:n]) if n else np.zeros(0, np.int64)  # windows inside one document
@@ -61,7 +64,7 @@ class Block:
         self.copy = (np.arange(len(self.ids)) - first).astype(np.int32)
 
     def edges(self, at: np.ndarray) -> np.ndarray:
-        return windows(self.word, self.k)[at] if len(at) else np.zeros(0, np.uint64)
+        return windows(self.word, self.k)[at] >> self.unused << self.unused if len(at) else np.zeros(0, np.uint64)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """For each window, the least hash among its parts; and the hashes of all parts that are the least of some
@@ -138,8 +141,9 @@ def spans_of(block: Block, replies: pa.Table) -> list[tuple]:
     ]
 
 
-def spans(dealt: DataFrame, buckets: int, k: int, part: int) -> DataFrame:
-    """The repeated spans of ``dealt`` blocks, each with its source, before they are verified."""
+def spans(dealt: DataFrame, buckets: int, k: int, part: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The repeated spans of ``dealt`` blocks, each with its source, before they are verified; and the edges that were
+    asked about, by bucket and block."""
 
     def offer(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         values, n = np.unique(Block(rows, k, part).anchors()[1], return_counts=True)
@@ -159,7 +163,7 @@ def spans(dealt: DataFrame, buckets: int, k: int, part: int) -> DataFrame:
         known = np.sort(bl.joined(bl.unpacked(replies.column("keys")), np.uint64))
         if not len(known) or not rows.num_rows:
             return bl.packed((), names, kinds)
-        block = Block(rows, k, part)
+        block = Block(rows, k, part, bits)
         anchor = block.anchors()[0]
         at = block.at[known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor]
         edge, first, n = np.unique(block.edges(at), return_index=True, return_counts=True)  # the first in a block by (doc_id, start)
@@ -193,18 +197,19 @@ def spans(dealt: DataFrame, buckets: int, k: int, part: int) -> DataFrame:
         return bl.packed(out, ["block", "places", "docs", "copies", "shifts"], [pa.int32(), *[pa.binary()] * 4])
 
     def compacted(key: tuple[pa.Scalar, ...], rows: pa.Table, replies: pa.Table) -> pa.Table:
-        found = spans_of(Block(rows, k, part), replies) if rows.num_rows and replies.num_rows else []
+        found = spans_of(Block(rows, k, part, bits), replies) if rows.num_rows and replies.num_rows else []
         return bl.packed(((key[0].as_py(), *r) for r in found), ["block", "doc_id", "copy", "start", "n_words", *CLAIM[:3], "digest"], [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()])
 
     anchors = dealt.groupBy("block").applyInArrow(offer, "bucket int, block int, keys binary, n binary")
     known = anchors.groupBy("bucket").applyInArrow(repeated, "block int, keys binary")
     edges = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(candidates, "bucket int, block int, edges binary, docs binary, copies binary, bases binary, places binary, more binary")
     decided = edges.groupBy("bucket").applyInArrow(sources, "block int, places binary, docs binary, copies binary, shifts binary")
-    return dealt.groupBy("block").cogroup(decided.groupBy("block")).applyInArrow(compacted, SPANS)
+    found = dealt.groupBy("block").cogroup(decided.groupBy("block")).applyInArrow(compacted, SPANS)
+    return found.repartition(buckets, "block"), edges  # an exchange that all readers of the spans share
 
 
 def verified(dealt: DataFrame, found: DataFrame, blocks: int, k: int, part: int) -> DataFrame:
-    """The spans whose words are those at the source. Each distinct claim on a source is checked once."""
+    """The claims of spans whose words are those at the source. Each distinct claim on a source is checked once."""
 
     def check(key: tuple[pa.Scalar, ...], rows: pa.Table, claims: pa.Table) -> pa.Table:
         asked = claims.select(CLAIM).to_pylist()
@@ -212,18 +217,65 @@ def verified(dealt: DataFrame, found: DataFrame, blocks: int, k: int, part: int)
         good = [c for c in asked if block and (d := block.find(c["source_doc"], c["source_copy"])) >= 0 and block.digest(d, c["source_start"], c["n_words"]) == c["digest"]]
         return pa.table({c: pa.array([g[c] for g in good], claims.schema.field(c).type) for c in CLAIM})
 
-    asked = found.select(CLAIM).distinct().withColumn("block", bl.block_of(F.nullif(F.col("source_doc"), F.lit(-(2**63))), blocks))
-    good = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(check, "source_doc long, source_copy int, source_start int, n_words int, digest binary")
-    return found.join(good, CLAIM, "left_semi")
+    # one of the owners goes along, so that this reads the columns, and the exchange, that the spans' other readers do
+    asked = found.groupBy(CLAIM).agg(F.min(F.struct("block", "doc_id", "copy", "start")).alias("owner")).withColumn("block", bl.block_of(F.nullif(F.col("source_doc"), F.lit(-(2**63))), blocks))
+    return dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(check, "source_doc long, source_copy int, source_start int, n_words int, digest binary")
+
 
+def decided_again(dealt: DataFrame, edges: DataFrame, failed: DataFrame, buckets: int, k: int, part: int, bits: int) -> DataFrame:
+    """block, doc_id, copy, start, n_words: the windows with a hash of the ``failed`` spans that repeat by their words."""
+    asks, keys = ["bucket", "edges"], ["block", "edges"]
 
-def removed(docs: DataFrame, k: int = 20, part: int = 10) -> DataFrame:
+    def unsure(key: tuple[pa.Scalar, ...], rows: pa.Table, own: pa.Table) -> pa.Table:
+        if not (rows.num_rows and own.num_rows):
+            return bl.packed((), asks, [pa.int32(), pa.binary()])
+        block = Block(rows, k, part, bits)
+        found = zip(*(own.column(c).to_pylist() for c in ("doc_id", "copy", "start", "n_words")), strict=True)
+        at = np.concatenate([np.arange(n - k + 1) + block.off[block.find(doc, copy)] + start for doc, copy, start, n in found])
+        edge = np.unique(block.edges(at))
+        order, bounds = bl.by_bucket(edge, buckets)
+        edge = edge[order]
+        return bl.packed(((b, edge[x:y]) for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if y > x), asks, [pa.int32(), pa.binary()])
+
+    def holders(key: tuple[pa.Scalar, ...], rows: pa.Table, asked: pa.Table) -> pa.Table:
+        wanted = np.unique(bl.joined(bl.unpacked(asked.column("edges")), np.uint64))
+        held = zip(rows.column("block").to_pylist(), bl.unpacked(rows.column("edges")), strict=True) if len(wanted) else ()
+        return bl.packed(((b, mine) for b, own in held if len(mine := own[np.isin(own, wanted)])), keys, [pa.int32(), pa.binary()])
+
+    def occurrences(key: tuple[pa.Scalar, ...], rows: pa.Table, asked: pa.Table) -> pa.Table:
+        out, seen = [], set()
+        if rows.num_rows and asked.num_rows:
+            block = Block(rows, k, part, bits)
+            for at in block.at[np.isin(block.edges(block.at), bl.joined(bl.unpacked(asked.column("edges")), np.uint64))].tolist():
+                doc = int(block.doc[at])
+                start = at - int(block.off[doc])
+                digest = block.digest(doc, start, k)
+                out.append((key[0].as_py(), int(block.ids[doc]), int(block.copy[doc]), start, digest, digest not in seen))
+                seen.add(digest)
+        return bl.packed(out, ["block", "doc_id", "copy", "start", "digest", "first"], [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()])
+
+    asked = dealt.groupBy("block").cogroup(failed.groupBy("block")).applyInArrow(unsure, "bucket int, edges binary")
+    held = edges.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(holders, "block int, edges binary")
+    rows = dealt.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(occurrences, "block int, doc_id long, copy int, start int, digest binary, first boolean")
+    # what isn't the first in its block needs no comparison, and is spread over tasks
+    spread = F.when(F.col("first"), F.lit(0).cast("long")).otherwise(F.xxhash64("doc_id", "copy", "start"))
+    order = Window.partitionBy("digest", "first", spread).orderBy("doc_id", "copy", "start")
+    return rows.withColumn("rank", F.row_number().over(order)).where("NOT first OR rank > 1").select("block", "doc_id", "copy", "start", F.lit(k).alias("n_words"))
+
+
+def removed(docs: DataFrame, k: int = 20, part: int = 10, bits: int = 64) -> DataFrame:
     """doc_id, copy, n_words, n_removed, kept_text and kept_sha256 of every document. The digest is of the kept words
-    joined by one space; kept_text (null where nothing is removed) has the white space of the text."""
-    blocks = bl.count(docs)
+    joined by one space; kept_text (null where nothing is removed) has the white space of the text. ``bits`` of an edge's
+    hash are used: with fewer, more windows share a hash and are decided twice."""
+    blocks, buckets = bl.count(docs), width(docs.sparkSession)
     dealt = bl.dealt(docs, blocks)
-    found = spans(dealt, width(docs.sparkSession), k, part)
-    checked = verified(dealt, found, blocks, k, part).select("block", "doc_id", "copy", "start", "n_words")
+    found, edges = spans(dealt, buckets, k, part, bits)
+    good = verified(dealt, found, blocks, k, part)
+    place = ["block", "doc_id", "copy", "start", "n_words"]
+    # not semi and anti joins, which are pushed below the exchange of the spans and have them computed anew
+    judged = found.join(good.withColumn("good", F.lit(True)), CLAIM, "left")
+    again = decided_again(dealt, edges, judged.where("good IS NULL").select(place), buckets, k, part, bits)
+    checked = judged.where("good").select(place).unionByName(again)
 
     def strike(key: tuple[pa.Scalar, ...], rows: pa.Table, own: pa.Table) -> pa.Table:
         if not rows.num_rows:

@@ -271,6 +271,14 @@ def test_op4_debruijn(docs, texts, none):
     assert debruijn.removed(none).count() == 0 == debruijn.strip(none).count()
 
 
+@pytest.mark.parametrize("bits", [2, 8])
+def test_op4_shared_hashes(docs, texts, bits):
+    w, gone = brute_spans(texts, 20)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in debruijn.removed(docs, bits=bits).collect()}
+    kept = {d: " ".join(y for i, y in enumerate(x) if i not in gone.get(d, ())) for d, x in w.items()}
+    assert got == {d: (len(x), len(gone.get(d, ())), hashlib.sha256(kept[d].encode()).hexdigest()) for d, x in w.items()}
+
+
 def test_op4_repeated_ids(spark):
     text = " ".join(map(str, range(30)))
     rows = spark.createDataFrame([(1, text), (1, text), (None, text), (0, None)], "doc_id long, text string")
