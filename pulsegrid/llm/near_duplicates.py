@@ -11,7 +11,7 @@ probability 3.2e-5, and a pair meets under no key with probability 5e-10.
 What meets is compared in two rounds, as a group of n copies needs n links, not n * n. First each
 node is checked against the key-mate it shares most keys with among the least nodes of its keys; what
 this round passes over is left to the next. Then, under every key that still holds different components, all pairs of nodes from different
-components are compared: by size, by a finer signature, and at last by their full sets. This is done twice, as most
+components are compared: by size, beyond the guaranteed distance by a finer signature, and at last by their full sets. This is done twice, as most
 components join at once: first under the keys of a few bands only, and only each node's nearest by the finer signature
 goes on to the full sets; then under all keys, with every pair whose components still differ. Keys with many nodes are parted into tiles. Nothing is capped or sampled.
 
@@ -38,7 +38,7 @@ NULL_ID = -(2**63)
 #: Ids that are broadcast at most (8 bytes each); above, the join shuffles.
 BROADCAST_IDS = 1_000_000
 TILE = 2048
-#: One-bit values of the signature that sifts the second round's pairs before their full sets are compared.
+#: One-bit values of the signature that sifts pairs beyond the guaranteed distance before their full sets are compared.
 FINE = 1024
 #: Bands whose keys give each node its nearest; what these miss is left to the round over all bands.
 NEAR_BANDS = 2
@@ -287,6 +287,8 @@ def sifted(rows: pa.Table, scheme: Scheme, one: bool = False) -> pa.Table:
         x, y = x[ok], y[ok]
         apart = np.bitwise_count(fine[x] ^ fine[y]).sum(axis=1)
         ok = apart <= scheme.fine_distance
+        if not one:  # within the guaranteed distance, only full sets decide
+            ok |= (sig[x] != sig[y]).sum(axis=1) <= scheme.distance
         x, y, apart = x[ok], y[ok], apart[ok]
         off = (sig[x] != sig[y]).reshape(-1, scheme.bands, scheme.rows)
         errors = off.sum(axis=2)

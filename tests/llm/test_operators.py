@@ -479,6 +479,18 @@ def test_op8_pairs_beyond_the_signature_distance():
         near_duplicates.Scheme(similarity=50)
 
 
+def test_op8_no_sift_within_the_signature_distance():
+    for n, found in ((31, 1), (32, 0)):
+        sig, fine = np.zeros((2, 80), np.uint8), np.zeros((2, 128), np.uint8)
+        sig[1, 80 - n :] = 1  # the first band agrees
+        fine[1, :60] = 255  # 480 of 1024 differ: the finer signature alone would drop the pair
+        rows = pa.table({
+            "key": [0, 0], "i": [0, 0], "j": [0, 0], "m": [False, False], "right": [False, False], "node": [7, 9], "n": [100, 90], "component": [7, 9],
+            "signature": [x.tobytes() for x in sig], "fine": [x.tobytes() for x in fine],
+        })
+        assert near_duplicates.sifted(rows, near_duplicates.Scheme()).num_rows == found
+
+
 def test_op8_groups_are_joined_once():
     asked = []
     links = near_duplicates.joining([(0, 1), (1, 2), (0, 2), (3, 4), (2, 3)], lambda x, y: asked.append((x, y)) or (x, y) != (3, 4))
@@ -493,19 +505,20 @@ def test_op8_keep_repeated_rows(spark):
     assert got.columns == rows.columns and sorted(r.doc_id or 0 for r in got.collect()) == [0, 1, 4]
 
 
-def test_op8_recall_on_generated_documents(spark):
+@pytest.mark.parametrize("k", [4, 5])
+def test_op8_recall_on_generated_documents(spark, k):
     """Against an exact join: all pairs that share a shingle, and their similarity, on real documents."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     own = {r.doc_id: r.text or "" for r in docs.collect()}
     w = {d: split(t.translate(LOW)) for d, t in own.items()}
-    sets = {d: frozenset(tuple(x[i : i + 5]) for i in range(len(x) - 4)) if len(x) >= 5 else frozenset([tuple(x)] if x else []) for d, x in w.items()}
+    sets = {d: frozenset(tuple(x[i : i + k]) for i in range(len(x) - k + 1)) if len(x) >= k else frozenset([tuple(x)] if x else []) for d, x in w.items()}
     holders = collections.defaultdict(list)
     for d, s in sets.items():
         for g in s:
             holders[g].append(d)
     shared = collections.Counter((a, b) for ds in holders.values() if len(ds) > 1 for i, a in enumerate(ds) for b in ds[i + 1 :])
     links = {(a, b) for (a, b), n in shared.items() if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n)}
-    got = {r.doc_id: r.component_id for r in near_duplicates.groups(docs).collect()}
+    got = {r.doc_id: r.component_id for r in near_duplicates.groups(docs, near_duplicates.Scheme(words=k)).collect()}
     assert links and all(got[a] == got[b] for a, b in links)
     root = {d: d for d in own}
     find = lambda x: x if root[x] == x else find(root[x])
