@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as bl
-from .shared import width
+from .shared import BROADCAST_IDS, cut, width
 from .words import hashes, owners, windows, words
 
 CLAIM = ["source_doc", "source_copy", "source_start", "n_words", "digest"]
@@ -311,14 +311,17 @@ SELECT d.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::B
 
 
 def strip(docs: DataFrame, k: int = 20, part: int = 10) -> DataFrame:
-    """``docs`` with its columns and rows; texts that lost words keep the white space around the others."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    order = Window.partitionBy("key").orderBy("own_text")
-    own = (
-        docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), text.alias("own_text"))
-        .withColumn("copy", F.row_number().over(order) - 1)
-        .drop("own_text")
-    )
+    """``docs`` with its columns and rows; texts that lost words keep the white space around the others. Only rows that
+    share a doc_id are numbered; of the others, texts are shuffled once to meet what is kept of them."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"))
+    again = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    many = again.count()
+    own = rows.withColumn("copy", F.lit(0))
+    if many:
+        again = F.broadcast(again) if many <= BROADCAST_IDS else again
+        order = Window.partitionBy("key").orderBy("own_text")
+        shared = rows.join(again, "key", "left_semi").withColumn("own_text", F.coalesce(F.col("own.text").cast("string"), F.lit("")))
+        own = own.join(again, "key", "left_anti").unionByName(shared.withColumn("copy", F.row_number().over(order) - 1).drop("own_text"))
     gone = removed(docs, k, part).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), "copy", "kept_text")
     joined = own.join(gone, ["key", "copy"], "left")
     fresh = {"text": F.coalesce("kept_text", "own.text"), "n_chars": F.when(F.col("kept_text").isNull(), F.col("own.n_chars")).otherwise(F.char_length("kept_text")).cast("long") if "n_chars" in docs.columns else None}

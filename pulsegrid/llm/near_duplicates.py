@@ -31,12 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, stored, width
+from .shared import BROADCAST_IDS, cut, stored, width
 from .words import M2, M3, hashes, mix, owners, slices, windows, words
 
 NULL_ID = -(2**63)
-#: Ids that are broadcast at most (8 bytes each); above, the join shuffles.
-BROADCAST_IDS = 1_000_000
 TILE = 2048
 #: One-bit values of the signature that sifts pairs beyond the guaranteed distance before their full sets are compared.
 FINE = 1024
