@@ -10,10 +10,14 @@ longest entry), and a transition that completes token t at position i emits
 count(i) = count(i - len(t)) + 1. The library takes no part in it.
 
 A character that no entry of two or more characters holds resets the state, as does the start of
-a run of spaces: no entry has a space after another character. Long texts are cut into chunks
-anywhere. A chunk's state map is (head, count, tail): what precedes its first reset, the tokens
-between resets, and what follows the last. Maps compose associatively, since only a tail and the
-heads after it must be read together; a prefix scan over each text's chunks joins them.
+a run of spaces: no entry has a space after another character. In long runs the state is reset, too, between two
+characters that stand side by side in no entry.
+
+Texts of one chunk are counted where they are read, without a shuffle. Longer texts are cut into chunks anywhere, which are
+dealt to tasks. A chunk's state map is (reset, head, count, tail): what precedes its first reset, the tokens
+between resets, and what follows the last. Heads and tails are short, unless in a long run any two neighbours stand
+side by side in some entry. Maps compose associatively, since only a tail and the heads after it must be read
+together; a prefix scan joins FAN neighbours at a time, as a grouping for each level.
 
 Nulls and empty texts have no tokens.
 """
@@ -28,13 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import width
 from .words import pieces, raw, slices
 
 SPACE = "▁"
 #: Pairs a Python worker keeps compiled; a full table is emptied and compiled anew as needed.
 PAIRS = 8_000_000
-#: Characters of a segment above which it is read alone.
+#: Characters of a segment above which it is parted where it can be, and else read alone.
 LONG = 1024
+#: Maps that one step of the scan composes.
+FAN = 256
 
 
 class Transducer:
@@ -68,6 +75,8 @@ class Transducer:
         self.single = {p for p in normal if len(p) == 1}
         self.joining = re.compile(f"[{''.join(map(re.escape, sorted(self.inner)))}]+")
         self._compile()
+        beside = {(p[i], p[i + 1]) for p in normal for i in range(len(p) - 1)}
+        self.beside = np.sort(np.array([int(self.char[ord(a)]) << 32 | int(self.char[ord(b)]) for a, b in beside], np.int64))
         self.pairs, self.right = np.array([-1], np.int64), np.array([False])
         self.known: dict[int, bool] = {}
 
@@ -180,6 +189,20 @@ class Transducer:
             )
         return self.known[key]
 
+    def borders(self, segment: str) -> np.ndarray:
+        """The places in a segment that no merge crosses: the characters around them stand side by side in no entry."""
+        codes = self.char[np.frombuffer(segment.replace(" ", SPACE).encode("utf-32-le"), "<u4")].astype(np.int64)
+        pair = codes[:-1] << 32 | codes[1:]
+        pair[(codes[:-1] < 0) | (codes[1:] < 0)] = -1
+        return np.flatnonzero(~np.isin(pair, self.beside)) + 1
+
+    def parted(self, segment: str) -> list[str]:
+        """A long segment in parts that are read apart."""
+        if len(segment) <= LONG:
+            return [segment]
+        at = [0, *self.borders(segment).tolist(), len(segment)]
+        return [segment[a:b] for a, b in zip(at, at[1:], strict=False)]
+
     def run_long(self, codes: np.ndarray) -> int:
         """Emitted tokens of one long segment, a character at a time."""
         ends, link, sizes, step = self.ends.tolist(), self.link.tolist(), self.sizes.tolist(), self.step
@@ -257,8 +280,9 @@ class Transducer:
             runs = [s] if self.joining.fullmatch(s) else self.joining.findall(s)
             if not runs or len(runs[0]) < len(s):
                 out[k] = sum(map(self.lone, self.joining.sub("", s)))
-            of += [k] * len(runs)
-            ready += runs
+            for part in (p for r in runs for p in self.parted(r)):
+                of.append(k)
+                ready.append(part)
         np.add.at(out, of, self.read(ready))
         return out
 
@@ -275,7 +299,7 @@ def transducer(path: str) -> Transducer:
     return _compiled[path]
 
 
-Map = tuple[bool, str, int, str]  # has a reset, head, tokens between resets, tail
+Map = tuple[bool, str, int, str]  # has a reset, head, tokens of what is closed, tail
 
 
 def compose(a: Map, b: Map, read) -> Map:
@@ -294,12 +318,24 @@ def scan(maps: list[Map], read) -> Map:
     return maps[0]
 
 
-def state_maps(own: Transducer, batch: pa.RecordBatch) -> pa.RecordBatch:
-    """A state map for each chunk of the batch; the start of a text's first chunk counts as a reset,
+def shortened(own: Transducer, m: Map) -> Map:
+    """The map with what is long of its open ends cut at the first and the last border in them."""
+    reset, head, n, tail = m
+    if len(head) > LONG and len(at := own.borders(head)):
+        first, last = int(at[0]), int(at[-1])
+        if not reset:
+            return True, head[:first], n + own.one(head[first:last]), head[last:]
+        head, n = head[:first], n + own.one(head[first:])
+    if len(tail) > LONG and len(at := own.borders(tail)):
+        n, tail = n + own.one(tail[: int(at[-1])]), tail[int(at[-1]) :]
+    return reset, head, n, tail
+
+
+def state_maps(own: Transducer, texts: pa.Array, is_first: np.ndarray, is_last: np.ndarray) -> list[Map]:
+    """A state map for each of the chunks ``texts``; the start of a text's first chunk counts as a reset,
     and its last chunk leaves no tail."""
     feeds = [c for c in "\n\t" if c not in own.inner]  # one byte each, and they join no other character
-    buf, off = raw(batch.column("chunk"))
-    is_first, is_last = (np.asarray(batch.column(c)) for c in ("first", "last"))
+    buf, off = raw(texts)
     n = len(buf) - 8
     apart = np.isin(buf[:n], [ord(c) for c in feeds])
     each = np.zeros(256, np.int64)
@@ -333,42 +369,62 @@ def state_maps(own: Transducer, batch: pa.RecordBatch) -> pa.RecordBatch:
     fed = np.concatenate(([0], np.cumsum(each[buf[:n]])))
     count = inside[seg[1:]] - inside[seg[:-1]] + fed[off[1:]] - fed[off[:-1]]
 
-    def text(at: np.ndarray, yes: np.ndarray) -> pa.Array:
-        return pa.array([values[int(codes[i])].as_py() if y else "" for i, y in zip(at.tolist(), yes.tolist(), strict=True)], pa.string())
+    def text(at: np.ndarray, yes: np.ndarray) -> list[str]:
+        return [values[int(codes[i])].as_py() if y else "" for i, y in zip(at.tolist(), yes.tolist(), strict=True)]
+
+    return [shortened(own, m) for m in zip(has.tolist(), text(lo, head), count.tolist(), text(hi, tail), strict=True)]
+
 
-    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "n_bytes", "k")), pa.array(has), text(lo, head), pa.array(count), text(hi, tail)], names=["doc_id", "row", "n_bytes", "k", "reset", "head", "n", "tail"])
+MAP = "reset boolean, head string, n long, tail string"
 
 
 def token_counts(docs: DataFrame, path: str, chunk: int = 65_536) -> DataFrame:
     """doc_id, n_bytes, n_tokens of each row of ``docs(doc_id, text)``; ``chunk``: characters."""
 
+    def table_of(batch: pa.RecordBatch, keys: list[str], maps: list[Map]) -> pa.RecordBatch:
+        columns = list(zip(*maps, strict=True)) or [()] * 4
+        kinds = pa.bool_(), pa.string(), pa.int64(), pa.string()
+        return pa.RecordBatch.from_arrays([*map(batch.column, keys), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*keys, "reset", "head", "n", "tail"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = transducer(path)
+        for batch in slices(batches, "whole", 8 << 20):
+            yes = np.ones(batch.num_rows, bool)
+            n = [m[2] for m in state_maps(own, batch.column("whole"), yes, yes)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = transducer(path)
         for batch in slices(batches, "chunk", 8 << 20):
-            yield state_maps(own, batch)
+            yield table_of(batch, ["doc_id", "row", "n_bytes", "k"], state_maps(own, batch.column("chunk"), *(np.asarray(batch.column(c)) for c in ("first", "last"))))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = transducer(path)
         for batch in batches:
-            total = []
-            for n, maps in zip(batch.column("n").to_pylist(), batch.column("maps").to_pylist(), strict=True):
-                ordered = sorted((m["k"], (m["reset"], m["head"], 0, m["tail"])) for m in maps)
-                _, head, between, tail = scan([m for _, m in ordered], own.one) if ordered else (True, "", 0, "")
-                total.append(n + own.one(head) + between + own.one(tail))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(total, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            each = [sorted((m["at"], (m["reset"], m["head"], m["n"], m["tail"])) for m in maps) for maps in batch.column("maps").to_pylist()]
+            yield table_of(batch, ["doc_id", "row", "n_bytes", "k"], [shortened(own, scan([m for _, m in maps], own.one)) for maps in each])
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = transducer(path)
+        for batch in batches:
+            n = [n + own.one(head) + own.one(tail) for n, head, tail in zip(*(batch.column(c).to_pylist() for c in ("n", "head", "tail")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
+    out, keyed = "doc_id long, n_bytes long, n_tokens long", f"doc_id long, row long, n_bytes long, k int, {MAP}"
     spaced = F.concat(F.lit(" " if transducer(path).prefix else ""), F.col("text"))
-    cut = F.when(F.char_length("whole") <= chunk, F.array("whole")).otherwise(F.regexp_extract_all("whole", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)))  # in one pass
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.when(F.col("text") == "", "").otherwise(spaced).alias("whole"))
+    small = F.char_length("whole") <= chunk
+    short = rows.where(small).mapInArrow(counted, out)
     chunks = (
         # repeated rows stay apart by a number; it only names rows, and is the same when a task runs again
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        .select("doc_id", "row", F.octet_length("text").cast("long").alias("n_bytes"), F.when(F.col("text") == "", "").otherwise(spaced).alias("whole"))
-        .select("doc_id", "row", "n_bytes", cut.alias("cut"))
+        rows.where(~small).select("doc_id", F.monotonically_increasing_id().alias("row"), "n_bytes", F.regexp_extract_all("whole", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("cut"))
         .select("doc_id", "row", "n_bytes", F.size("cut").alias("size"), F.posexplode("cut").alias("k", "chunk"))
         .select("doc_id", "row", "n_bytes", "k", (F.col("k") == 0).alias("first"), (F.col("k") == F.col("size") - 1).alias("last"), "chunk")
+        .repartition(width(docs.sparkSession), "doc_id", "row", "k")
     )
-    found = chunks.mapInArrow(mapped, "doc_id long, row long, n_bytes long, k int, reset boolean, head string, n long, tail string")
-    # a reset parts its neighbours even with nothing open around it; only a text's first chunk has none before it
-    needed = F.when((F.col("head") != "") | (F.col("tail") != "") | (F.col("reset") & (F.col("k") > 0)), F.struct("k", "reset", "head", "tail"))
-    texts = found.groupBy("doc_id", "row").agg(F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n"), F.collect_list(needed).alias("maps"))
-    return texts.mapInArrow(joined, "doc_id long, n_bytes long, n_tokens long")
+    maps, span = chunks.mapInArrow(mapped, keyed), chunk
+    while span < 2**31:  # no text is longer
+        by = F.floor(F.col("k") / FAN).cast("int").alias("k")
+        maps = maps.groupBy("doc_id", "row", by).agg(F.max("n_bytes").alias("n_bytes"), F.collect_list(F.struct(F.col("k").alias("at"), "reset", "head", "n", "tail")).alias("maps")).mapInArrow(joined, keyed)
+        span *= FAN
+    return short.unionByName(maps.mapInArrow(finished, out))

@@ -645,6 +645,56 @@ def test_op10_maps_compose_in_any_grouping():
     assert transducer.scan(list(maps), read) == left
 
 
+def test_op10_real_maps_compose_in_any_grouping(monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(transducer, "LONG", 6)
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    own = transducer.transducer(P.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(8)
+    letters = list("abeinorst    \n\tzQX7_é日😀") + ["tion", "www", "   "]
+    for _ in range(150):
+        text = "".join(rng.choice(letters, 60))
+        whole = " " + text
+        at = [0, *sorted(set(rng.integers(1, len(whole), 7).tolist())), len(whole)]
+        cuts = [whole[x:y] for x, y in zip(at, at[1:])]
+        ends = np.arange(len(cuts))
+        maps = transducer.state_maps(own, pa.array(cuts), ends == 0, ends == len(cuts) - 1)
+        left, right = maps[0], maps[-1]
+        for m in maps[1:]:
+            left = transducer.shortened(own, transducer.compose(left, m, own.one))
+        for m in maps[-2::-1]:
+            right = transducer.compose(m, right, own.one)
+        totals = {n + own.one(head) + own.one(tail) for _, head, n, tail in (left, right, transducer.scan(list(maps), own.one))}
+        assert totals == {len(sp.encode(text))}, text
+
+
+def test_op10_borders_bound_the_open_ends(spark):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    own = transducer.transducer(path)
+    rng = np.random.default_rng(9)
+    run = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), 30_000))
+    at = own.borders(run)
+    assert len(at) > 100 and max(np.diff(at)) < transducer.LONG
+    no = np.zeros(1, bool)
+    (reset, head, _, tail) = transducer.state_maps(own, pa.array([run]), no, no)[0]
+    assert reset and len(head) < transducer.LONG and len(tail) < transducer.LONG
+    texts = [run, "a" * 20_000, f"{run[:5000]} b", None, ""]
+    rows = spark.createDataFrame([(None if i == 2 else i, t) for i, t in enumerate(texts)] * 2, "doc_id long, text string")
+    got = sorted(r.n_tokens for r in transducer.token_counts(rows, path, 2_000).collect())
+    assert got == sorted([len(sp.encode(t or "")) for t in texts] * 2)
+
+
+def test_op10_only_texts_of_several_chunks_are_shuffled(spark):
+    rows = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    plan = transducer.token_counts(rows, P.path("piece_bpe_32k.model"))._jdf.queryExecution().optimizedPlan().toString()
+    first, rest = plan.split("MapInArrow", 1)[1].split("MapInArrow", 1)  # of the union, the texts of one chunk come first
+    assert "Aggregate" not in first and "Repartition" not in first and "Aggregate" in rest
+
+
 def test_queries_are_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 14))
 
