@@ -29,15 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import width
-from .words import pieces, raw, slices
+from .words import M1, pieces, raw, slices
 
 SPACE = "▁"
-#: Pairs a Python worker keeps compiled; a full table is emptied and compiled anew as needed.
-PAIRS = 8_000_000
+#: Slots for the pairs that a Python worker keeps compiled (a power of two); a pair takes its slot from the one there.
+PAIRS = 1 << 21
 #: Characters of a segment above which it is parted where it can be, and else read alone.
 LONG = 1024
 #: Maps that one step of the scan composes.
@@ -77,7 +78,7 @@ class Transducer:
         self._compile()
         beside = {(p[i], p[i + 1]) for p in normal for i in range(len(p) - 1)}
         self.beside = np.sort(np.array([int(self.char[ord(a)]) << 32 | int(self.char[ord(b)]) for a, b in beside], np.int64))
-        self.pairs, self.right = np.array([-1], np.int64), np.array([False])
+        self.pairs, self.right = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
         self.known: dict[int, bool] = {}
 
     def _compile(self) -> None:
@@ -151,31 +152,35 @@ class Transducer:
         meet if the one that comes first is still there when the other comes; they are merged if what would take either up
         has a higher rank, or waits behind one that has. Of equal ranks the left goes first."""
         out = np.ones(len(a), bool)
-        for i in range(self.spine[0].shape[2]):
-            for j in range(self.spine[1].shape[2]):
-                (x, x_born, x_gone, x_most), (y, y_born, y_gone, y_most) = self.spine[0][:, a, i], self.spine[1][:, b, j]
-                at = np.minimum(np.searchsorted(self.made, x * self.width + y), max(len(self.made) - 1, 0))
-                live = out & (x >= 0) & (y >= 0) & np.where(x_born > y_born, y_gone >= x_born, x_gone > y_born)
-                if len(self.made):
-                    rank = self.made_rank[at]
-                    out &= ~(live & (self.made[at] == x * self.width + y) & (rank < x_most) & (rank <= y_most))
+        last, first = self.spine
+        for i in range(last.shape[2] if len(self.made) else 0):
+            at = np.flatnonzero(out & (last[0, a, i] >= 0))  # spines are filled from their beginnings
+            for j in range(first.shape[2]):
+                at = at[out[at] & (first[0, b[at], j] >= 0)]
+                if not len(at):
+                    break
+                key = last[0, a[at], i] * self.width + first[0, b[at], j]
+                made = np.minimum(np.searchsorted(self.made, key), len(self.made) - 1)
+                met = self.made[made] == key
+                pair, rank = at[met], self.made_rank[made[met]]
+                (_, x_born, x_gone, x_most), (_, y_born, y_gone, y_most) = last[:, a[pair], i], first[:, b[pair], j]
+                live = np.where(x_born > y_born, y_gone >= x_born, x_gone > y_born)
+                out[pair[live & (rank < x_most) & (rank <= y_most)]] = False
         return out
 
     def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """``compiled``, kept for pairs that were met before."""
         key = a.astype(np.int64) * len(self.tokens) + b
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        if (new := self.pairs[at] != key).any():
-            fresh = np.unique(key[new])
-            if len(self.pairs) > PAIRS:
-                self.pairs, self.right = self.pairs[:1], self.right[:1]
-                return self.may_follow(a, b)
+        slot = (key.astype(np.uint64) * M1 >> np.uint64(32)) & np.uint64(len(self.pairs) - 1)
+        out = self.right[slot]
+        new = np.flatnonzero(self.pairs[slot] != key)
+        if len(new):
+            fresh, first, inverse = np.unique(key[new], return_index=True, return_inverse=True)
             ok = self.compiled(fresh // len(self.tokens), fresh % len(self.tokens))
-            order = np.argsort(np.concatenate((self.pairs, fresh)), kind="stable")
-            self.pairs = np.concatenate((self.pairs, fresh))[order]
-            self.right = np.concatenate((self.right, ok))[order]
-            at = np.searchsorted(self.pairs, key)
-        return self.right[at]
+            out[new] = ok[inverse]
+            at, one = np.unique(slot[new[first]], return_index=True)
+            self.pairs[at], self.right[at] = fresh[one], ok[one]
+        return out
 
     def follows(self, a: int, b: int) -> bool:
         """``compiled`` for one pair."""
@@ -191,7 +196,7 @@ class Transducer:
 
     def borders(self, segment: str) -> np.ndarray:
         """The places in a segment that no merge crosses: the characters around them stand side by side in no entry."""
-        codes = self.char[np.frombuffer(segment.replace(" ", SPACE).encode("utf-32-le"), "<u4")].astype(np.int64)
+        codes = self.codes(segment).astype(np.int64)
         pair = codes[:-1] << 32 | codes[1:]
         pair[(codes[:-1] < 0) | (codes[1:] < 0)] = -1
         return np.flatnonzero(~np.isin(pair, self.beside)) + 1
@@ -248,14 +253,16 @@ class Transducer:
             raise AssertionError("no right token ends a segment")
         return emitted[np.arange(n), sizes]
 
-    def read(self, segments: list[str]) -> np.ndarray:
+    def codes(self, text: str) -> np.ndarray:
+        """The character classes of a text; -1 where a character joins no other."""
+        return self.char[np.frombuffer(text.replace(" ", SPACE).encode("utf-32-le"), "<u4")]
+
+    def read(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Tokens of segments in which every character joins others, from the reset state."""
-        out = np.zeros(len(segments), np.int64)
-        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+        out = np.zeros(len(sizes), np.int64)
         order = np.argsort(-sizes, kind="stable")
-        codes_of = lambda s: self.char[np.frombuffer(s.encode("utf-32-le"), "<u4")]
         for i in order[sizes[order] > LONG].tolist():
-            out[i] = self.run_long(codes_of(segments[i]))
+            out[i] = self.run_long(codes[starts[i] : starts[i] + sizes[i]])
         edges = [0, 16, 24, 48, 256, LONG]
         for lo, hi in zip(edges, edges[1:], strict=False):
             own = order[(sizes[order] > lo) & (sizes[order] <= hi)]
@@ -263,31 +270,40 @@ class Transducer:
             for a in range(0, len(own), step):
                 part = own[a : a + step]
                 size = sizes[part]
-                codes = np.zeros((len(part), int(size[0])), np.int32)
-                codes[np.arange(codes.shape[1]) < size[:, None]] = codes_of("".join([segments[i] for i in part]))
-                out[part] = self.run(codes, size)
+                place = np.arange(int(size[0]))
+                inside = place < size[:, None]
+                grid = np.zeros(inside.shape, np.int32)
+                grid[inside] = codes[(starts[part][:, None] + place)[inside]]
+                out[part] = self.run(grid, size)
         return out
 
     def lone(self, c: str) -> int:
         """Tokens of a character that joins no other."""
         return 1 if c in self.single or not self.fallback else len(c.encode())
 
-    def of(self, segments: list[str]) -> np.ndarray:
+    def of(self, segments: pa.StringArray) -> np.ndarray:
         """Tokens of segments, which may hold characters that join no other."""
-        out, of, ready = np.zeros(len(segments), np.int64), [], []
-        for k, s in enumerate(segments):
-            s = s.replace(" ", SPACE)
-            runs = [s] if self.joining.fullmatch(s) else self.joining.findall(s)
-            if not runs or len(runs[0]) < len(s):
-                out[k] = sum(map(self.lone, self.joining.sub("", s)))
-            for part in (p for r in runs for p in self.parted(r)):
-                of.append(k)
-                ready.append(part)
-        np.add.at(out, of, self.read(ready))
+        sizes = np.asarray(pc.utf8_length(segments)).astype(np.int64)
+        buf, _ = raw(segments)
+        codes = self.codes(buf[:-8].tobytes().decode())
+        ends = np.cumsum(sizes)
+        apart = np.concatenate(([0], np.cumsum(codes < 0)))
+        plain = (sizes <= LONG) & (apart[ends] == apart[ends - sizes])
+        out = np.zeros(len(segments), np.int64)
+        out[plain] = self.read(codes, (ends - sizes)[plain], sizes[plain])
+        of, ready = [], []
+        for k in np.flatnonzero(~plain).tolist():
+            s = segments[k].as_py().replace(" ", SPACE)
+            out[k] = sum(map(self.lone, self.joining.sub("", s)))
+            parts = [p for run in self.joining.findall(s) for p in self.parted(run)]
+            of += [k] * len(parts)
+            ready += parts
+        sizes = np.fromiter(map(len, ready), np.int64, len(ready))
+        np.add.at(out, of, self.read(self.codes("".join(ready)), np.cumsum(sizes) - sizes, sizes))
         return out
 
     def one(self, segment: str) -> int:
-        return int(self.of([segment])[0]) if segment else 0
+        return int(self.of(pa.array([segment]))[0]) if segment else 0
 
 
 _compiled: dict[str, Transducer] = {}
@@ -362,9 +378,10 @@ def state_maps(own: Transducer, texts: pa.Array, is_first: np.ndarray, is_last:
     tail[some] &= ends[hi[some]] == off[1:][some]
     closed = np.ones(len(starts), bool)
     closed[lo[head]] = closed[hi[tail]] = False
-    used, inverse = np.unique(codes[closed], return_inverse=True)
-    tokens = np.zeros(len(starts), np.int64)
-    tokens[closed] = own.of(values.take(pa.array(used)).to_pylist())[inverse]
+    used = np.flatnonzero(np.bincount(codes[closed], minlength=len(values)))
+    found = np.zeros(len(values), np.int64)
+    found[used] = own.of(values.take(pa.array(used)))
+    tokens = np.where(closed, found[codes], 0)
     inside = np.concatenate(([0], np.cumsum(tokens)))
     fed = np.concatenate(([0], np.cumsum(each[buf[:n]])))
     count = inside[seg[1:]] - inside[seg[:-1]] + fed[off[1:]] - fed[off[:-1]]
