@@ -92,6 +92,27 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: The split that ``WordIds`` follows.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def checked(spec: dict) -> dict:
+    """The file of a tokenizer that ``WordIds`` can follow; any other is a ValueError."""
+    model, normal, before = spec["model"], spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
+    split, level = (before.get("pretokenizers") or []) if len(before.get("pretokenizers") or []) == 2 else ({}, {})
+    wrong = {
+        "a BPE model with an end of word, and without dropout or prefixes": model["type"] != "BPE" or not model.get("end_of_word_suffix") or any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "ignore_merges")),
+        "NFC, white space folded, lower case": [(n["type"], n.get("pattern"), n.get("content")) for n in normal.get("normalizers", [])] != [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)],
+        "a split into words": (split.get("type"), split.get("pattern"), split.get("behavior"), split.get("invert")) != ("Split", {"Regex": SPLIT}, "Removed", True),
+        "bytes as letters": (level.get("type"), level.get("add_prefix_space"), level.get("use_regex")) != ("ByteLevel", False, False),
+        "no truncation and no padding": bool(spec.get("truncation") or spec.get("padding")),
+        "special tokens of two bytes or more": any(len(t["content"].encode()) < 2 for t in spec["added_tokens"]),
+    }
+    if any(wrong.values()):
+        raise ValueError("the tokenizer must have " + "; ".join(k for k, v in wrong.items() if v))
+    return spec
+
+
 class WordIds:
     """Token ids of texts under a BPE tokenizer that lower-cases, drops white space and ends words with a mark.
 
@@ -107,9 +128,9 @@ class WordIds:
         import tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.library = tokenizers.Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            spec = checked(json.load(f))
+        self.library = tokenizers.Tokenizer.from_file(path)
         vocab, mark = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         pairs = [p.split(" ") if isinstance(p, str) else p for p in spec["model"]["merges"]]
         self.merge = PairMerges([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], len(vocab))

@@ -318,6 +318,22 @@ def test_op5_packing(docs, texts, none):
     assert packing.pack(none, P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_op5_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    spec = json.loads(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
+    assert packing.checked(spec) is spec
+    level = spec["pre_tokenizer"]["pretokenizers"][1]
+    for change in (
+        {"model": spec["model"] | {"end_of_word_suffix": None}}, {"model": spec["model"] | {"dropout": 0.1}}, {"normalizer": None}, {"normalizer": spec["normalizer"] | {"normalizers": spec["normalizer"]["normalizers"][:2]}},
+        {"pre_tokenizer": None}, {"pre_tokenizer": level}, {"truncation": {"max_length": 4}}, {"added_tokens": [spec["added_tokens"][0] | {"content": "x"}]},
+    ):
+        with pytest.raises(ValueError, match="must have"):
+            packing.checked(spec | change)
+    with pytest.raises(ValueError, match="must have"):
+        packing.WordIds(P.path("byte_bpe_50k.json"))
+
+
 def test_op5_slices_without_text(spark):
     import tokenizers
 
