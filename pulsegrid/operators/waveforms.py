@@ -67,6 +67,21 @@ def peaks(x: np.ndarray, refractory: int) -> np.ndarray:
     return hit
 
 
+def squares(v: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each row the sum of squared differences from its mean, updated value by value (Welford) as ``stddev_samp`` does:
+    SDs of gaps, which are whole samples, often lie halfway between two decimals, where the last bit decides. ``v``
+    has the rows' values one row after the other, ``size`` their numbers."""
+    start = np.cumsum(size) - size
+    mean, total = np.zeros(len(size)), np.zeros(len(size))
+    for k in range(size.max(initial=0)):
+        rows = np.flatnonzero(size > k)
+        y = v[start[rows] + k]
+        before = mean[rows]
+        mean[rows] = before + (y - before) / (k + 1)
+        total[rows] += (y - mean[rows]) * (y - before)
+    return total
+
+
 def pulse(x: np.ndarray, rate: float, refractory_s: float) -> dict[str, np.ndarray]:
     """A beat lasts from a peak to the next: systole is its first value, diastole its least. Pressures, and the mean
     of each beat's mean, weigh beats alike. Rows with less than two peaks have no beats, with less than three no SD."""
@@ -81,7 +96,7 @@ def pulse(x: np.ndarray, rate: float, refractory_s: float) -> dict[str, np.ndarr
     with np.errstate(invalid="ignore", divide="ignore"):
         mean = lambda v: np.bincount(own, v, n) / beats
         interval = mean(gap)
-        sd = np.where(beats > 1, np.sqrt(np.bincount(own, (gap - interval[own]) ** 2, n) / (beats - 1)), np.nan)
+        sd = np.where(beats > 1, np.sqrt(squares(gap, beats) / (beats - 1)), np.nan)
         next_to = own[1:] == own[:-1]
         step = np.where(beats > 1, np.sqrt(np.bincount(own[1:][next_to], np.diff(gap)[next_to] ** 2, n) / (beats - 1)), np.nan)
         return {"n_beats": beats.astype(float), "rate_min": 60.0 / interval, "interval_s": interval, "interval_sd_s": sd, "interval_rmssd_s": step, "systolic": mean(high), "diastolic": mean(low), "pulse": mean(high - low), "map": mean(total / samples)}
