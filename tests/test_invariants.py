@@ -1,6 +1,7 @@
 """What must hold whatever the definitions are."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -251,3 +252,20 @@ def test_resampled_and_cleaned_by_hand(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], RECORD)
     assert timeline.episodes(none, S).count() == timeline.observed(none, S).count() == partition.manifests(none, S).count() == 0
+
+
+def test_bootstrap_draws_are_not_held(spark, monkeypatch):
+    """Draws by hand; they are dealt to tasks by their number, and no table of (draw, place) is aggregated."""
+    import dataclasses
+    import hashlib
+
+    n, own = 300, dataclasses.replace(S, draws=20)
+    rows = [(u, 1 + u % 3, u % 2, min(1 + u % 3, 1 + u % 2)) for u in range(n)]
+    e, a, b = np.array(rows)[:, 1:].T
+    monkeypatch.setattr(evaluate, "SLOTS", 1000, raising=False)
+    found = evaluate.paired_bootstrap(spark.createDataFrame(rows, "user_id long, events long, warned_a long, warned_b long"), own)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"keys=\[draw#\w+, place", plan) and "Range (0, 6000, step=1, splits=7)" in plan
+    at = [np.array([int(hashlib.md5(f"{d}-{k}".encode()).hexdigest()[:8], 16) % n for k in range(n)]) for d in range(own.draws)]
+    deltas = [(b[x].sum() - a[x].sum()) / e[x].sum() for x in at]
+    assert [found.first()[c] for c in ("lower", "upper")] == pytest.approx(np.quantile(deltas, [0.025, 0.975]).tolist())
