@@ -73,6 +73,26 @@ def test_filters_stay_apart(spark, folder):
     assert {r.recording for r in a.union(b).collect()} == {"1", "2"} and a.where("segment > 6").count() == 6 and rows.count() == 100
 
 
+def test_many_recordings_share_folders_and_partitions(spark, tmp_path, monkeypatch):
+    """Partitions don't grow with recordings; renames are the folders'; named recordings and channels are found in folders too."""
+    rows = [(str(r), c, k, k * 4 * 10**6, 1.0, [float(r + k), None, 2.0, 1.0][: 4 if k < 2 else 3]) for r in range(60) for k in range(3) for c in ("A", "B")]
+    path = str(tmp_path / "many")
+    source.write_recordings(spark.createDataFrame(rows, source.SCHEMA), path, ["A", "B"], folders=True)
+    assert all(x.is_dir() and x.name.startswith("part-") for x in (tmp_path / "many").iterdir())
+    back = source.read_recordings(spark, path, 4)
+    assert back.rdd.getNumPartitions() == len([*(tmp_path / "many").iterdir()]) <= 4
+    assert sorted(map(str, back.collect())) == sorted(map(str, spark.createDataFrame(rows, source.SCHEMA).collect()))
+    one = source.read_recordings(spark, path, 4, recordings=["7"], channels=["B"]).collect()
+    assert sorted((r.recording, r.channel, r.segment) for r in one) == [("7", "B", k) for k in range(3)]
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for f in (tmp_path / "many").glob("part-*/*"):
+        (flat / f.name).write_bytes(f.read_bytes())
+    monkeypatch.setattr(source, "MOST", 7)
+    shares = source.Reader({"path": str(flat)}).partitions()
+    assert len(shares) == 7 and len({p for s in shares for p in s.paths}) == 60
+
+
 def test_headers():
     text = "# a comment\nr7/2 2 125/62.5 5000 10:00:00\nr7.dat 16 200(-3)/mmHg 16 0 0 0 0 ABP mean\nr7.dat 16 50 12 4\n"
     h = source.Header.parsed(text)
