@@ -44,9 +44,29 @@ def ordered(rows: pa.Table) -> tuple[pa.Array, np.ndarray]:
 
 def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """An order in which the keys of a bucket stand together, and the buckets' bounds in it."""
-    own = ((keys >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    own = ((keys >> np.uint64(33)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)  # short ones are sorted by digits
     order = np.argsort(own, kind="stable")
-    return order, np.searchsorted(own[order], np.arange(buckets + 1))
+    return order, np.concatenate(([0], np.cumsum(np.bincount(own, minlength=buckets))))
+
+
+def ascending(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys (integers from 0) in ascending order, equal ones in theirs, and the keys in this order. Where both fit
+    in one number, these numbers are sorted, which is several times faster than sorting places by keys."""
+    bits = len(keys).bit_length()
+    if int(keys.max(initial=0)).bit_length() + bits > 63:
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
+    both = np.sort(keys.astype(np.int64) << bits | np.arange(len(keys)))
+    return both & ((1 << bits) - 1), (both >> bits).astype(keys.dtype)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys ascending, where each is first, and the number of each key among them, as ``np.unique`` has it."""
+    order, run = ascending(keys)
+    fresh = np.append(True, run[1:] != run[:-1])[: len(run)]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return run[fresh], order[fresh], number
 
 
 def enc(x: np.ndarray) -> bytes:

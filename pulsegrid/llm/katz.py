@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import by_bucket, dec, enc
+from .blocks import ascending, by_bucket, dec, distinct, enc
 from .shared import bucketed, discard, place, stored, text_bytes, width
 from .words import M1, M2, M3, hashes, mix, slices, words
 
@@ -167,7 +167,7 @@ class Tokens:
         self.ids, self.size, self.held = dec(row["a"]).view(np.int64), dec(row["b"]).astype(np.int64), dec(row["d"]).astype(bool)
         code, self.buckets = dec(row["c"]).astype(np.int64), buckets
         number, n = (np.concatenate([wide(r[c]) for r in answers if r["kind"] == ANSWERED]) for c in "ab")
-        by = np.argsort(number)
+        by = ascending(number)[0]
         place_of = np.empty(len(by), np.int64)
         place_of[by] = np.arange(len(by))
         self.number, n = number[by], n[by]
@@ -187,8 +187,9 @@ class Tokens:
         below, first = self.levels[-1], self.levels[0]
         v = len(first.n)
         at = np.flatnonzero(within >= k - 1)
-        key, index, of = np.unique(below.of[at - 1] * v + first.of[at], return_index=True, return_inverse=True)
-        history, last = key // v, key % v
+        key, index, of = distinct(below.of[at - 1] * v + first.of[at])
+        history = key // v
+        last = key - history * v
         full = np.zeros(len(within), np.int64)
         full[at] = of
         real = np.zeros(len(key), bool)
@@ -199,21 +200,23 @@ class Tokens:
         lines = [below.words[-1], *below.words[:-1]]
         name = mix(self.number[lines[0]] * M3 + np.uint64(k))
         if k > 2:
-            rest = np.full(len(below.n), M2, np.uint64)
+            frequent = np.flatnonzero((first.n >= HOT)[lines[0]])
+            rest = np.full(len(frequent), M2, np.uint64)
             for line in lines[1:]:
-                rest = mix(rest * M3 + self.number[line])
-            many = 1 + (first.n[lines[0]] // HOT).astype(np.uint64)
-            name = np.where(many > 1, mix(name + rest % many), name)
+                rest = mix(rest * M3 + self.number[line[frequent]])
+            many = 1 + (first.n[lines[0][frequent]] // HOT).astype(np.uint64)
+            name[frequent] = mix(name[frequent] + rest % many)
         seen = below.n if k == 2 else np.where(below.real, below.n, first.n[self.start])
         salts = 1 + (seen // HOT).astype(np.uint64)
         own = name[history]
         parted = salts[history] > 1
         own[parted] = mix(own[parted] + mix(self.number[last[parted]]) % salts[history[parted]])
-        by = np.lexsort(lines[::-1])
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.arange(len(by))
         mine = np.flatnonzero(real)
-        mine = mine[np.argsort(rank[history[mine]], kind="stable")]
+        if k > 2:
+            by = np.lexsort(lines[::-1]) if k > 3 else ascending(lines[0] * v + lines[1])[0]
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by))
+            mine = mine[ascending(rank[history[mine]])[0]]
         order, bounds = by_bucket(own[mine], self.buckets)
         level = Level(cols, history, low, real, full, np.zeros(len(key), np.uint64), key, np.zeros(len(below.n)), np.zeros(0, np.int64), np.zeros((2 * TOP + 2, 0)), bounds, mine[order], salts)
         if told:
@@ -269,6 +272,17 @@ def whole(stats: np.ndarray) -> np.ndarray:
     return stats[0] + ((stats[0] > 0) & (stats[1 : TOP + 1].sum(axis=0) == 0)).astype(stats.dtype)
 
 
+def in_order(names: list[np.ndarray], sizes: list[np.ndarray], word: np.ndarray) -> np.ndarray:
+    """Places of n-grams by their history's words, then the last one. Histories, which stand once for each block, are
+    numbered by rank first."""
+    rank = np.zeros(sum(x.shape[1] for x in names), np.uint64)
+    for line in np.concatenate(names, axis=1):
+        most = int(line.max(initial=0)).bit_length()
+        rank = distinct(rank << np.uint64(most) | line)[2].astype(np.uint64)
+    most = int(word.max(initial=0)).bit_length()
+    return ascending(np.repeat(rank, np.concatenate(sizes)) << np.uint64(most) | word)[0]
+
+
 def count_grams(rows: pa.Table, order: int) -> tuple[list[tuple], dict[str, np.ndarray], int, list[tuple]]:
     """Counts of a bucket's n-grams: a row of the model for each, and for each block the counts that it asked for, its
     histories' counts, and statistics of those histories under which it has a new n-gram, as nothing else backs off: the
@@ -280,7 +294,7 @@ def count_grams(rows: pa.Table, order: int) -> tuple[list[tuple], dict[str, np.n
     history = np.concatenate([np.repeat(h, s, axis=1) for h, s in zip(names, sizes, strict=True)], axis=1)
     word, n, low = (np.concatenate([wide(x) for x in rows.column(c).to_pylist()]) for c in "cde")
     salts = np.concatenate([np.repeat(wide(x), s) for x, s in zip(rows.column("f").to_pylist(), sizes, strict=True)])
-    by = np.lexsort((word, *history[::-1]))
+    by = in_order(names, sizes, word)
     h, w = history[:, by], word[by]
     turn = np.append(True, (h[:, 1:] != h[:, :-1]).any(axis=0))
     fresh = turn | np.append(True, w[1:] != w[:-1])

@@ -727,3 +727,21 @@ def test_against_sql(spark, name):
     assert len(got) == len(want) > 0 and sorted(got.columns) == sorted(want.columns)
     for c in want.columns:
         assert (got[c] == want[c]).all(), c
+
+
+def test_keys_in_ascending_order():
+    """As numpy's sorts, whether or not keys and places fit in one number; n-grams by history, then word."""
+    from pulsegrid.llm import blocks
+
+    rng = np.random.default_rng(4)
+    for keys in (rng.integers(0, 50, 1000), rng.integers(0, 2**40, 1000), rng.integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2) + np.uint64(1), np.zeros(0, np.int64), np.array([7])):
+        order, run = blocks.ascending(keys)
+        assert order.tolist() == np.argsort(keys, kind="stable").tolist() and (run == keys[order]).all() and run.dtype == keys.dtype
+        assert all((a == b).all() for a, b in zip(blocks.distinct(keys), np.unique(keys, return_index=True, return_inverse=True), strict=True))
+        own, bounds = blocks.by_bucket(keys.astype(np.uint64) << np.uint64(33), 7)
+        assert np.diff(bounds).sum() == len(keys) and bounds[0] == 0
+    names = [rng.integers(0, 9, (2, 40)).astype(np.uint64) for _ in range(3)]
+    sizes = [rng.integers(1, 4, 40) for _ in range(3)]
+    word = rng.integers(0, 5, sum(int(s.sum()) for s in sizes)).astype(np.uint64)
+    history = np.concatenate([np.repeat(h, s, axis=1) for h, s in zip(names, sizes, strict=True)], axis=1)
+    assert katz.in_order(names, sizes, word).tolist() == np.lexsort((word, *history[::-1])).tolist()
