@@ -346,6 +346,21 @@ def test_op5_slices_without_text(spark):
         assert got == [(d, i, len(ids[s : s + 4096]), zlib.crc32(ids[s : s + 4096].tobytes())) for d, ids in enumerate(each) for i, s in enumerate(range(0, len(ids), 4096))]
 
 
+def test_op5_memory_of_a_task(texts):
+    """A batch of 16 MB becomes ids in slices whose arrays stay below 150 MB, with the ids of each text alone."""
+    import tracemalloc
+
+    path, few = P.path("word_bpe_49k.json"), [t for t in texts.values() if len(t) < 3000]
+    many = 1 + (16 << 20) // sum(len(t.encode()) for t in few)
+    rows = pa.record_batch([pa.array(range(many * len(few)), pa.int64()), pa.array(few * many)], ["doc_id", "text"])
+    want = next(packing.cut_pieces(path, 1, 4096)(iter([rows.slice(0, len(few))]))).column("ids_crc32").to_pylist()
+    tracemalloc.start()
+    got = [x for b in packing.cut_pieces(path, 1, 4096)(iter([rows])) for x in b.column("ids_crc32").to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == want * many and most < 150e6, most
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_op5_plan_is_best_fit(seed):
     rng = np.random.default_rng(seed)
