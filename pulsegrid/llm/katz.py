@@ -43,41 +43,50 @@ TOP = 5
 HOT = 500_000
 #: Bytes of text to a bucket of n-grams, and to a bucket of the table of blocks.
 BUCKET_BYTES, BLOCK_BYTES = 4 << 20, 6 << 20
-CODES, ASKED, ANSWERED, GRAMS, TOLD, PARTS, ADDED = range(7)
+CODES, ASKED, ANSWERED, GRAMS, TOLD, PARTS, ASKERS, ADDED = range(8)
 NULL_ID = -(2**63)
 
 
-def schema(order: int) -> str:
+#: The arrays of a message: those of the words', of those that ask, and of the answers. The answers are stored with the
+#: n-grams, each of whose rows pays for a column that it leaves null.
+CODED, ASKING, TELLING = "abcd", "abcdef", "abc"
+
+
+def schema(order: int, arrays: str) -> str:
     flat = "".join(f", h{i} long" for i in range(1, order))
-    return f"kind int, bucket int, block long{flat}, word long, n long, stats array<long>, blocks array<long>, a binary, b binary, c binary, d binary, e binary, f binary"
+    return f"kind int, bucket int, block long{flat}, word long, n long" + "".join(f", {c} binary" for c in arrays)
 
 
 def wide(data: bytes) -> np.ndarray:
     return dec(data).astype(np.uint64)
 
 
-def table_of(order: int, rows: list[tuple], flat: dict[str, np.ndarray] | None = None, bucket: int = -1, parts: list[tuple] = ()) -> pa.Table:
+def table_of(order: int, arrays: str, rows: list[tuple], flat: dict[str, np.ndarray] | None = None, bucket: int = -1, parts: list[tuple] = ()) -> pa.Table:
     """Packed messages (kind, bucket, block, arrays ...), rows of n-grams as columns, and parted histories
-    (bucket, words, totals, blocks), as one table."""
+    (words, totals, blocks), as one table. A parted history has a row for each total, whose place is its word, and one
+    for each block that asked."""
     heads = [f"h{i}" for i in range(1, order)]
-    names = ["kind", "bucket", "block", *heads, "word", "n", "stats", "blocks", *"abcdef"]
-    kinds = [pa.int32(), pa.int32(), *[pa.int64()] * (len(heads) + 3), *[pa.list_(pa.int64())] * 2, *[pa.binary()] * 6]
+    names = ["kind", "bucket", "block", *heads, "word", "n", *arrays]
+    kinds = [pa.int32(), pa.int32(), *[pa.int64()] * (len(heads) + 3), *[pa.binary()] * len(arrays)]
     own = pa.schema(list(zip(names, kinds, strict=True)))
     out = []
     if rows:
         columns: dict[str, list] = {n: [None] * len(rows) for n in names}
         for i, r in enumerate(rows):
             columns["kind"][i], columns["bucket"][i], columns["block"][i] = r[:3]
-            for c, x in zip("abcdef", r[3:], strict=False):
+            for c, x in zip(arrays, r[3:], strict=False):
                 columns[c][i] = enc(x)
         out.append(pa.table([pa.array(columns[n], k) for n, k in zip(names, kinds, strict=True)], schema=own))
-    if flat is not None and len(flat["n"]):
-        size = len(flat["n"])
-        fixed = {"kind": np.full(size, GRAMS, np.int32), "bucket": np.full(size, bucket, np.int32)} | {n: x.astype(np.int64) for n, x in flat.items()}
-        out.append(pa.table([pa.array(fixed[n], k) if n in fixed else pa.nulls(size, k) for n, k in zip(names, kinds, strict=True)], schema=own))
+    found = [(GRAMS, flat)] if flat is not None else []
     if parts:
-        fixed = {"kind": [PARTS] * len(parts), "bucket": [p[0] for p in parts], "stats": [p[2] for p in parts], "blocks": [p[3] for p in parts]} | {h: [p[1][i] for p in parts] for i, h in enumerate(heads)}
-        out.append(pa.table([pa.array(fixed[n], k) if n in fixed else pa.nulls(len(parts), k) for n, k in zip(names, kinds, strict=True)], schema=own))
+        words_of = np.array([w for w, _, _ in parts], np.int64)
+        for kind, name, of in ((PARTS, "n", 1), (ASKERS, "block", 2)):
+            size = [len(p[of]) for p in parts]
+            found.append((kind, {h: np.repeat(words_of[:, i], size) for i, h in enumerate(heads)} | {"word": np.concatenate([np.arange(x) for x in size]), name: np.concatenate([p[of] for p in parts])}))
+    for kind, columns in found:
+        size = len(columns["word"])
+        fixed = {"kind": np.full(size, kind, np.int32), "bucket": np.full(size, bucket, np.int32)} | {n: x.astype(np.int64) for n, x in columns.items()}
+        out.append(pa.table([pa.array(fixed[n], k) if n in fixed else pa.nulls(size, k) for n, k in zip(names, kinds, strict=True)], schema=own))
     # short batches, so that no task of Spark holds a bucket's rows at once
     return pa.Table.from_batches([b for x in out for b in x.to_batches(max_chunksize=1 << 15)], own)
 
@@ -319,7 +328,7 @@ def count_grams(rows: pa.Table, order: int) -> tuple[list[tuple], dict[str, np.n
         new = np.bincount(np.repeat(np.arange(len(own)), s)[n == 0], minlength=len(own)) > 0
         out.append((TOLD, bucket, b, n, whole(stats[:, own]), stats[:, own[new]].reshape(-1)))
         at = to
-    parts = [(bucket, np.roll(h[:, heads[i]], -1).astype(np.int64).tolist(), stats[:, i].astype(np.int64).tolist(), askers[i]) for i in split.tolist()]
+    parts = [(np.roll(h[:, heads[i]], -1).astype(np.int64).tolist(), stats[:, i].astype(np.int64).tolist(), askers[i]) for i in split.tolist()]
     flat = {f"h{i + 1}": line[seen] for i, line in enumerate(np.roll(h, -1, axis=0))} | {"word": w[seen], "n": total[seen]}
     return out, flat, bucket, parts
 
@@ -445,14 +454,14 @@ def fit(docs: DataFrame, order: int = 3) -> Model:
         part = TaskContext.get().partitionId()
         for k, batch in enumerate(slices(batches, "text", BLOCK_BYTES)):
             ids, own = batch.column("doc_id").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False)
-            yield from table_of(1, block_rows(ids, own, batch.column("text"), part << 24 | k, buckets)).to_batches()
+            yield from table_of(1, CODED, block_rows(ids, own, batch.column("text"), part << 24 | k, buckets)).to_batches()
 
     def words_counted(asked: pa.Table) -> pa.Table:
-        return table_of(1, *count_words(asked, buckets))
+        return table_of(1, TELLING, *count_words(asked, buckets))
 
-    blocks = bucketed(rows.mapInArrow(coded, schema(1)), max(width(spark), 1 + size // (2 * BLOCK_BYTES)), "block", f"{path}/blocks", "kind")
+    blocks = bucketed(rows.mapInArrow(coded, schema(1, CODED)), max(width(spark), 1 + size // (2 * BLOCK_BYTES)), "block", f"{path}/blocks", "kind")
     codes = blocks.where(F.col("kind") == CODES).select("block", "a", "b", "c", "d")
-    first = stored(blocks.where(F.col("kind") == ASKED).groupBy("bucket").applyInArrow(words_counted, schema(1)), path=f"{path}/order=1")
+    first = stored(blocks.where(F.col("kind") == ASKED).groupBy("bucket").applyInArrow(words_counted, schema(1, TELLING)), path=f"{path}/order=1")
     discard(spark, f"{path}/blocks/kind={ASKED}")
     grams, told = [first.where(F.col("kind") == GRAMS).select("word", "n")], []
     answered = message(first.where(F.col("kind") == ANSWERED), 0, a=F.col("a"), b=F.col("b"))
@@ -480,13 +489,13 @@ def _pass(codes: DataFrame, known: list[DataFrame], k: int, most: int, buckets:
     """The n-grams of order ``k`` asked by the blocks and counted by the buckets."""
 
     def asks(codes: pa.Table, told: pa.Table) -> pa.Table:
-        return table_of(1, Tokens(codes, told, k, most, buckets).asks(codes.column("block")[0].as_py())) if codes.num_rows else table_of(1, [])
+        return table_of(1, ASKING, Tokens(codes, told, k, most, buckets).asks(codes.column("block")[0].as_py()) if codes.num_rows else [])
 
     def counted(rows: pa.Table) -> pa.Table:
-        return table_of(k, *count_grams(rows, k))
+        return table_of(k, TELLING, *count_grams(rows, k))
 
-    asked = codes.groupBy("block").cogroup(reduce(DataFrame.unionByName, known).groupBy("block")).applyInArrow(asks, schema(1))
-    return asked.groupBy("bucket").applyInArrow(counted, schema(k))
+    asked = codes.groupBy("block").cogroup(reduce(DataFrame.unionByName, known).groupBy("block")).applyInArrow(asks, schema(1, ASKING))
+    return asked.groupBy("bucket").applyInArrow(counted, schema(k, TELLING))
 
 
 def added(found: DataFrame, k: int) -> DataFrame:
@@ -494,8 +503,8 @@ def added(found: DataFrame, k: int) -> DataFrame:
     least."""
     history = [f"h{i}" for i in range(1, k)]
     parts = found.where(F.col("kind") == PARTS)
-    sums = parts.groupBy(*history).agg(F.array(*(F.sum(F.get("stats", i)) for i in range(2 * TOP + 2))).alias("sums"))
-    asked = parts.select(*history, F.explode("blocks").alias("block")).distinct().join(sums, history)
+    sums = parts.groupBy(*history).agg(F.array(*(F.sum(F.when(F.col("word") == i, F.col("n"))) for i in range(2 * TOP + 2))).alias("sums"))
+    asked = found.where(F.col("kind") == ASKERS).select(*history, "block").distinct().join(sums, history)
     rows = asked.select("block", F.lit(ADDED).alias("kind"), F.lit(-1).alias("bucket"), F.array(*history).alias("names"), "sums")
     return message(rows, k, names=F.col("names"), stats=F.col("sums"))
 

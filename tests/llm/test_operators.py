@@ -147,6 +147,15 @@ def test_op1_tables(docs, texts):
         assert np.allclose(got, np.array(sorted((sum(f.values()), round(weight(h), 9)) for h, f in follow.items() if len(h) == m - 1)))
 
 
+def test_op1_rows_of_grams_leave_few_columns_null(docs):
+    """Every n-gram has a row, and pays for each column of it."""
+    for m, table in enumerate(katz.fit(docs).told, 2):
+        heads = [f"h{i}" for i in range(1, m)]
+        assert set(table.columns) == {"kind", "bucket", "block", *heads, "word", "n", "a", "b", "c"}
+        row = table.where(F.col("kind") == katz.GRAMS).first().asDict()
+        assert {c for c, x in row.items() if x is None} == {"block", "a", "b", "c"}
+
+
 def test_op2_lines(spark, docs, texts, none):
     got = {r.doc_id: r for r in line_rules.verdicts(docs).collect()}
     assert len(got) == len(texts)
