@@ -156,6 +156,13 @@ def test_op1_rows_of_grams_leave_few_columns_null(docs):
         assert {c for c, x in row.items() if x is None} == {"block", "a", "b", "c"}
 
 
+def test_op1_leaves_no_table_in_the_catalogue(spark, docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    got = katz.score(docs)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert got.count() == docs.count() and "Bucketed: true" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_op2_lines(spark, docs, texts, none):
     got = {r.doc_id: r for r in line_rules.verdicts(docs).collect()}
     assert len(got) == len(texts)
